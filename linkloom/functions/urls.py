@@ -7,38 +7,59 @@ arguments, a trailing slash and a trailing ``index.html``; sort the other argume
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref)(=.*)?$"
 
 
+def strip_host_prefix(host: Column) -> Column:
+    return F.regexp_replace(host, r"^(?:www[0-9]*|m)\.([^.]+\..*)$", "$1")
+
+
 def _authority(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 2)), r"^.*@", "")
+    return strip_host_prefix(
+        F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 2)), r"^.*@", ""))
 
 
-def strip_host_prefix(host: Column) -> Column:
-    return F.regexp_replace(host, r"^(?:www[0-9]*|m)\.([^.]+\..*)$", "$1")
+def _host_of(authority: Column) -> Column:
+    h = F.regexp_replace(authority, r":[0-9]*$", "")
+    return F.when(h != "", h)
+
+
+def _norm_of(authority: Column, path: Column, query: Column) -> Column:
+    bare = F.regexp_replace(authority, r":(80|443)?$", "")
+    args = F.array_join(F.array_sort(F.filter(
+        F.split(F.substring(query, 2, 1 << 30), "&"),
+        lambda a: (a != "") & ~a.rlike(_TRACKING))), "&")
+    short = F.regexp_replace(path, r"(/index\.html)?/*$", "")
+    shown = F.when(query == "", F.lit("")).otherwise(
+        F.regexp_replace(F.concat(F.lit("?"), args), r"^\?$", ""))
+    return F.when(_host_of(authority).isNotNull(), F.concat(bare, short, shown))
 
 
 def host(url: Column) -> Column:
     """Host of a URL without port and site prefix; null when there is none."""
-    h = strip_host_prefix(F.regexp_replace(_authority(url), r":[0-9]*$", ""))
-    return F.when(h != "", h)
+    return _host_of(_authority(url))
 
 
 def url_norm(url: Column) -> Column:
     """Canonical string; equal for all spellings of one link. Null without a host."""
-    bare = F.regexp_replace(_authority(url), r":(80|443)?$", "")
-    path = F.regexp_replace(F.regexp_extract(url, _URL, 3), r"(/index\.html)?/*$", "")
-    raw_args = F.split(F.substring(F.regexp_extract(url, _URL, 4), 2, 1 << 30), "&")
-    args = F.array_join(
-        F.array_sort(F.filter(raw_args, lambda a: (a != "") & ~a.rlike(_TRACKING))), "&")
-    return F.when(
-        host(url).isNotNull(),
-        F.concat(strip_host_prefix(bare), path,
-                 F.when(args != "", F.concat(F.lit("?"), args)).otherwise("")))
+    return _norm_of(_authority(url), F.regexp_extract(url, _URL, 3),
+                    F.regexp_extract(url, _URL, 4))
+
+
+def with_url_keys(df: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``host`` and ``url_norm``, taking the URL apart once per row."""
+    parts = df.withColumns({
+        "_authority": _authority(F.col(url)),
+        "_path": F.regexp_extract(url, _URL, 3),
+        "_query": F.regexp_extract(url, _URL, 4)})
+    return parts.withColumns({
+        "host": _host_of(F.col("_authority")),
+        "url_norm": _norm_of(F.col("_authority"), F.col("_path"), F.col("_query")),
+    }).drop("_authority", "_path", "_query")
 
 
 def host_tokens(host_col: Column) -> Column:

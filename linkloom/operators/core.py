@@ -60,10 +60,7 @@ def core_rows(scrapes: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     """
     source = F.col("source")
     rank = F.when(source.isin(*RANKED_SOURCES) & (F.col("position") > 0), F.col("position") - 1)
-    keyed = (scrapes
-             .withColumn("shard", month_of(F.col("date")))
-             .withColumn("host", urls.host(F.col("url")))
-             .withColumn("url_norm", urls.url_norm(F.col("url"))))
+    keyed = urls.with_url_keys(scrapes.withColumn("shard", month_of(F.col("date"))))
     return (keyed
             .where(F.col("url_norm").isNotNull())
             .withColumn("title", core_title(source, F.col("raw_title")))

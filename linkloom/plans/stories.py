@@ -70,3 +70,16 @@ def links_of(grouped: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.join(named, keys).select(
         F.col("_story_shard").alias("shard"), "story_id",
         F.col("shard").alias("scrape_shard"), "scrape_id").distinct()
+
+
+def score_breakdown(grouped: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Every score term of every story, from scored scrapes with their ``anchor``."""
+    keys = ["url_norm", "anchor"]
+    whole = F.struct(*[c for c in grouped.columns])
+    best = (grouped.groupBy(*keys, "source")
+            .agg(F.max(F.struct("single_score", "scrape_id", whole.alias("row"))).alias("b"))
+            .select("b.row.*"))
+    rolled = cluster.roll_up(grouped, keys)
+    named = rolled.withColumn("story_id", ids.story_id(F.col("date"), F.col("url_norm")))
+    best = best.join(named.select(*keys, "story_id"), keys)
+    return scoring.score_detail(best, named, named.agg(F.max("date")).scalar(), cfg)

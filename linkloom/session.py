@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results everywhere, or plain good practice at any size. Partition
 # counts and memory are the cluster's business and are left alone.
@@ -34,3 +34,14 @@ def work_folder(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="linkloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input is smaller than the cluster.
+
+    A scan with fewer splits than cores is redistributed once. Real inputs have far more
+    splits than cores, and then this changes nothing.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import scrape_id
 from ..functions.months import month_of
 from ..functions.text import unescape_entities
+from ..session import spread
 
 SUBREDDIT_CYCLE = ("programming", "compilers", "rust", "science", "python", "technology")
 TAG_CYCLE = ("person", "Programming", "java", "practices", "c++", "games", "Web", "go")
@@ -30,7 +31,7 @@ def _pick(values: tuple, index) -> F.Column:
 
 def sightings(spark: SparkSession, sf_dir: str, raw_text: bool = False) -> DataFrame:
     """The scrapes table. ``raw_text=True`` keeps entities in titles undecoded."""
-    orders = table(spark, sf_dir, "orders").withColumn(
+    orders = spread(table(spark, sf_dir, "orders")).withColumn(
         "o_orderdate", F.col("o_orderdate").cast("timestamp"))
     pages = table(spark, sf_dir, "pages").select(
         "page_id", "url",
@@ -61,13 +62,15 @@ def sightings(spark: SparkSession, sf_dir: str, raw_text: bool = False) -> DataF
     volume = F.floor(F.col("o_totalprice")).cast("bigint")
     talk = (F.col("o_custkey") % 200).cast("int")
     is_reddit = F.col("source") == "reddit"
+    joined = joined.withColumn("raw_title", title)
     out = joined.select(
         month_of(F.col("o_orderdate")).alias("shard"),
         "source",
         F.when(is_reddit, _pick(SUBREDDIT_CYCLE, F.col("o_custkey"))).alias("subsource"),
         k.cast("string").alias("id"),
         "url",
-        (title if raw_text else unescape_entities(title)).alias("raw_title"),
+        (F.col("raw_title") if raw_text
+         else unescape_entities(F.col("raw_title"))).alias("raw_title"),
         F.col("o_orderdate").alias("date"),
         F.when(F.col("source").isin("hacker_news", "reddit", "lobsters"),
                (k % 40).cast("int")).alias("position"),

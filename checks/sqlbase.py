@@ -84,6 +84,8 @@ def assemble(final: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    if not order:
+        return final
     parts = ",\n".join(f"{_head(n)} AS {_mat(n)}({CTES[n][0]})" for n in order)
     return f"WITH RECURSIVE {parts}\n{final}"
 

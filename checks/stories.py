@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import cluster, core, ranking, scoring, tagging
 from linkloom.plans import front_page as fp
+from linkloom.plans import rescore
 from linkloom.plans import stories as st
 
+from linkloom.sources.derived import table
+
 from .registry import CFG, joined, query, r6, scrapes, secs
 from .sqlbase import SINGLE, TERMS, age, assemble, cte, scan_ctes
 
@@ -205,7 +211,6 @@ def score_detail(spark, d):
     f"""SELECT o_orderkey AS k, round({age("TIMESTAMP '2001-08-01'", 'o_orderdate')}, 6) AS age
         FROM orders"""))
 def age_scores(spark, d):
-    from linkloom.sources.derived import table
     now = F.lit("2001-08-01").cast("timestamp")
     hours = scoring.age_hours(now, F.col("o_orderdate").cast("timestamp"))
     return table(spark, d, "orders").select(
@@ -247,7 +252,6 @@ _KNOWN = ("'***','%%%','c++','anvil','bolt','bolts','cplusplus','gear','gizmo','
            count(*) AS n
     FROM words GROUP BY ALL""")
 def tag_lookup(spark, d):
-    from linkloom.sources.derived import table
     words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     more = spark.range(1).select(F.explode(F.array(
         *[F.lit(w) for w in ("Go", "C++", "golang", "Gizmos", "***")])).alias("word"))
@@ -283,9 +287,6 @@ def rendered(spark, d):
                       joined("tags").alias("tags"))
 
 
-_PIN = "https://m.ththth.example.net/en/25#top"
-
-
 @query("pinned_hot_set", assemble(
     """SELECT row_number() OVER (ORDER BY pinned DESC, k, score DESC, date DESC, story_id) - 1
                 AS position, story_id, pinned FROM (
@@ -303,18 +304,18 @@ def pinned_hot_set(spark, d):
 
 @query("score_tuner", assemble(
     """SELECT story_id, round(score, 6) AS stored, round(score - jit, 6) AS fresh,
-              row_number() OVER (ORDER BY score - jit DESC, story_id) AS place
+              row_number() OVER (ORDER BY round(score - jit, 6) DESC, story_id) AS place
        FROM (SELECT *, ((('0x' || substr(md5(url_norm), 1, 13))::BIGINT) % 6000000)
                        / 1000000.0::DOUBLE AS jit FROM candidates)""", "candidates"))
 def score_tuner(spark, d):
-    from dataclasses import replace
-    from linkloom.plans import rescore
     fresh_cfg = CFG.but(score=replace(CFG.score, jitter=False))
     all_scrapes = scrapes(spark, d)
     front = ranking.front_page_candidates(st.build_stories(all_scrapes, CFG), CFG.hot_set_size)
     out = rescore.score_tuner(front, st.story_links(all_scrapes, CFG), all_scrapes, fresh_cfg)
-    return out.select("story_id", r6("stored_score").alias("stored"),
-                      r6("score").alias("fresh"), F.col("place").cast("bigint").alias("place"))
+    # Place by the rounded score: the two engines' powers differ in the last bit.
+    place = Window.orderBy(F.desc(r6("score")), F.asc("story_id"))
+    return out.select("story_id", r6("stored_score").alias("stored"), r6("score").alias("fresh"),
+                      F.row_number().over(place).cast("bigint").alias("place"))
 
 
 @query("paged", assemble(
@@ -330,7 +331,6 @@ def paged(spark, d):
     """SELECT story_id, row_number() OVER (ORDER BY host, story_id) AS place
        FROM hot""", "hot"))
 def sorted_by(spark, d):
-    from pyspark.sql import Window
     hot = fp.front_page(stories_of(spark, d), CFG)
     rows = ranking.sorted_by(hot, "domain")
     return rows.select("story_id", F.row_number().over(Window.orderBy("host", "story_id"))
@@ -350,7 +350,6 @@ def top_k(spark, d):
        FROM (SELECT story_id, date, CASE WHEN n_scrapes > 3 THEN NULL ELSE round(score, 6) END s
              FROM candidates)""", "candidates"))
 def score_order(spark, d):
-    from pyspark.sql import Window
     rows = ranking.front_page_candidates(stories_of(spark, d), CFG.hot_set_size).select(
         "story_id", "date", F.when(F.col("n_scrapes") > 3, F.lit(float("nan")))
         .otherwise(r6("score")).alias("score"))

@@ -97,16 +97,16 @@ def story_score(cfg: ScoreConfig) -> Column:
     return total
 
 
-def _term_rows(terms: dict[str, Column], label=lambda n: F.lit(n)) -> Column:
-    rows = F.array(*[F.struct(label(n).alias("reason"), v.cast("double").alias("value"))
+def _term_rows(df: DataFrame, keys: list[str], terms: dict[str, Column]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(n).alias("reason"), v.cast("double").alias("value"))
                      for n, v in terms.items()])
-    return F.filter(rows, lambda r: r["value"].isNotNull())
+    return (df.select(*keys, F.explode(rows).alias("t"))
+            .select(*keys, "t.reason", "t.value").where(F.col("value").isNotNull()))
 
 
 def scrape_term_rows(core: DataFrame, cfg: ScoreConfig, keys: list[str]) -> DataFrame:
     """Long form of the per-scrape terms: keys, reason, value."""
-    rows = core.select(*keys, F.explode(_term_rows(scrape_terms(cfg))).alias("t"))
-    return rows.select(*keys, "t.reason", "t.value")
+    return _term_rows(core, keys, scrape_terms(cfg))
 
 
 def score_detail(best_scrapes: DataFrame, stories: DataFrame, now: Column,
@@ -117,8 +117,7 @@ def score_detail(best_scrapes: DataFrame, stories: DataFrame, now: Column,
     """
     per_story = {"Age": age_score(age_hours(now, F.col("date")), cfg.score),
                  **story_terms(cfg.score)}
-    top = stories.select("story_id", F.lit(None).cast("string").alias("source"),
-                         F.explode(_term_rows(per_story)).alias("t"))
-    low = best_scrapes.select("story_id", "source",
-                              F.explode(_term_rows(scrape_terms(cfg.score))).alias("t"))
-    return top.unionByName(low).select("story_id", "source", "t.reason", "t.value")
+    top = _term_rows(stories.withColumn("source", F.lit(None).cast("string")),
+                     ["story_id", "source"], per_story)
+    low = scrape_term_rows(best_scrapes, cfg.score, ["story_id", "source"])
+    return top.unionByName(low)

@@ -51,10 +51,10 @@ def match_existing(new: DataFrame, existing: DataFrame, days: int = 30) -> DataF
     hit = ((probe["url_norm"] == found["_norm"]) & (probe["look"] == found["match_shard"])
            & (found["match_date"] >= probe["date"] - span)
            & (found["match_date"] < probe["date"] + span))
-    first = (probe.join(found, hit).groupBy("new_key")
-             .agg(F.min(F.struct("back", "match_date", "match_id", "match_shard")).alias("m"))
-             .select("new_key", "m.match_id", "m.match_shard"))
-    return new.join(first, "new_key", "left")
+    best = F.min(F.when(F.col("match_id").isNotNull(),
+                        F.struct("back", "match_date", "match_id", "match_shard")))
+    return (probe.join(found, hit, "left").groupBy(*new.columns).agg(best.alias("m"))
+            .select(*new.columns, "m.match_id", "m.match_shard"))
 
 
 def _month(ts):

@@ -203,7 +203,7 @@ def classify_queries(spark, d):
         pages.select(F.concat(F.lit(" "), F.regexp_extract("url", "://([^/]*)", 1),
                               F.lit(" ")).alias("search")),
         part.select(F.col("p_name").alias("search")),
-        part.select(F.upper(F.explode(F.split("p_name", " "))).alias("search")),
+        part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("search")),
         part.select(F.col("p_brand").alias("search")),
         part.select(F.concat("p_type", F.lit(": "), "p_name").alias("search")),
         part.select(F.repeat(F.lit("*"), F.col("p_size") % 4).alias("search")),

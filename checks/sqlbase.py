@@ -41,7 +41,7 @@ def story_id(date: str, norm_: str) -> str:
 
 
 def month_label(shard: str) -> str:
-    return f"printf('%04d-%02d', {shard} // 12, {shard} % 12 + 1)"
+    return f"printf('%04d-%02d', ({shard}) // 12, ({shard}) % 12 + 1)"
 
 
 def unescape(t: str) -> str:

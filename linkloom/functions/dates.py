@@ -108,7 +108,9 @@ def approx_time(ts: Column, now: Column) -> Column:
     s = F.abs(past)
 
     def label(unit: int, word: str) -> Column:
-        return F.concat(F.format_string("%.2f", s / unit), F.lit(word))
+        # This form rounds the binary value exactly; printf style rounds its decimal text.
+        shown = F.call_function("format_number", s / unit, F.lit("0.00"))
+        return F.concat(shown, F.lit(word))
 
     size = (F.when(s > 86400, label(86400, " day(s)"))
             .when(s > 3600, label(3600, " hour(s)"))

@@ -1 +1,241 @@
-"""Pending."""
+"""Payload parsing, crawl plan, posts, backups, rate limits and event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from linkloom.functions import dates
+from linkloom.sources import backup, crawl, payloads, posts
+from linkloom.sources.derived import sightings, table
+
+from .registry import joined, query, scrapes
+from .sqlbase import assemble
+
+# Sightings are bundled, 25 order numbers at a time, into payloads of their site's format
+# and then parsed again; the twin computes the expected rows from the tables.
+_BUNDLE = 25
+
+
+def _bundled(spark, d, source):
+    rows = sightings(spark, d, raw_text=True).where(F.col("source") == source)
+    return rows.withColumn("payload", F.floor(F.col("seq") / _BUNDLE))
+
+
+def _payloads(bundled, item, before: str, between: str, after: str, source: str):
+    texts = bundled.select("payload", F.struct("seq", item.alias("t")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), between)
+    return texts.groupBy("payload").agg(F.concat(F.lit(before), body, F.lit(after)).alias("body")) \
+        .select("payload", F.lit(source).alias("source"), F.lit("x").alias("url"),
+                F.lit(200).alias("status"), "body", F.lit(None).cast("timestamp").alias("fetched_at"))
+
+
+def reddit_payloads(spark, d):
+    rows = _bundled(spark, d, "reddit")
+    item = F.to_json(F.struct(F.lit("t3").alias("kind"), F.struct(
+        "id", F.initcap("subsource").alias("subreddit"),
+        (F.col("seq") % 13 == 0).alias("stickied"),
+        F.unix_seconds("date").cast("double").alias("created_utc"), "url",
+        F.col("raw_title").alias("title"), F.col("comments").alias("num_comments"), "score",
+        F.col("downvotes").alias("downs"),
+        F.when(F.col("seq") % 17 == 0, -1).otherwise(F.col("upvotes")).alias("ups"),
+        "upvote_ratio", F.col("flair").alias("link_flair_text")).alias("data")))
+    return _payloads(rows, item, '{"data":{"children":[', ",", "]}}", "reddit")
+
+
+@query("parse_reddit", assemble(
+    """SELECT payload, id, subsource, url, raw_title, date_s, position, comments, upvotes, flair
+       FROM (SELECT seq // 25 AS payload, id, subsource, url, raw_title, seq,
+                    epoch(date)::BIGINT AS date_s, comments, upvotes, flair,
+                    row_number() OVER (PARTITION BY seq // 25, subsource ORDER BY seq) AS position
+             FROM scrapes WHERE source = 'reddit' AND seq % 13 <> 0) WHERE seq % 17 <> 0""",
+    "scrapes"))
+def parse_reddit(spark, d):
+    out = payloads.parse_reddit(reddit_payloads(spark, d)).scrapes
+    return out.select("payload", "id", "subsource", "url", "raw_title",
+                      F.unix_seconds("date").alias("date_s"),
+                      *[F.col(c).cast("bigint").alias(c) for c in ("position", "comments", "upvotes")],
+                      "flair")
+
+
+@query("parse_warnings", assemble(
+    """SELECT seq // 25 AS payload, CASE WHEN seq % 13 = 0 THEN 'Ignoring stickied story'
+              ELSE 'Bad integer ups' END AS message, count(*) AS n
+       FROM scrapes WHERE source = 'reddit' AND (seq % 13 = 0 OR seq % 17 = 0) GROUP BY ALL""",
+    "scrapes"))
+def parse_warnings(spark, d):
+    out = payloads.parse_reddit(reddit_payloads(spark, d)).warnings
+    return out.groupBy("payload", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("parse_rss", assemble(
+    """SELECT payload, id, url, raw_title, date_s, position, tags FROM (
+         SELECT seq // 25 AS payload, id, url, raw_title, epoch(date)::BIGINT AS date_s, seq,
+                array_to_string(tags, ',') AS tags,
+                row_number() OVER (PARTITION BY seq // 25 ORDER BY seq) AS position
+         FROM scrapes WHERE source = 'lobsters') WHERE seq % 19 <> 0""", "scrapes"))
+def parse_rss(spark, d):
+    rows = _bundled(spark, d, "lobsters")
+
+    def tag(name, value):
+        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+    item = F.concat(
+        F.lit("<item>"), tag("title", F.col("raw_title")),
+        tag("link", F.replace("url", F.lit("&"), F.lit("&amp;"))),
+        F.lit('<guid isPermaLink="false">https://lobste.rs/s/'), "id", F.lit("</guid>"),
+        F.when(F.col("seq") % 19 == 0, F.lit("")).otherwise(
+            tag("pubDate", dates.to_rfc2822(F.col("date")))),
+        F.array_join(F.transform("tags", lambda t: tag("category", t)), ""), F.lit("</item>"))
+    bodies = _payloads(rows, item, '<?xml version="1.0"?><rss><channel>', "",
+                       "</channel></rss>", "lobsters")
+    return payloads.parse_lobsters(bodies).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        F.col("position").cast("bigint").alias("position"), joined("tags").alias("tags"))
+
+
+def _attr(value):
+    return F.replace(value, F.lit("&"), F.lit("&amp;"))
+
+
+@query("parse_hn", assemble(
+    """SELECT seq // 25 AS payload, id, url, raw_title, epoch(date)::BIGINT AS date_s, position,
+              points, comments FROM scrapes WHERE source = 'hacker_news' AND seq % 23 <> 0""",
+    "scrapes"))
+def parse_hn(spark, d):
+    rows = _bundled(spark, d, "hacker_news")
+    story = F.concat(
+        F.lit('<tr class="athing" id="'), "id", F.lit('"><td><span class="rank">'), "position",
+        F.lit('.</span></td><td class="votelinks"></td><td class="title"><span class="titleline">'
+              '<a href="'), _attr("url"), F.lit('">'), "raw_title",
+        F.lit('</a> <span class="sitebit"><a href="from?site=x">x</a></span></span></td></tr>'))
+    talk = F.when(F.col("comments") == 0, F.lit("discuss")).otherwise(
+        F.concat(F.col("comments").cast("string"), F.lit("&nbsp;comments")))
+    info = F.concat(
+        F.lit('<tr><td colspan="2"></td><td class="subtext"><span class="score" id="score_'), "id",
+        F.lit('">'), "points", F.lit(' points</span> <span class="age" title="'),
+        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(' 1"><a href="item?id='), "id",
+        F.lit('">1 day ago</a></span> | <a href="hide">hide</a> | <a href="item?id='), "id",
+        F.lit('">'), talk, F.lit("</a></td></tr>"))
+    item = F.concat(story, F.when(F.col("seq") % 23 == 0, F.lit("")).otherwise(info))
+    bodies = _payloads(rows, item, "<html><table>", '<tr class="spacer"></tr>', "</table></html>",
+                       "hacker_news")
+    return payloads.parse_hacker_news(bodies).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        *[F.col(c).cast("bigint").alias(c) for c in ("position", "points", "comments")])
+
+
+@query("parse_slashdot", assemble(
+    """SELECT seq // 25 AS payload, '23/01/' || (seq % 28) || '/' || id AS id, url, raw_title,
+              epoch(date)::BIGINT AS date_s,
+              CASE WHEN comments % 5 = 0 THEN 0 ELSE comments END AS comments,
+              array_to_string(list_transform(tags, lambda t: lower(replace(t, '+', 'p'))), ',') AS tags
+       FROM scrapes WHERE source = 'slashdot' AND seq % 29 <> 0""", "scrapes"))
+def parse_slashdot(spark, d):
+    rows = _bundled(spark, d, "slashdot")
+    topics = F.array_join(F.transform("tags", lambda t: F.concat(
+        F.lit('<a href="//slashdot.org/index2.pl?fhfilter='),
+        F.lower(F.replace(t, F.lit("+"), F.lit("p"))), F.lit('"><img src="x.png"></a>'))), "")
+    bubble = F.when(F.col("comments") % 5 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<span class="comment-bubble"><a href="#c">'), F.col("comments").cast("string"),
+        F.lit("</a></span>")))
+    item = F.concat(
+        F.lit('<article class="fhitem article usermode"><header><span class="topic" id="t">'),
+        topics, F.lit('</span><h2 class="story"><span class="story-title"><a href="'
+                      '//tech.slashdot.org/story/23/01/'),
+        (F.col("seq") % 28).cast("string"), F.lit("/"), "id", F.lit('/some-title">'), "raw_title",
+        F.lit("</a>"), F.when(F.col("seq") % 29 == 0, F.lit("")).otherwise(F.concat(
+            F.lit(' <span class="no extlnk"><a class="story-sourcelnk" href="'), _attr("url"),
+            F.lit('">(site)</a></span>'))),
+        F.lit("</span>"), bubble, F.lit("</h2></header><time>"),
+        F.date_format(F.from_utc_timestamp("date", "US/Eastern"),
+                      "'on 'EEEE MMMM dd, yyyy' @'hh:mma"), F.lit("</time></article>"))
+    bodies = _payloads(rows, item, "<html><body>", "\n", "</body></html>", "slashdot")
+    return payloads.parse_slashdot(bodies).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        F.col("comments").cast("bigint").alias("comments"), joined("tags").alias("tags"))
+
+
+@query("scrape_payloads", assemble(
+    """SELECT CASE WHEN payload % 4 = 0 THEN 'warning' ELSE 'scrape' END AS part, source,
+              CASE WHEN payload % 4 = 0 THEN count(DISTINCT payload) ELSE count(*) END AS n
+       FROM (SELECT seq // 25 AS payload, source FROM scrapes WHERE source = 'reddit'
+             AND (seq // 25) % 4 = 0 OR source = 'reddit' AND seq % 13 <> 0 AND seq % 17 <> 0)
+       GROUP BY payload % 4 = 0, source, CASE WHEN payload % 4 = 0 THEN 'warning' ELSE 'scrape' END""",
+    "scrapes"))
+def scrape_payloads(spark, d):
+    rows = reddit_payloads(spark, d).withColumn(
+        "status", F.when(F.col("payload") % 4 == 0, 503).otherwise(200))
+    parsed = payloads.scrape_payloads(rows)
+    failed = parsed.warnings.where(F.col("message").startswith("HTTP 503"))
+    return (parsed.scrapes.select(F.lit("scrape").alias("part"), "source")
+            .unionByName(failed.select(F.lit("warning").alias("part"), "source"))
+            .groupBy("part", "source").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("crawl_plan", assemble(
+    """SELECT 'reddit' AS source, 'https://reddit.com/r/' || string_agg(name, '+' ORDER BY name)
+              || '/.json?limit=50' AS url
+       FROM (SELECT name, (row_number() OVER (ORDER BY name) - 1) // 5 AS batch
+             FROM (SELECT DISTINCT subsource AS name FROM scrapes WHERE subsource IS NOT NULL))
+       GROUP BY batch
+       UNION ALL SELECT unnest(['hacker_news', 'hacker_news', 'slashdot', 'lobsters']),
+         unnest(['https://news.ycombinator.com/news', 'https://news.ycombinator.com/news?p=2',
+                 'https://slashdot.org/', 'https://lobste.rs/rss'])""", "scrapes"))
+def crawl_plan(spark, d):
+    names = (scrapes(spark, d).where("subsource IS NOT NULL")
+             .select("source", F.col("subsource").alias("name")).distinct())
+    return crawl.crawl_plan(names)
+
+
+@query("posts", r"""
+    SELECT id, title, 'https://example.org/blog/' || id || '/' || slug AS url, date_s, tags,
+           'feed-' || date_s AS scrape_id
+    FROM (SELECT id, title, regexp_replace(replace(lower(title), ' ', '-'),
+                   '[^\p{L}\p{N}_-]', '', 'g') AS slug,
+                 epoch(CAST(id AS TIMESTAMP))::BIGINT AS date_s, lang || ',' || source || ',blog' AS tags
+          FROM (SELECT strftime(DATE '2000-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS id,
+                       'No ' || doc_id || ': ' || source || '!' AS title, lang, source
+                FROM documents))""")
+def post_rows(spark, d):
+    docs = table(spark, d, "documents")
+    files = docs.select(
+        F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")),
+                      "yyyy-MM-dd").alias("name"),
+        F.concat(F.lit("---\ntags: "), "lang", F.lit(", "), "source", F.lit("\ntitle: No "),
+                 F.col("doc_id").cast("string"), F.lit(": "), "source", F.lit("!\n---\n"), "text")
+        .alias("contents"))
+    found = posts.posts(files, "example.org")
+    sids = posts.as_scrapes(found).select("url", "scrape_id")
+    return found.join(sids, "url").select(
+        "id", "title", "url", F.unix_seconds("date").alias("date_s"), joined("tags").alias("tags"),
+        "scrape_id")
+
+
+@query("backup_changed", assemble(
+    """SELECT a.shard, a.n AS count FROM (SELECT shard, count(*) n, min(date) lo, max(date) hi
+         FROM scrapes GROUP BY shard) a
+       LEFT JOIN (SELECT shard, count(*) n, min(date) lo, max(date) hi FROM scrapes
+         WHERE NOT (source = 'feed' AND comments IS NULL AND seq < 5000) GROUP BY shard) b
+       USING (shard, n, lo, hi) WHERE b.shard IS NULL""", "scrapes"))
+def backup_changed(spark, d):
+    from linkloom.operators.counts import store_stats
+    rows = scrapes(spark, d)
+    before = rows.where(~((F.col("source") == "feed") & F.col("comments").isNull()
+                          & (F.col("seq") < 5000)))
+    return backup.changed_months(store_stats(rows), store_stats(before)).select(
+        F.col("shard").cast("bigint").alias("shard"), "count")
+
+
+@query("import_backup", assemble(
+    """SELECT scrape_id, source, subsource, id, url, raw_title, epoch(date)::BIGINT AS date_s,
+              position, points, comments, score, upvotes, flair,
+              array_to_string(tags, ',') AS tags FROM scrapes""", "scrapes"))
+def import_backup(spark, d):
+    lines = scrapes(spark, d).select(backup.to_record().alias("value"))
+    return backup.from_records(lines).select(
+        "scrape_id", "source", "subsource", "id", "url", "raw_title",
+        F.unix_seconds("date").alias("date_s"),
+        *[F.col(c).cast("bigint").alias(c)
+          for c in ("position", "points", "comments", "score", "upvotes")],
+        "flair", joined("tags").alias("tags"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import dates
@@ -216,13 +215,13 @@ def post_rows(spark, d):
     """SELECT a.shard, a.n AS count FROM (SELECT shard, count(*) n, min(date) lo, max(date) hi
          FROM scrapes GROUP BY shard) a
        LEFT JOIN (SELECT shard, count(*) n, min(date) lo, max(date) hi FROM scrapes
-         WHERE NOT (source = 'feed' AND comments IS NULL AND seq < 5000) GROUP BY shard) b
+         WHERE NOT (source = 'feed' AND year(date) IN (1996, 1999)) GROUP BY shard) b
        USING (shard, n, lo, hi) WHERE b.shard IS NULL""", "scrapes"))
 def backup_changed(spark, d):
     from linkloom.operators.counts import store_stats
     rows = scrapes(spark, d)
-    before = rows.where(~((F.col("source") == "feed") & F.col("comments").isNull()
-                          & (F.col("seq") < 5000)))
+    # The last backup ran before the feed scrapes of two years arrived.
+    before = rows.where(~((F.col("source") == "feed") & F.year("date").isin(1996, 1999)))
     return backup.changed_months(store_stats(rows), store_stats(before)).select(
         F.col("shard").cast("bigint").alias("shard"), "count")
 

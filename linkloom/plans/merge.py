@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,18 +33,26 @@ def collections_of(batch: DataFrame, cfg: EngineConfig = EngineConfig()) -> Data
     return rows.withColumn("new_key", F.concat_ws("#", F.col("anchor").cast("string"), "url_norm"))
 
 
+def _unstaged(df: DataFrame, _name: str) -> DataFrame:
+    return df
+
+
 def merge_batch(batch: DataFrame, stories: DataFrame, links: DataFrame, scrapes: DataFrame,
-                cfg: EngineConfig = EngineConfig()) -> MergeResult:
+                cfg: EngineConfig = EngineConfig(),
+                stage: Callable[[DataFrame, str], DataFrame] = _unstaged) -> MergeResult:
     """Cluster the batch, find each collection's story, recompute what is touched.
 
     ``scrapes`` is the raw store with or without the batch in it. Only stories that a
     collection matches are hydrated; the rest of the tables is filtered by semi join.
     Stories are replaced under the id they were found by, because an earlier scrape
     changes a story's date and with it its id.
+
+    ``stage`` may write an intermediate table to shared storage and read it back, so the
+    outputs do not each repeat the work before it.
     """
-    rows = collections_of(batch, cfg)
+    rows = stage(collections_of(batch, cfg), "collections")
     heads = rows.groupBy("new_key", "url_norm").agg(F.min("date").alias("date"))
-    matched = joins.match_existing(heads, stories, cfg.merge_days)
+    matched = stage(joins.match_existing(heads, stories, cfg.merge_days), "matched")
     # All collections that found one story merge into it; a new story keeps its own key.
     target = matched.select("new_key", "match_id",
                             F.coalesce("match_id", "new_key").alias("group_key"))
@@ -61,6 +70,7 @@ def merge_batch(batch: DataFrame, stories: DataFrame, links: DataFrame, scrapes:
     order = F.struct("seq", "date", F.xxhash64(F.to_json(F.struct("url", "raw_title"))))
     merged = cluster.dedup(arrivals.withColumn("seq", order), ["group_key", "scrape_id"],
                            cfg.merge_policy).drop("seq")
+    merged = stage(merged, "merged")
     if cfg.merge_policy == "max":
         merged = scoring.with_single_score(merged, cfg.score)
     rolled = cluster.roll_up(merged, ["url_norm", "group_key"])

@@ -11,6 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 import checks
+from linkloom.session import BUILD_SETTINGS
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -20,7 +21,7 @@ def session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("checks")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config(map=BUILD_SETTINGS).getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     return spark
 

@@ -39,6 +39,16 @@ def _norm_of(authority: Column, path: Column, query: Column) -> Column:
     return F.when(_host_of(authority).isNotNull(), F.concat(bare, short, shown))
 
 
+def has_host(url: Column) -> Column:
+    """Whether ``host`` is not null, as one pattern.
+
+    For filters: the optimizer moves a filter below the projection and would otherwise
+    compute the whole canonical form a second time there.
+    """
+    return url.rlike(r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?+"
+                     r"(?!:[0-9]*(?:[/?#]|$))[^/?#]")
+
+
 def host(url: Column) -> Column:
     """Host of a URL without port and site prefix; null when there is none."""
     return _host_of(_authority(url))

@@ -60,9 +60,9 @@ def core_rows(scrapes: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     """
     source = F.col("source")
     rank = F.when(source.isin(*RANKED_SOURCES) & (F.col("position") > 0), F.col("position") - 1)
-    keyed = urls.with_url_keys(scrapes.withColumn("shard", month_of(F.col("date"))))
+    usable = scrapes.where(urls.has_host(F.col("url")))
+    keyed = urls.with_url_keys(usable.withColumn("shard", month_of(F.col("date"))))
     return (keyed
-            .where(F.col("url_norm").isNotNull())
             .withColumn("title", core_title(source, F.col("raw_title")))
             .withColumn("core_tags", core_tags(cfg.sources))
             .withColumn("rank", rank)

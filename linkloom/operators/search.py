@@ -137,7 +137,9 @@ def by_domain(stories: DataFrame, domain: str) -> DataFrame:
 
 
 def by_url(stories: DataFrame, url: str) -> DataFrame:
-    """Same canonical URL. The string is compared, not a hash; every hit is equally good."""
+    """Same canonical URL, given in any spelling. The string is compared, not a hash; every
+    hit is equally good."""
+    url = url if "://" in url else f"http://{url}"
     return (stories.where(F.col("url_norm") == urls.url_norm(F.lit(url)))
             .withColumn("relevance", F.lit(1.0)))
 
@@ -213,7 +215,7 @@ def run(stories: DataFrame, kind: str, query: str, alt: str | None, now: Column,
     if kind == "tag":
         hits = by_tag(stories, query, alt)
     elif kind == "url":
-        hits = by_url(stories, query if "://" in query else f"http://{query}")
+        hits = by_url(stories, query)
     elif kind == "domain":
         hits = by_domain(stories, query)
     elif kind == "text":

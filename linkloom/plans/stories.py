@@ -44,6 +44,9 @@ def build_stories(scrapes: DataFrame, cfg: EngineConfig = EngineConfig(),
     if unique_ids:
         rolled = cluster.cluster_and_roll_up(rows, cfg)
     else:
+        if "seq" not in rows.columns:
+            # A stored table has no arrival order left; the later date stands.
+            rows = rows.withColumn("seq", F.struct("date", F.xxhash64("url", "raw_title")))
         grouped = cluster.assign_clusters(rows, cfg)
         merged = cluster.dedup(grouped, ["url_norm", "anchor", "scrape_id"], cfg.merge_policy)
         if cfg.merge_policy == "max":

@@ -15,8 +15,15 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Story aggregates hold about a kilobyte per group; the default gives up hashing after
+    # 128 groups and sorts every row instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
+# Static settings, for whoever builds the session: column expressions otherwise record
+# their Python call site, which makes building a plan several times slower.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""

@@ -23,7 +23,7 @@ def _bundled(spark, d, source):
 
 def _payloads(bundled, item, before: str, between: str, after: str, source: str):
     texts = bundled.select("payload", F.struct("seq", item.alias("t")).alias("s"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), between)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), between)
     return texts.groupBy("payload").agg(F.concat(F.lit(before), body, F.lit(after)).alias("body")) \
         .select("payload", F.lit(source).alias("source"), F.lit("x").alias("url"),
                 F.lit(200).alias("status"), "body", F.lit(None).cast("timestamp").alias("fetched_at"))

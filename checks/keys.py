@@ -226,5 +226,5 @@ def tag_sets(spark, d):
     rows = urls.with_url_keys(scrapes(spark, d)).select(
         "url_norm", F.explode_outer("tags").alias("t"))
     sets = rows.groupBy("url_norm").agg(F.collect_set(F.lower("t")).alias("t"))
-    return sets.select("url_norm", joined(F.array_sort("t")).alias("tags"),
+    return sets.select("url_norm", joined(F.sort_array("t")).alias("tags"),
                        F.array_contains("t", "java").alias("has_java"))

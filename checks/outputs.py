@@ -115,7 +115,7 @@ def own_posts(spark, d):
              .agg(F.min("page_id").alias("_p"), F.first("html").alias("html"))
              .select("url", "html", F.array(F.lit("post"), F.concat(F.lit("page"), "_p")).alias("tags")))
     kept = ranking.with_posts(stories_of(spark, d), known, _OWN)
-    return kept.select("story_id", joined(F.array_sort("tags")).alias("tags"))
+    return kept.select("story_id", joined(F.sort_array("tags")).alias("tags"))
 
 
 # Day and ten-day buckets: the events spread 66 per user over 30 days.

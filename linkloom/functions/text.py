@@ -47,14 +47,19 @@ def unescape_entities(text: Column) -> Column:
     An ampersand opens an entity that runs to the next semicolon, so a stray "&" before a
     good entity hides it. A lone "&" at the very end is dropped.
     """
-    entities = F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)
-    literals = F.split(text, _ENTITY, -1)
-    decoded = F.transform(entities, _decode_entity)
-    last = F.element_at(literals, -1)
-    closed = F.when(last.rlike("^[^&]*&$"), F.regexp_replace(last, "&$", "")).otherwise(last)
-    n = F.size(literals)
-    body = F.zip_with(F.slice(literals, 1, n - 1), decoded, lambda a, b: F.concat(a, b))
-    joined = F.concat(F.array_join(body, ""), closed)
+    parts = F.struct(
+        F.split(text, _ENTITY, -1).alias("plain"),
+        F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1).alias("coded"))
+
+    def join(p: Column) -> Column:
+        last = F.element_at(p["plain"], -1)
+        closed = F.when(last.rlike("^[^&]*&$"), F.rtrim(last, F.lit("&"))).otherwise(last)
+        body = F.zip_with(F.slice(p["plain"], 1, F.size(p["coded"])), p["coded"],
+                          lambda a, e: F.concat(a, _decode_entity(e)))
+        return F.concat(F.array_join(body, ""), closed)
+
+    # transform over a one-element array takes the text apart once
+    joined = F.get(F.transform(F.array(parts), join), F.lit(0))
     return F.when(~text.contains("&"), text).otherwise(joined)
 
 

@@ -30,7 +30,7 @@ def _host_of(authority: Column) -> Column:
 
 def _norm_of(authority: Column, path: Column, query: Column) -> Column:
     bare = F.regexp_replace(authority, r":(80|443)?$", "")
-    args = F.array_join(F.array_sort(F.filter(
+    args = F.array_join(F.sort_array(F.filter(
         F.split(F.substring(query, 2, 1 << 30), "&"),
         lambda a: (a != "") & ~a.rlike(_TRACKING))), "&")
     short = F.regexp_replace(path, r"(/index\.html)?/*$", "")

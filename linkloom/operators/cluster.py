@@ -28,7 +28,7 @@ def anchor_months(months: Column, reach: int = 2) -> Column:
         opens = (F.size(acc) == 0) | (m - F.element_at(acc, -1) > reach)
         return F.when(opens, F.array_append(acc, m)).otherwise(acc)
 
-    return F.aggregate(F.array_sort(months), start, step)
+    return F.aggregate(F.sort_array(months), start, step)
 
 
 def _with_anchor(per_month: DataFrame, reach: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _named(rolled: DataFrame, keys: list[str]) -> DataFrame:
     return rolled.select(
         *keys, "date", F.col("_title.title").alias("title"), F.col("_url.url").alias("url"),
         F.col("_url.host").alias("host"), "n_scrapes", "self_post",
-        F.array_sort("source_tags").alias("source_tags"), *_BEST)
+        F.sort_array("source_tags").alias("source_tags"), *_BEST)
 
 
 def roll_up(core: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,9 +35,13 @@ def reddit_tags(subsource: Column, flair: Column, cfg: SourceConfig) -> Column:
         F.when(subsource.isin(*tag_subs), subsource)))
 
 
-def core_title(source: Column, raw_title: Column) -> Column:
-    return (F.when(source == "reddit", text.trim_title(text.remove_edge_tags(raw_title)))
-            .otherwise(raw_title))
+def with_core_title(rows: DataFrame) -> DataFrame:
+    """Add ``title``: reddit titles lose edge tags and are shortened. Two steps, so the
+    bare title is computed once."""
+    bare = F.when(F.col("source") == "reddit", text.remove_edge_tags(F.col("raw_title")))
+    return (rows.withColumn("_bare", bare)
+            .withColumn("title", F.coalesce(text.trim_title(F.col("_bare")), "raw_title"))
+            .drop("_bare"))
 
 
 def core_tags(cfg: SourceConfig) -> Column:
@@ -62,8 +66,10 @@ def core_rows(scrapes: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     rank = F.when(source.isin(*RANKED_SOURCES) & (F.col("position") > 0), F.col("position") - 1)
     usable = scrapes.where(urls.has_host(F.col("url")))
     keyed = urls.with_url_keys(usable.withColumn("shard", month_of(F.col("date"))))
-    return (keyed
-            .withColumn("title", core_title(source, F.col("raw_title")))
+    # Never null here. Saying so keeps joins and groupings on it from adding a null filter,
+    # which would compute the whole form a second time below the projection.
+    keyed = keyed.withColumn("url_norm", F.coalesce("url_norm", F.lit("")))
+    return (with_core_title(keyed)
             .withColumn("core_tags", core_tags(cfg.sources))
             .withColumn("rank", rank)
             .withColumn("self_post",

@@ -41,31 +41,56 @@ def bucket_states(events: DataFrame, limit: RateLimit) -> DataFrame:
            .groupBy("key", "long_bucket", "short_bucket").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy("key").orderBy("long_bucket", "short_bucket")
     gap = F.col("long_bucket") - F.lag("long_bucket").over(order)
-    runs = per.withColumn("run", F.sum(F.coalesce((gap > 1).cast("int"), F.lit(0))).over(order))
+    zero = F.lit(0).cast("bigint")
+    near = F.lag("short_bucket").over(order) == F.col("short_bucket") - 1
+    # Running totals; the events of the long bucket before lie in a range of bucket numbers.
+    longs = Window.partitionBy("key").orderBy("long_bucket")
+    runs = per.withColumns({
+        "run": F.sum(F.coalesce((gap > 1).cast("int"), F.lit(0))).over(order),
+        "_short_before": F.when(near, F.lag("n").over(order)).otherwise(zero),
+        "_long_prev": F.coalesce(F.sum("n").over(longs.rangeBetween(-1, -1)), zero),
+        "_long_here": F.sum("n").over(longs.rangeBetween(0, 0)),
+        "_long_seen": F.sum("n").over(
+            Window.partitionBy("key", "long_bucket").orderBy("short_bucket")) - F.col("n")})
     hard, long_hard = 2 * limit.short_hard, 2 * limit.long_hard
-
-    def chain(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("short_bucket")
-        rows = []
-        last_short = last_long = None
-        short_prev = short_now = long_prev = long_now = 0
-        for key, long_b, short_b, n in zip(
-                run["key"], run["long_bucket"], run["short_bucket"], run["n"]):
-            adjacent = last_short is not None and short_b == last_short + 1
-            short_prev, short_now = (short_now if adjacent else 0), 0
-            if long_b != last_long:
-                long_prev = long_now if last_long is not None and long_b == last_long + 1 else 0
-                long_now = 0
-            taken = min(n, max(0, hard - short_prev))
-            room = max(0, long_hard - long_prev - long_now)
-            rows.append((key, short_b, n, short_prev, taken, long_prev + long_now, room))
-            short_now = taken
-            long_now += min(taken, room)
-            last_short, last_long = short_b, long_b
-        return pd.DataFrame(rows, columns=["key", "short_bucket", "n", "short_before",
-                                           "short_taken", "long_before", "long_room"])
-
-    return runs.groupBy("key", "run").applyInPandas(chain, _CHAIN_SCHEMA)
+    over = ((F.col("_short_before") + F.col("n") > hard)
+            | (F.col("_long_prev") + F.col("_long_here") > long_hard))
+    runs = runs.withColumn("_over", F.max(over).over(Window.partitionBy("key", "run")))
+    before = F.col("_long_prev") + F.col("_long_seen")
+    calm = runs.where(~F.col("_over")).select(
+        "key", "short_bucket", "n", F.col("_short_before").alias("short_before"),
+        F.col("n").alias("short_taken"), before.alias("long_before"),
+        (long_hard - before).alias("long_room"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
+        last_short = last_long = -2
+        short_now = long_prev = long_now = 0
+        for batch in batches:
+            rows = []
+            for key, long_b, short_b, n in zip(batch["key"], batch["long_bucket"].tolist(),
+                                               batch["short_bucket"].tolist(), batch["n"].tolist()):
+                if key != at:
+                    at, last_short, last_long = key, -2, -2
+                    short_now = long_prev = long_now = 0
+                short_prev = short_now if short_b == last_short + 1 else 0
+                if long_b != last_long:
+                    long_prev = long_now if long_b == last_long + 1 else 0
+                    long_now = 0
+                taken = min(n, max(0, hard - short_prev))
+                room = max(0, long_hard - long_prev - long_now)
+                rows.append((key, short_b, n, short_prev, taken, long_prev + long_now, room))
+                short_now = taken
+                long_now += min(taken, room)
+                last_short, last_long = short_b, long_b
+            yield pd.DataFrame(rows, columns=["key", "short_bucket", "n", "short_before",
+                                              "short_taken", "long_before", "long_room"])
+
+    # Keys meet in one task in order; six counters are all that is held, whatever the length.
+    walked = (runs.where("_over").select("key", "long_bucket", "short_bucket", "n")
+              .repartition("key").sortWithinPartitions("key", "short_bucket")
+              .mapInPandas(walk, _CHAIN_SCHEMA))
+    return calm.unionByName(walked)
 
 
 def _clamp(x: Column, low: Column, high: Column) -> Column:

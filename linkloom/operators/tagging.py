@@ -169,7 +169,7 @@ def _scan(hits: Column) -> Column:
             F.when(emits, F.concat(acc["tags"], h["emit"]))
             .otherwise(acc["tags"]).alias("tags"))
 
-    return F.aggregate(F.array_sort(hits), start, step, lambda acc: acc["tags"])
+    return F.aggregate(F.sort_array(hits), start, step, lambda acc: acc["tags"])
 
 
 def title_tags(title: Column, cfg: TagConfig) -> Column:
@@ -203,11 +203,11 @@ def title_tags(title: Column, cfg: TagConfig) -> Column:
 
     # transform over a one-element array binds the words once for the whole scan
     scanned = F.flatten(F.transform(F.array(title_words(text)), lambda w: _scan(hits(w))))
-    return F.array_sort(F.array_union(symbol_tags, scanned))
+    return F.sort_array(F.array_union(symbol_tags, scanned))
 
 
 def story_tags(title: Column, source_tags: Column, cfg: TagConfig) -> Column:
     """Tags of the title together with the scrapes' own tags in internal form."""
     mapped = internal_tag(cfg)
     own = F.transform(source_tags, lambda t: F.coalesce(mapped(t), F.lower(t)))
-    return F.array_sort(F.array_union(title_tags(title, cfg), own))
+    return F.sort_array(F.array_union(title_tags(title, cfg), own))

@@ -58,7 +58,7 @@ def json_feeds(ranked: DataFrame, tags: DataFrame | None,
     """
     rows = ranked.select("key", F.struct("rank", json_story(cfg.tags).alias("story")).alias("s"))
     feeds = rows.groupBy("key").agg(F.transform(
-        F.array_sort(F.collect_list("s")), lambda s: s["story"]).alias("stories"))
+        F.sort_array(F.collect_list("s")), lambda s: s["story"]).alias("stories"))
     none = F.array().cast("array<string>")
     if tags is None:
         top = none
@@ -98,7 +98,7 @@ def text_entry(cfg: TagConfig, now: Column) -> Column:
 def _joined(ranked: DataFrame, entry: Column, between: str) -> DataFrame:
     rows = ranked.select("key", F.struct("rank", entry.alias("e")).alias("s"))
     return rows.groupBy("key").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list("s")), lambda s: s["e"]), between).alias("value"))
+        F.sort_array(F.collect_list("s")), lambda s: s["e"]), between).alias("value"))
 
 
 def text_feeds(ranked: DataFrame, now: Column, cfg: EngineConfig = EngineConfig()) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Needed for right results everywhere, or plain good practice at any size. Partition
 # counts and memory are the cluster's business and are left alone.
@@ -52,3 +53,13 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute the columns of ``df`` once per row, here.
+
+    The optimizer moves a filter on a computed column below the projection that computes
+    it, and so computes it twice. It does not look through a generator.
+    """
+    row = F.explode(F.array(F.struct(*[F.col(c) for c in df.columns])))
+    return df.select(row.alias("_row")).select("_row.*")

@@ -22,7 +22,7 @@ def reddit_urls(names: DataFrame, cfg: SourceConfig = SourceConfig()) -> DataFra
     return (names.where("source = 'reddit'").select("source", "name")
             .withColumn("batch", F.floor(n / r.subreddit_batch))
             .groupBy("source", "batch")
-            .agg(F.array_join(F.array_sort(F.collect_list("name")), "+").alias("_joined"))
+            .agg(F.array_join(F.sort_array(F.collect_list("name")), "+").alias("_joined"))
             .select("source", F.concat(F.lit(before), "_joined", F.lit(after),
                                        F.lit(f"?limit={r.limit}")).alias("url")))
 

@@ -42,6 +42,14 @@ def links(text: Column) -> Column:
         a.alias("attrs"), strip_tags(t).alias("text")))
 
 
+def first_link(text: Column) -> Column:
+    """struct<attrs, text> of the first link, null when there is none."""
+    pattern = r"(?is)<a\b([^>]*)>(.*?)</a>"
+    return F.when(text.rlike(pattern), F.struct(
+        F.regexp_extract(text, pattern, 1).alias("attrs"),
+        strip_tags(F.regexp_extract(text, pattern, 2)).alias("text")))
+
+
 def digits(text: Column) -> Column:
     """The digits of a text as a number, null without any or beyond 32 bits."""
     n = F.regexp_replace(text, "[^0-9]", "").try_cast("bigint")

@@ -17,6 +17,7 @@ from ..config import EngineConfig, SourceConfig
 from ..functions import dates, ids, text, urls
 from ..functions.months import month_of
 from ..schema import RSS_CHANNEL
+from ..session import settled
 from . import html
 
 _INT_MAX = 2147483647
@@ -51,7 +52,7 @@ def _row(source: str, **values: Column) -> list[Column]:
 
 def _split(rows: DataFrame, source: str, message: Column, columns: list[Column]) -> Parsed:
     """Rows without a message are scrapes, the others warnings."""
-    marked = rows.withColumn("_message", message)
+    marked = settled(rows.withColumn("_message", message))
     return Parsed(
         marked.where(F.col("_message").isNull()).select(*columns),
         marked.where(F.col("_message").isNotNull()).select(
@@ -138,36 +139,46 @@ def _hacker_news_lines(payloads: DataFrame) -> DataFrame:
         "payload", F.posexplode(F.split("body", r"(?i)<tr(?=[\s>])", -1)).alias("_pos", "seg"))
         .where(F.col("_pos") > 0))
     seg = F.col("seg")
+    story, info = F.col("kind") == "story", F.col("kind") == "info"
     rows = rows.withColumn(
         "kind", F.when(seg.rlike(r"(?i)<table\b"), "table")
         .when(html.has_class(seg, "titleline"), "story")
         .when(html.has_class(seg, "subtext"), "info").otherwise("other"))
-    link = F.get(html.links(html.after_class(seg, "titleline")), F.lit(0))
-    href = text.unescape_entities(html.attr(link["attrs"], "href"))
-    talk = F.filter(html.links(seg), lambda a: a["text"].contains("comment")
-                    | a["text"].contains("discuss"))
-    last = F.try_element_at(talk, F.lit(-1))["text"]
-    age = html.attr(html.attrs_of(seg, "age"), "title")
+    # In steps, so every pattern runs once per line and only on lines of its kind.
+    rows = rows.withColumns({
+        "_link": F.when(story, html.first_link(html.after_class(seg, "titleline"))),
+        "_talk": F.when(info, F.filter(html.links(seg), lambda a: a["text"].contains("comment")
+                                       | a["text"].contains("discuss"))),
+        "_score": F.when(info, html.attrs_of(seg, "score")),
+        "_age": F.when(info, html.attr(html.attrs_of(seg, "age"), "title"))})
+    rows = rows.withColumns({
+        "_href": html.attr(F.col("_link.attrs"), "href"),
+        "_last": F.try_element_at("_talk", F.lit(-1))["text"]})
+    rows = rows.withColumn("_href", text.unescape_entities(F.col("_href")))
+    last, age = F.col("_last"), F.col("_age")
     return rows.select(
         "payload", "_pos", "kind",
-        F.when(F.col("kind") == "story", html.attr(F.regexp_extract(seg, "^([^>]*)", 1), "id"))
-        .otherwise(F.regexp_replace(html.attr(html.attrs_of(seg, "score"), "id"),
-                                    "^(score_)+", "")).alias("id"),
-        html.has_class(seg, "votelinks").alias("votes"),
-        F.when(href.startswith("item?"),
-               F.concat(F.lit("https://news.ycombinator.com/"), href)).otherwise(href).alias("url"),
-        text.unescape_entities(link["text"]).alias("raw_title"),
-        F.rtrim(F.regexp_extract(html.after_class(seg, "rank"), r"^([^<]*)", 1), F.lit("."))
-        .try_cast("bigint").alias("position"),
+        F.when(story, html.attr(F.regexp_extract(seg, "^([^>]*)", 1), "id"))
+        .otherwise(F.regexp_replace(html.attr(F.col("_score"), "id"), "^(score_)+", ""))
+        .alias("id"),
+        F.when(story, html.has_class(seg, "votelinks")).alias("votes"),
+        F.when(F.col("_href").startswith("item?"),
+               F.concat(F.lit("https://news.ycombinator.com/"), "_href"))
+        .otherwise(F.col("_href")).alias("url"),
+        text.unescape_entities(F.col("_link.text")).alias("raw_title"),
+        F.when(story, F.rtrim(F.regexp_extract(
+            html.after_class(seg, "rank"), r"^([^<]*)", 1), F.lit(".")).try_cast("bigint"))
+        .alias("position"),
         dates.parse_rfc3339_loose(F.when(age.endswith("Z"), age)
                                   .otherwise(F.concat(age, F.lit("Z")))).alias("date"),
-        html.digits(F.regexp_extract(html.after_class(seg, "score"), "^([^<]*)", 1)).alias("points"),
+        F.when(info, html.digits(F.regexp_extract(
+            html.after_class(seg, "score"), "^([^<]*)", 1))).alias("points"),
         F.when(last.contains("comment"), html.digits(last))
         .when(last.isNotNull(), F.lit(0)).alias("comments"))
 
 
 def parse_hacker_news(payloads: DataFrame) -> Parsed:
-    """Story lines joined to info lines by id; a story line without one is a warning."""
+    """Story lines paired with info lines by id; a story line without one is a warning."""
     lines = _hacker_news_lines(payloads)
     message = (
         F.when(F.col("kind") == "table", "Story table cannot contain other tables")
@@ -182,16 +193,19 @@ def parse_hacker_news(payloads: DataFrame) -> Parsed:
             Failed_to_parse_points=F.col("points").isNotNull(),
             Missing_comment_count=F.col("comments").isNotNull()))
         .otherwise("Unknown node type"))
-    lines = lines.withColumn("_message", message)
+    lines = settled(lines.withColumn("_message", message))
     bad = lines.where(F.col("_message").isNotNull())
-    # Of two lines with one id the later stands.
-    good = (lines.where(F.col("_message").isNull()).groupBy("payload", "kind", "id")
-            .agg(F.max_by(F.struct("url", "raw_title", "position", "date", "points", "comments"),
-                          "_pos").alias("r")))
-    story = good.where("kind = 'story'").select("payload", "id", "r.url", "r.raw_title", "r.position")
-    info = good.where("kind = 'info'").select("payload", "id", "r.date", "r.points", "r.comments")
-    both = story.join(info, ["payload", "id"])
-    lost = story.join(info, ["payload", "id"], "left_anti")
+    good = lines.where(F.col("_message").isNull())
+    # The inner join of story and info lines by id, as one grouping: of two lines with one
+    # id the later stands, and a story without an info line is unmatched.
+    pairs = good.groupBy("payload", "id").agg(
+        F.max(F.when(F.col("kind") == "story", F.struct(
+            "_pos", "url", "raw_title", "position"))).alias("s"),
+        F.max(F.when(F.col("kind") == "info", F.struct(
+            "_pos", "date", "points", "comments"))).alias("i")).where(F.col("s").isNotNull())
+    both = pairs.where(F.col("i").isNotNull()).select(
+        "payload", "id", "s.url", "s.raw_title", "s.position", "i.date", "i.points", "i.comments")
+    lost = pairs.where(F.col("i").isNull())
     warnings = bad.select("payload", F.col("_message").alias("message")).unionByName(
         lost.select("payload", F.concat(F.lit("Unmatched story/info for id "), "id")
                     .alias("message")))
@@ -218,26 +232,32 @@ def parse_slashdot(payloads: DataFrame, cfg: SourceConfig = SourceConfig()) -> P
     head = F.regexp_extract(html.after_class(F.col("seg"), "story-title"),
                             r"(?is)^(.*?)(?:</h2|</header|comment-bubble|<div\b|$)", 1)
     rows = rows.withColumn("_head", head).withColumn("_links", html.links(F.col("_head")))
-    first, second = (F.get("_links", F.lit(i)) for i in (0, 1))
-    story_href = html.attr(first["attrs"], "href")
+    rows = rows.withColumns({
+        "_first": F.get("_links", F.lit(0)), "_second": F.get("_links", F.lit(1))})
+    rows = rows.withColumns({
+        "_href": html.attr(F.col("_first.attrs"), "href"),
+        "_ext": html.attr(F.col("_second.attrs"), "href"),
+        "_bubble": html.strip_tags(F.regexp_extract(
+            html.after_class(F.col("seg"), "comment-bubble"), r"(?is)^(.*?)(?:</span|</div|$)", 1)),
+        "_when": html.strip_tags(F.regexp_extract(
+            "seg", r"(?is)<time\b[^>]*>(.*?)</time", 1))})
+    story_href = F.col("_href")
     id_re = r"/story/([^/]*/[^/]*/[^/]*/[^/]*)"
-    bubble = html.strip_tags(F.regexp_extract(
-        html.after_class(F.col("seg"), "comment-bubble"), r"(?is)^(.*?)(?:</span|</div|$)", 1))
+    bubble = F.col("_bubble")
     topic = F.regexp_extract(html.after_class(F.col("seg"), "topic"),
                              r"(?is)^(.*?)(?:</span|</div|$)", 1)
     topics = F.array_compact(F.transform(
         html.links(topic), lambda a: slashdot_topic(html.attr(a["attrs"], "href"))))
-    when = html.strip_tags(F.regexp_extract("seg", r"(?is)<time\b[^>]*>(.*?)</time", 1))
     rows = rows.select(
         "payload", "_head", F.size("_links").alias("_n"),
         html.has_class(F.col("seg"), "comment-bubble").alias("_talked"),
         html.has_class(F.col("seg"), "topic").alias("_topical"),
-        text.unescape_entities(first["text"]).alias("raw_title"), story_href.alias("_href"),
+        text.unescape_entities(F.col("_first.text")).alias("raw_title"), "_href",
         F.when(story_href.rlike(id_re), F.regexp_extract(story_href, id_re, 1)).alias("id"),
-        text.unescape_entities(html.attr(second["attrs"], "href")).alias("url"),
+        text.unescape_entities(F.col("_ext")).alias("url"),
         F.when(bubble.rlike("^[0-9]{1,10}$"), bubble.cast("bigint")).alias("_count"),
         topics.alias("tags"),
-        dates.parse_slashdot_time(when, cfg.slashdot_times_are_eastern).alias("date"))
+        dates.parse_slashdot_time(F.col("_when"), cfg.slashdot_times_are_eastern).alias("date"))
     message = _missing(**{
         "Missing .story-title": F.col("_head") != "",
         "Missing story link": F.col("_n") >= 1,

@@ -54,7 +54,7 @@ def main() -> None:
         return spark.read.parquet(f"{folder}/{name}")
 
     def save(df, name: str) -> None:
-        df.write.partitionBy("shard").parquet(f"{folder}/{name}")
+        df.repartitionByRange("shard").write.partitionBy("shard").parquet(f"{folder}/{name}")
 
     drain(sightings(spark, SF_DIR).limit(10))  # start the JVM's code paths
     timed("scrapes", lambda: sightings(spark, SF_DIR).write.parquet(f"{folder}/scrapes"))

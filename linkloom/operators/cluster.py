@@ -42,6 +42,13 @@ def _with_anchor(per_month: DataFrame, reach: int) -> DataFrame:
             .drop("_anchors"))
 
 
+def anchored_months(core: DataFrame, figures: list[Column],
+                    cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(url_norm, shard, anchor) with figures of each month of each URL."""
+    per_month = core.groupBy("url_norm", "shard").agg(*figures)
+    return _with_anchor(per_month, cfg.cluster_months)
+
+
 def month_anchors(core: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(url_norm, shard, anchor): the story each month of each URL belongs to."""
     return _with_anchor(core.select("url_norm", "shard").distinct(), cfg.cluster_months)

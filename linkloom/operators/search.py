@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, TagConfig
@@ -49,9 +49,14 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, total_len: Column)
     return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
 
-def relevance(stories: DataFrame, terms: list[Term],
-              phrases: list[HostPhrase] = ()) -> DataFrame:
-    """Stories that match any term or phrase, with ``relevance``."""
+def relevance(stories: DataFrame, terms: list[Term], phrases: list[HostPhrase] = (),
+              most: int | None = None) -> DataFrame:
+    """Stories that match any term or phrase, with ``relevance``.
+
+    ``most`` keeps only the newest months that together hold the first ``most`` hits of a
+    month-major order. The months come from the figures, so the scoring scan of a
+    partitioned table is pruned to them and every row of that order is still there.
+    """
     rows = stories.withColumns({
         "_t_title": text.text_tokens(F.col("title")), "_t_tags": _tag_tokens(),
         "_host": urls.host_phrase(F.col("host"))})
@@ -64,11 +69,18 @@ def relevance(stories: DataFrame, terms: list[Term],
     rows = rows.withColumns({
         **tf, "_len_title": F.size("_t_title"), "_len_tags": F.size("_t_tags"),
         "_len_host": F.size(urls.host_tokens(F.col("host")))})
+    hit = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in tf], F.lit(False))
     figures = rows.groupBy("shard").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_len_{f}").alias(f"_sum_{f}") for f in ("title", "tags", "host")],
-        *[F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_df") for c in tf])
-    matched = rows.where(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in tf], F.lit(False)))
+        *[F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_df") for c in tf],
+        F.sum(hit.cast("bigint")).alias("_hits"))
+    if most is not None:
+        # One row per month, so the one-partition window is small.
+        newer = Window.orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+        figures = (figures.withColumn("_newer", F.coalesce(F.sum("_hits").over(newer), F.lit(0)))
+                   .where((F.col("_newer") < most) & (F.col("_hits") > 0)))
+    matched = rows.where(hit)
     scored = matched.join(F.broadcast(figures), "shard")
 
     def part(name: str, column: str) -> Column:
@@ -106,12 +118,14 @@ def ranked(matched: DataFrame, now: Column, max_count: int = 300) -> DataFrame:
         .orderBy(*search_order()).limit(max_count))
 
 
-def by_tag(stories: DataFrame, tag: str, alt: str | None = None) -> DataFrame:
+def by_tag(stories: DataFrame, tag: str, alt: str | None = None,
+           most: int | None = None) -> DataFrame:
     tokens = [tag]
     # An alternative such as "c++" would be cut to "c"; only whole tokens are looked up.
     if alt and alt.isalnum():
         tokens.append(alt)
-    return relevance(stories, [Term(t.lower(), {"title": 1.0, "tags": 10.0}) for t in tokens])
+    return relevance(stories, [Term(t.lower(), {"title": 1.0, "tags": 10.0}) for t in tokens],
+                     most=most)
 
 
 def split_tokens(phrase: str) -> list[str]:
@@ -125,15 +139,15 @@ def split_tokens(phrase: str) -> list[str]:
     return list(dict.fromkeys(t for t in out if len(t.encode()) < 40))
 
 
-def by_text(stories: DataFrame, phrase: str) -> DataFrame:
+def by_text(stories: DataFrame, phrase: str, most: int | None = None) -> DataFrame:
     neutral = phrase.replace("http:", "http ").replace("https:", "https ")
     return relevance(stories, [Term(t, {"title": 1.0, "tags": 3.0})
-                               for t in split_tokens(neutral)])
+                               for t in split_tokens(neutral)], most=most)
 
 
-def by_domain(stories: DataFrame, domain: str) -> DataFrame:
+def by_domain(stories: DataFrame, domain: str, most: int | None = None) -> DataFrame:
     """Host contains the domain's tokens as a run: ``co.uk`` finds ``x.y.co.uk``."""
-    return relevance(stories, [], [HostPhrase(domain)])
+    return relevance(stories, [], [HostPhrase(domain)], most)
 
 
 def by_url(stories: DataFrame, url: str) -> DataFrame:
@@ -164,7 +178,8 @@ def related(stories: DataFrame, title: str, tags: list[str], own_url: str | None
         else:
             entry = boosts.setdefault(tag, {})
             entry["tags"] = entry.get("tags", 0.0) + 0.2
-    out = relevance(stories, [Term(t, b) for t, b in boosts.items()], phrases)
+    # One more than asked for: the story itself is among the hits.
+    out = relevance(stories, [Term(t, b) for t, b in boosts.items()], phrases, max_count + 1)
     if own_url is not None:
         out = out.where(~((F.col("url") == own_url) & (F.col("date") == own_date)))
     return (out.withColumn("rank_score", F.round("relevance", 9))
@@ -213,13 +228,13 @@ def run(stories: DataFrame, kind: str, query: str, alt: str | None, now: Column,
         cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Execute one classified search."""
     if kind == "tag":
-        hits = by_tag(stories, query, alt)
+        hits = by_tag(stories, query, alt, cfg.max_count)
     elif kind == "url":
         hits = by_url(stories, query)
     elif kind == "domain":
-        hits = by_domain(stories, query)
+        hits = by_domain(stories, query, cfg.max_count)
     elif kind == "text":
-        hits = by_text(stories, query)
+        hits = by_text(stories, query, cfg.max_count)
     else:
         raise ValueError("the front page is a job of its own")
     return ranked(hits, now, cfg.max_count)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SOURCES, EngineConfig
@@ -56,16 +56,25 @@ def build_stories(scrapes: DataFrame, cfg: EngineConfig = EngineConfig(),
 
 
 def story_links(scrapes: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """(shard, story_id, scrape_shard, scrape_id), one row per scrape.
+    """(shard, story_id, scrape_shard, scrape_id), one row per scrape, for unique ids.
 
     A link table instead of an array per story: a story seen a billion times stays a
-    billion small rows on many tasks.
+    billion small rows on many tasks. A story's id needs only its earliest date, which is
+    found on the (url_norm, month) rows, so the scrapes themselves are joined once.
     """
     rows = core.core_rows(scrapes, cfg).select("url_norm", "shard", "date", "scrape_id")
-    return links_of(cluster.assign_clusters(rows, cfg), ["url_norm", "anchor"])
+    first = F.min("_first").over(Window.partitionBy("url_norm", "anchor"))
+    named = (cluster.anchored_months(rows, [F.min("date").alias("_first")], cfg)
+             .withColumn("_first", first)
+             .select("url_norm", "shard", month_of(F.col("_first")).alias("_story_shard"),
+                     ids.story_id(F.col("_first"), F.col("url_norm")).alias("story_id")))
+    return rows.join(named, ["url_norm", "shard"]).select(
+        F.col("_story_shard").alias("shard"), "story_id",
+        F.col("shard").alias("scrape_shard"), "scrape_id")
 
 
 def links_of(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Link rows of groups that are already formed, such as merged stories."""
     first = grouped.groupBy(*keys).agg(F.min("date").alias("_first"))
     named = first.select(
         *keys, month_of(F.col("_first")).alias("_story_shard"),

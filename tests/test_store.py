@@ -209,3 +209,18 @@ def test_validation_finds_faults(spark):
     stories, links = st.build_stories(rows, CFG), st.story_links(rows, CFG)
     bad = quality.validate(stories.unionByName(stories), links, rows.limit(0)).first()
     assert (bad.stories, bad.duplicate_ids, bad.dangling_links) == (2, 1, 1)
+
+
+def test_bots_pass_both_limits(spark):
+    bot_limit = RateLimit(short_soft=6, long_soft=20)
+    events = [(k, "bot" if i % 2 else "browser", bool(i % 2), t, i)
+              for k, t, i in random_events(1200)]
+    df = spark.createDataFrame(
+        events, "ip STRING, agent STRING, is_bot BOOLEAN, ts TIMESTAMP, event_id BIGINT")
+    by_ip = slow_levels([(e[0], e[3], e[4]) for e in events], LIMIT)
+    by_bot = slow_levels([(e[1], e[3], e[4]) for e in events
+                          if e[2] and by_ip[e[4]] != "hard"], bot_limit)
+    rank = {"none": 0, "soft": 1, "hard": 2}
+    want = {i: max(by_ip[i], by_bot.get(i, "none"), key=rank.get) for i in by_ip}
+    got = {r.event_id: r.level for r in rates.classify_requests(df, LIMIT, bot_limit).collect()}
+    assert got == want and any(by_bot[i] == "hard" for i in by_bot)

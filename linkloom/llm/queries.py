@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, packing, quality_rules, simhash, site_quality
+from linkloom.llm import langid, mixing, packing, quality_rules, simhash, site_quality
 
 QUERIES: dict = {}
 TWINS: dict[str, str] = {}
@@ -65,3 +65,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    # A null id is in no fold, so it is not learned from.
+    model = langid.learn(docs.where(~out))
+    rows = docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(rows, model, ["doc_id", "held_out"])

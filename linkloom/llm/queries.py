@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, mixing, packing, quality_rules, simhash, site_quality
+from linkloom.llm import langid, mixing, multiset_hash, packing, quality_rules, simhash, site_quality
 
 QUERIES: dict = {}
 TWINS: dict[str, str] = {}
@@ -75,3 +75,47 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(~out))
     rows = docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text")
     return langid.identify(rows, model, ["doc_id", "held_out"])
+
+
+@query("op6_document_fingerprints", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+ordered AS (
+  SELECT doc_id, t, n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx,
+         row_number() OVER w AS r, count(*) OVER () AS total
+  FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, t
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (SELECT *, substr(t, 1, n - n // 3) || substr(nx, 1, n // 3) AS e FROM ordered),
+texts AS (SELECT r, 0 AS v, t AS x FROM edits UNION ALL SELECT r, 1, e FROM edits),
+units AS (
+  SELECT r, v, unnest(string_split(replace(replace(replace(x, '. ', '.' || chr(10)), '! ', '!' || chr(10)),
+                                           '? ', '?' || chr(10)), chr(10))) AS p FROM texts),
+digests AS (SELECT r, v, md5(p) AS h FROM units WHERE trim(p) <> ''),
+lane AS (SELECT unnest(range({multiset_hash.LANES})) AS i),
+sums AS (
+  SELECT r, v, i, sum(2 * ((('0x' || substr(h, 8 * (i // 32) + 1, 8))::BIGINT >> (i % 32)::BIGINT) & 1) - 1) AS s
+  FROM digests, lane GROUP BY ALL),
+full_ AS (
+  SELECT t.r, t.v, l.i, ((coalesce(s.s, 0) % 65536) + 65536) % 65536 AS s
+  FROM (SELECT r, v FROM texts) t CROSS JOIN lane l LEFT JOIN sums s ON s.r = t.r AND s.v = t.v AND s.i = l.i),
+prints AS (SELECT r, v, string_agg(printf('%04x', s::BIGINT), '' ORDER BY i) AS f FROM full_ GROUP BY ALL),
+signed AS (SELECT r, v, i, CASE WHEN s >= 32768 THEN s - 65536 ELSE s END AS s FROM full_),
+pairs AS (
+  SELECT a.r, 'e' AS k, a.s AS x, b.s AS y FROM signed a JOIN signed b ON a.r = b.r AND a.i = b.i WHERE a.v = 0 AND b.v = 1
+  UNION ALL
+  SELECT a.r, 'n', a.s, b.s FROM signed a JOIN edits o ON o.r = a.r
+  JOIN signed b ON b.r = o.r % o.total + 1 AND a.i = b.i WHERE a.v = 0 AND b.v = 0),
+figures AS (
+  SELECT r, k, sum(x * x) + sum(y * y) AS both_, sum(power(((x - y + 98304) % 65536) - 32768, 2)) AS apart
+  FROM pairs GROUP BY ALL),
+near AS (
+  SELECT r, k, round(CASE WHEN both_ = 0 THEN 1.0 ELSE least(1.0, greatest(0, both_ - apart) / both_) END, 6) AS x FROM figures)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.e) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+       c.x AS near_edited, g.x AS near_next
+FROM edits e JOIN prints a ON a.r = e.r AND a.v = 0 JOIN prints b ON b.r = e.r AND b.v = 1
+JOIN near c ON c.r = e.r AND c.k = 'e' JOIN near g ON g.r = e.r AND g.k = 'n'
+""")
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multiset_hash.compare_edits(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", multiset_hash.as_text(F.col("own")).alias("fingerprint"),
+                      multiset_hash.as_text(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -43,6 +43,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of this many narrow rows at most is broadcast (some 20 MB); a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def sized(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """``small`` marked for a broadcast join if it is small, counted first if need be.
+
+    Pass a settled table. A larger one goes into an ordinary join, whose skew adaptive
+    execution splits.
+    """
+    return F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else small
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

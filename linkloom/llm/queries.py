@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, mixing, multiset_hash, packing, quality_rules, simhash, site_quality
+from linkloom.llm import (langid, mixing, multiset_hash, packing, preference, quality_rules, simhash,
+                          site_quality, url_rules, warc)
 
 QUERIES: dict = {}
 TWINS: dict[str, str] = {}
@@ -119,3 +120,79 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = multiset_hash.compare_edits(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", multiset_hash.as_text(F.col("own")).alias("fingerprint"),
                       multiset_hash.as_text(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+#: The rules that the contract of the query fixes: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+@query("op1_url_filters", f"""
+WITH rules(h, p, v) AS (VALUES {_VALUES}),
+rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+bare AS (SELECT page_id, split_part(split_part(coalesce(r, ''), '?', 1), '#', 1) AS b FROM rest),
+parts AS (
+  SELECT row_number() OVER () AS k, page_id, translate(split_part(b, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, substr(b, length(split_part(b, '/', 1)) + 1) AS path FROM bare),
+hits AS (
+  SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN hits USING (k)
+""")
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)\
+        .select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_chat_formatting", """
+WITH last AS (
+  SELECT conv_id, arg_max(turn, (turn, coalesce(text, ''))) AS turn, max((turn, coalesce(text, '')))[2] AS text
+  FROM conversations WHERE role = 'assistant' GROUP BY 1),
+common AS (
+  SELECT c.conv_id, list(struct_pack(role := coalesce(c.role, 'unknown'), text := coalesce(c.text, ''))
+                         ORDER BY c.turn, c.role, c.text) AS turns
+  FROM conversations c LEFT JOIN last l USING (conv_id)
+  WHERE l.conv_id IS NULL OR c.turn < l.turn OR c.turn IS NULL GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+answers AS (
+  SELECT i.conv_id AS pair_id, coalesce(c.turns, []) AS turns, a.text AS chosen, CASE WHEN a.text IS NOT NULL THEN b.text END AS rejected
+  FROM ids i LEFT JOIN common c USING (conv_id) LEFT JOIN last a USING (conv_id) LEFT JOIN last b ON b.conv_id = xor(i.conv_id, 1)),
+split AS (
+  SELECT pair_id, turns, chosen = rejected AS same, chosen, rejected FROM answers),
+body AS (
+  SELECT pair_id, len(turns) + (CASE WHEN same THEN 1 ELSE 0 END) AS prompt_turns,
+         coalesce(list_aggregate(list_transform(turns, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)),
+                                 'string_agg', ''), '')
+         || CASE WHEN same THEN '<|assistant|>' || chr(10) || chosen || '<|end|>' || chr(10) ELSE '' END AS prompt,
+         CASE WHEN same THEN NULL ELSE chosen END AS c, CASE WHEN same THEN NULL ELSE rejected END AS r FROM split)
+SELECT pair_id, prompt_turns::INTEGER AS prompt_turns, prompt,
+       (c IS NOT NULL)::INTEGER AS chosen_turns, coalesce('<|assistant|>' || chr(10) || c || '<|end|>' || chr(10), '') AS chosen,
+       CASE WHEN c IS NULL THEN '' ELSE '14:' || (14 + length(c) + 8) END AS chosen_mask,
+       (r IS NOT NULL)::INTEGER AS rejected_turns, coalesce('<|assistant|>' || chr(10) || r || '<|end|>' || chr(10), '') AS rejected,
+       CASE WHEN r IS NULL THEN '' ELSE '14:' || (14 + length(r) + 8) END AS rejected_mask,
+       (c IS NOT NULL OR r IS NOT NULL) AS differs
+FROM body
+""")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    out = preference.format_preferences(turns)
+    spans = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(m)
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen_turns", "chosen", spans("chosen_mask"),
+                      "rejected_turns", "rejected", spans("rejected_mask"), "differs")
+
+
+@query("op7_warc_revisits", """
+WITH d AS (
+  SELECT page_id, encode(coalesce(html, '')) AS p, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE octet_length(p) >= 100 GROUP BY h)
+SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (h)
+""")
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -127,7 +127,7 @@ def patterns(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
                 b = rest[np.minimum(room - a, a)]
                 b = np.where((b == a) & (have[a] < 2), rest[a - 1], b)
                 fill = np.where(b > 0, a + b, 0)
-                best = int(fill.argmax())
+                best = len(fill) - 1 - int(fill[::-1].argmax())  # of equal fills the one with the longest
                 if fill[best] > small:
                     used[small] -= 1
                     if not used[small]:

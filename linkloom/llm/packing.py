@@ -33,29 +33,75 @@ END_ID = 1
 
 # ---------------------------------------------------------------- tokens
 
-class WordIds(dict):
-    """Little-endian token ids of a blank-free stretch of text, computed once per stretch.
+class WordIds:
+    """Little-endian token ids of texts, by their stretches without blanks.
 
     The vocabulary drops white space, and no merge crosses it, so a text's ids are those of
-    its stretches in order. The memory is bounded: long stretches are not kept, and the store
-    is emptied when full.
+    its stretches in order. Nor does one cross from a letter to the punctuation behind it, and
+    case is folded; so a stretch is cut there, and its parts are looked up in lower case. Parts
+    are kept once encoded, new ones encoded together. The memory is bounded: long stretches are
+    not kept, and the store is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
-        super().__init__()
-        from tokenizers import Tokenizer
-        self.encode, self.most, self.longest = Tokenizer.from_file(path).encode, most, longest
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+    # All of ASCII but letters, digits, white space and the apostrophe, which may start a suffix.
+    BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
+        from tokenizers import Tokenizer
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def _encode(self, new: list[str]) -> None:
+        """Ids of new parts. Those of letters alone are one word each to the tokenizer; so many
+        are encoded as one text, and cut behind each token that ends a word."""
+        plain = [x for x in new if x.isalpha() and len(x) <= self.longest]
+        rest = [x for x in new if not (x.isalpha() and len(x) <= self.longest)]
+        for at in range(0, len(plain), 2000):
+            words = plain[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(words):  # a letter that is lower-cased to more than letters
+                rest += words
+                continue
+            data, stops = ids.tobytes(), [0, *stops.tolist()]
+            for w, a, b in zip(words, stops, stops[1:]):
+                self.parts[w] = data[a:b]
+        for x, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[x] = np.array(found.ids, dtype="<u4").tobytes()
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        distinct = set().union(*parts)
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            self.parts.clear()
+            new = list(distinct)
+        cut: dict[str, tuple[str, ...]] = {}
+        for w in new:
+            stem = w.rstrip(self.BEHIND)
+            if "<|" in w:  # may be a special token, which is taken as it stands
+                cut[w] = (w,)
+            elif stem and stem[-1].isalpha():
+                cut[w] = (stem.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), w[len(stem):])
+            else:
+                cut[w] = (w,)
+        parts_new = [x for x in {x for c in cut.values() for x in c} if x not in self.parts]
+        self._encode(parts_new)
+        for w, c in cut.items():
+            self.known[w] = b"".join([self.parts[x] for x in c])
+        out = [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        for x in parts_new:
+            if len(x) > self.longest:
+                del self.parts[x]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +124,8 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         words = _word_ids(tokenizer)
         for batch in batches:
             rows = []
-            for key, value in zip(batch["doc_id"], batch["text"]):
-                ids = words.of(value or "") + end
+            for key, ids in zip(batch["doc_id"], words.of(batch["text"].tolist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, part))
@@ -174,14 +220,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     plan = spark.sparkContext.broadcast(places(patterns(counts)))  # bounded by ``capacity`` too
 
     total = int(counts.sum())
-    cut = lengths.select(c("length").alias("_length"), salts(c("n"), F.lit(total), partitions(spark)).alias("_cut"))
-    salted = (pieces.join(cut, c("length") == c("_length"))
+    cut = (spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts) if n], "_length long, n long")
+           .select("_length", salts(F.col("n"), F.lit(total), partitions(spark)).alias("_cut")))
+    # Both tables that are broadcast here are bounded: ``capacity`` rows, and four more per partition.
+    salted = (pieces.join(F.broadcast(cut), c("length") == c("_length"))
               .withColumn("_salt", F.pmod(F.xxhash64(*order), c("_cut"))).drop("_length", "_cut"))
     before = (salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
               .select(c("length").alias("_length"), c("_salt").alias("_s"),
                       (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - c("n")).alias("_before")))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = (ranked.join(before, (c("length") == c("_length")) & (c("_salt") == c("_s")))
+    ranked = (ranked.join(F.broadcast(before), (c("length") == c("_length")) & (c("_salt") == c("_s")))
               .withColumn("_k", c("_before") + c("_rank") - 1).select(*pieces.columns, "_k"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

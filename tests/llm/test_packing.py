@@ -61,9 +61,9 @@ def test_cached_ids_are_the_tokenizers(sf):
     texts = pd.read_parquet(f"{sf}/documents.parquet").text.tolist()
     texts += ["", " ", "\n\n", "it's DON'T we'll", "á e ́ x", "<|endoftext|> a<|startoftext|>b", "tab\tand\x0bmore\x85 end",
               "Straße ΣΑΣ İI ǅ", "12,345.67 $$$ -- 😀👍🏽 ‍", "日本語 テスト", "x" * 3000, "\x1c\x1f y", "ﬁ ½ Ⅷ"]
-    for t in texts:
+    for got, t in zip([*words.of(texts[:90]), *(words.of([t])[0] for t in texts[90:])], texts):
         want = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert words.of(t) == want, t[:40]
+        assert got == want, t[:40]
 
 
 def check(rows, capacity=4096):

@@ -6,7 +6,8 @@ bucket. Such sketches merge by addition, in any order, so they are built by one
 aggregation with map-side combining and merged upwards from (language, source) to language
 to everything. A group's upper fence is ``q75 + spread * (q75 - q25) + slack``; a group with
 fewer than ``min_group`` rows takes its language's fence, and a language with fewer takes the
-global one. The fences (a few rows per group) are joined back to the documents.
+global one. The fences, one row per group, are joined back to the
+documents, by broadcast as long as they are few.
 
 Defined results: null text counts as no words and fails the base rule; null language and null
 source are groups of their own; repeated rows are judged alike, each on its own; an empty
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from linkloom.llm.common import WHITESPACE, small_batches, whole_row, with_row
+from linkloom.llm.common import WHITESPACE, settle, sized, small_batches, whole_row, with_row
 
 # Fixed value: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -149,7 +150,7 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         "repeats": _ratio(c("n_repeat_words"), c("n_words"), 1000),
         "word_length": _ratio(c("word_chars"), c("n_words"), 10),
     })
-    limits = fences(rows, settings)
+    limits = sized(settle(fences(rows, settings)))
     names = list(settings.slack)
     joined = rows.join(limits, c("_lang").eqNullSafe(c("_fence_lang"))
                        & c("_source").eqNullSafe(c("_fence_source")), "left")

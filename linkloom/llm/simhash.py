@@ -236,15 +236,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
                               fingerprints(F.col(f"`{text}`").cast("string")).alias("fp")))
-    firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    share = firsts.agg(F.sum("n")).first()[0] or 0
     roots = components(links(firsts.select("fp")))
     grown = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(grown, "root").select(F.col("fp").alias("_fp"), "root", "smallest")
-    known = (firsts.join(linked, F.col("fp") == F.col("_fp"), "left")
+    known = settle(firsts.join(linked, F.col("fp") == F.col("_fp"), "left")
              .select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"),
-                     F.coalesce("smallest", "first").alias("component_id")))
-    # A fingerprint may have a third of all rows; adaptive execution splits that side.
-    return rows.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "root", "component_id")
+                     F.coalesce("smallest", "first").alias("component_id"), "n"))
+    # A fingerprint may have a third of all rows. Those with more than a quarter of what a
+    # partition holds are few, four per partition at most, and are broadcast.
+    hot = F.col("n") * 4 * partitions(docs.sparkSession) > share
+    columns = ["doc_id", "fp", "root", "component_id"]
+    few = F.broadcast(known.where(hot))
+    return (rows.join(few, F.col("fp") == F.col("_fp")).select(*columns)
+            .unionByName(rows.join(few, F.col("fp") == F.col("_fp"), "left_anti")
+                         .join(known.where(~hot), F.col("fp") == F.col("_fp")).select(*columns)))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,5 +264,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(f"`{doc_id}`").alias("_id"),
                        fingerprints(F.col(f"`{text}`").cast("string")).alias("_fp"))
-    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
-    return with_row(kept.dropDuplicates(["_id", "_fp"]), "_row", [], [])
+    # Null-safe equality as plain columns, so that the last step needs no shuffle of its own.
+    id_type = rows.schema["_id"].dataType
+    null_safe = lambda x: [x.isNull(), F.coalesce(x, F.lit(0).cast(id_type))]
+    rows = rows.withColumns(dict(zip(("_a", "_b"), null_safe(F.col("_id")))))
+    keep = keep.select(*[x.alias(n) for n, x in zip(("_a", "_b"), null_safe(F.col("_kid")))], F.col("_kfp").alias("_fp"))
+    kept = rows.join(keep, ["_a", "_b", "_fp"], "left_semi")
+    return with_row(kept.dropDuplicates(["_a", "_b", "_fp"]), "_row", [], [])

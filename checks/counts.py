@@ -85,7 +85,7 @@ cte("trend_raw", """
     FROM (SELECT unnest(range(min(shard), max(shard) + 1)) AS shard FROM stories) m
     LEFT JOIN (SELECT shard, count(*) n FROM stories GROUP BY 1) t USING (shard)
     LEFT JOIN (SELECT shard, count(*) n FROM tag_hits
-               WHERE date >= TIMESTAMP '1996-06-01' GROUP BY 1) h USING (shard)""", "tag_hits")
+               GROUP BY 1) h USING (shard)""", "tag_hits")
 cte("trend_kept", """
     SELECT a.shard, a.raw, CASE WHEN a.raw = 0 THEN 1e-12 ELSE a.raw END AS v
     FROM trend_raw a
@@ -102,7 +102,7 @@ cte("trend_kept", """
                     6) AS smooth FROM trend_kept WINDOW w AS (ORDER BY shard)""", "trend_kept"))
 def trend(spark, d):
     stories = stories_of(spark, d)
-    hits = search.matches(stories, "tag", "ringtag", "ring").where("date >= '1996-06-01'")
+    hits = search.matches(stories, "tag", "ringtag", "ring")
     return counts.trend(hits, stories).select(
         "label", r6("ratio").alias("ratio"), r6("smooth").alias("smooth"))
 
@@ -167,12 +167,15 @@ def load_years(spark, d):
 
 
 @query("scan_month", assemble(
-    """SELECT scrape_id, epoch(date)::BIGINT AS date_s,
-              row_number() OVER (PARTITION BY shard ORDER BY date, scrape_id) AS place
-       FROM scrapes""", "scrapes"))
+    """SELECT 'scrape' AS kind, scrape_id AS id, epoch(date)::BIGINT AS date_s FROM scrapes
+       WHERE shard = (SELECT max(shard) FROM scrapes)
+       UNION ALL SELECT 'story', story_id, epoch(date)::BIGINT FROM stories
+       WHERE shard = (SELECT max(shard) FROM scrapes)""", "scrapes", "stories"))
 def scan_month(spark, d):
-    from pyspark.sql import Window
-    order = Window.partitionBy("shard").orderBy("date", "scrape_id")
-    return scrapes(spark, d).select(
-        "scrape_id", F.unix_seconds("date").alias("date_s"),
-        F.row_number().over(order).cast("bigint").alias("place"))
+    """The newest month of scrapes, and of stories."""
+    from linkloom.sources import stored
+    rows, stories = scrapes(spark, d), stories_of(spark, d)
+    month = rows.agg(F.max("shard")).first()[0]
+    parts = [stored.scan_month(rows, month).select(F.lit("scrape").alias("kind"), F.col("scrape_id").alias("id"), "date"),
+             stored.scan_month(stories, month, "story_id").select(F.lit("story").alias("kind"), F.col("story_id").alias("id"), "date")]
+    return parts[0].unionByName(parts[1]).select("kind", "id", F.unix_seconds("date").alias("date_s"))

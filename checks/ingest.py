@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.functions import dates
+from linkloom.session import shared_path
 from linkloom.sources import backup, crawl, payloads, posts
 from linkloom.sources.derived import sightings, table
 
@@ -29,13 +30,16 @@ def _payloads(bundled, item, before: str, between: str, after: str, source: str)
                 F.lit(200).alias("status"), "body", F.lit(None).cast("timestamp").alias("fetched_at"))
 
 
+_MANY = 4_000_000_000  # a counter may be larger than a signed 32-bit number
+
+
 def reddit_payloads(spark, d):
     rows = _bundled(spark, d, "reddit")
     item = F.to_json(F.struct(F.lit("t3").alias("kind"), F.struct(
         "id", F.initcap("subsource").alias("subreddit"),
         (F.col("seq") % 13 == 0).alias("stickied"),
         F.unix_seconds("date").cast("double").alias("created_utc"), "url",
-        F.col("raw_title").alias("title"), F.col("comments").alias("num_comments"), "score",
+        F.col("raw_title").alias("title"), (F.col("comments") + _MANY).alias("num_comments"), "score",
         F.col("downvotes").alias("downs"),
         F.when(F.col("seq") % 17 == 0, -1).otherwise(F.col("upvotes")).alias("ups"),
         "upvote_ratio", F.col("flair").alias("link_flair_text")).alias("data")))
@@ -45,7 +49,7 @@ def reddit_payloads(spark, d):
 @query("parse_reddit", assemble(
     """SELECT payload, id, subsource, url, raw_title, date_s, position, comments, upvotes, flair
        FROM (SELECT seq // 25 AS payload, id, subsource, url, raw_title, seq,
-                    epoch(date)::BIGINT AS date_s, comments, upvotes, flair,
+                    epoch(date)::BIGINT AS date_s, comments + 4000000000 AS comments, upvotes, flair,
                     row_number() OVER (PARTITION BY seq // 25, subsource ORDER BY seq) AS position
              FROM scrapes WHERE source = 'reddit' AND seq % 13 <> 0) WHERE seq % 17 <> 0""",
     "scrapes"))
@@ -74,6 +78,12 @@ def parse_warnings(spark, d):
                 row_number() OVER (PARTITION BY seq // 25 ORDER BY seq) AS position
          FROM scrapes WHERE source = 'lobsters') WHERE seq % 19 <> 0""", "scrapes"))
 def parse_rss(spark, d):
+    return payloads.parse_lobsters(lobsters_payloads(spark, d)).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        F.col("position").cast("bigint").alias("position"), joined("tags").alias("tags"))
+
+
+def lobsters_payloads(spark, d):
     rows = _bundled(spark, d, "lobsters")
 
     def tag(name, value):
@@ -86,11 +96,8 @@ def parse_rss(spark, d):
         F.when(F.col("seq") % 19 == 0, F.lit("")).otherwise(
             tag("pubDate", dates.to_rfc2822(F.col("date")))),
         F.array_join(F.transform("tags", lambda t: tag("category", t)), ""), F.lit("</item>"))
-    bodies = _payloads(rows, item, '<?xml version="1.0"?><rss><channel>', "",
-                       "</channel></rss>", "lobsters")
-    return payloads.parse_lobsters(bodies).scrapes.select(
-        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
-        F.col("position").cast("bigint").alias("position"), joined("tags").alias("tags"))
+    return _payloads(rows, item, '<?xml version="1.0"?><rss><channel>', "",
+                     "</channel></rss>", "lobsters")
 
 
 def _attr(value):
@@ -102,6 +109,12 @@ def _attr(value):
               points, comments FROM scrapes WHERE source = 'hacker_news' AND seq % 23 <> 0""",
     "scrapes"))
 def parse_hn(spark, d):
+    return payloads.parse_hacker_news(hn_payloads(spark, d)).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        *[F.col(c).cast("bigint").alias(c) for c in ("position", "points", "comments")])
+
+
+def hn_payloads(spark, d):
     rows = _bundled(spark, d, "hacker_news")
     story = F.concat(
         F.lit('<tr class="athing" id="'), "id", F.lit('"><td><span class="rank">'), "position",
@@ -117,11 +130,8 @@ def parse_hn(spark, d):
         F.lit('">1 day ago</a></span> | <a href="hide">hide</a> | <a href="item?id='), "id",
         F.lit('">'), talk, F.lit("</a></td></tr>"))
     item = F.concat(story, F.when(F.col("seq") % 23 == 0, F.lit("")).otherwise(info))
-    bodies = _payloads(rows, item, "<html><table>", '<tr class="spacer"></tr>', "</table></html>",
-                       "hacker_news")
-    return payloads.parse_hacker_news(bodies).scrapes.select(
-        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
-        *[F.col(c).cast("bigint").alias(c) for c in ("position", "points", "comments")])
+    return _payloads(rows, item, "<html><table>", '<tr class="spacer"></tr>', "</table></html>",
+                     "hacker_news")
 
 
 @query("parse_slashdot", assemble(
@@ -131,6 +141,12 @@ def parse_hn(spark, d):
               array_to_string(list_transform(tags, lambda t: lower(replace(t, '+', 'p'))), ',') AS tags
        FROM scrapes WHERE source = 'slashdot' AND seq % 29 <> 0""", "scrapes"))
 def parse_slashdot(spark, d):
+    return payloads.parse_slashdot(slashdot_payloads(spark, d)).scrapes.select(
+        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
+        F.col("comments").cast("bigint").alias("comments"), joined("tags").alias("tags"))
+
+
+def slashdot_payloads(spark, d):
     rows = _bundled(spark, d, "slashdot")
     topics = F.array_join(F.transform("tags", lambda t: F.concat(
         F.lit('<a href="//slashdot.org/index2.pl?fhfilter='),
@@ -149,26 +165,33 @@ def parse_slashdot(spark, d):
         F.lit("</span>"), bubble, F.lit("</h2></header><time>"),
         F.date_format(F.from_utc_timestamp("date", "US/Eastern"),
                       "'on 'EEEE MMMM dd, yyyy' @'hh:mma"), F.lit("</time></article>"))
-    bodies = _payloads(rows, item, "<html><body>", "\n", "</body></html>", "slashdot")
-    return payloads.parse_slashdot(bodies).scrapes.select(
-        "payload", "id", "url", "raw_title", F.unix_seconds("date").alias("date_s"),
-        F.col("comments").cast("bigint").alias("comments"), joined("tags").alias("tags"))
+    return _payloads(rows, item, "<html><body>", "\n", "</body></html>", "slashdot")
+
+
+_LOST = "seq % CASE source WHEN 'reddit' THEN 17 WHEN 'lobsters' THEN 19 WHEN 'hacker_news' THEN 23 ELSE 29 END = 0"
 
 
 @query("scrape_payloads", assemble(
-    """SELECT CASE WHEN payload % 4 = 0 THEN 'warning' ELSE 'scrape' END AS part, source,
-              CASE WHEN payload % 4 = 0 THEN count(DISTINCT payload) ELSE count(*) END AS n
-       FROM (SELECT seq // 25 AS payload, source FROM scrapes WHERE source = 'reddit'
-             AND (seq // 25) % 4 = 0 OR source = 'reddit' AND seq % 13 <> 0 AND seq % 17 <> 0)
-       GROUP BY payload % 4 = 0, source, CASE WHEN payload % 4 = 0 THEN 'warning' ELSE 'scrape' END""",
+    f"""SELECT 'scrape' AS part, source, count(*) AS n FROM scrapes
+        WHERE source <> 'feed' AND (seq // 25) % 4 <> 0 AND NOT {_LOST}
+          AND NOT (source = 'reddit' AND seq % 13 = 0) GROUP BY source
+        UNION ALL
+        SELECT 'HTTP', source, count(DISTINCT seq // 25) FROM scrapes
+        WHERE source <> 'feed' AND (seq // 25) % 4 = 0 GROUP BY source
+        UNION ALL
+        SELECT 'No parser', 'elsewhere', count(DISTINCT seq // 25) FROM scrapes WHERE source = 'reddit'""",
     "scrapes"))
 def scrape_payloads(spark, d):
-    rows = reddit_payloads(spark, d).withColumn(
-        "status", F.when(F.col("payload") % 4 == 0, 503).otherwise(200))
+    """All four sites, every fourth fetch failed, and one source nobody parses."""
+    rows = None
+    for bundle in (reddit_payloads, lobsters_payloads, hn_payloads, slashdot_payloads):
+        part = bundle(spark, d).withColumn("status", F.when(F.col("payload") % 4 == 0, 503).otherwise(200))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.unionByName(reddit_payloads(spark, d).withColumn("source", F.lit("elsewhere")))
     parsed = payloads.scrape_payloads(rows)
-    failed = parsed.warnings.where(F.col("message").startswith("HTTP 503"))
+    noted = parsed.warnings.select(F.regexp_extract("message", "^(HTTP|No parser)", 1).alias("part"), "source")
     return (parsed.scrapes.select(F.lit("scrape").alias("part"), "source")
-            .unionByName(failed.select(F.lit("warning").alias("part"), "source"))
+            .unionByName(noted.where("part <> ''"))
             .groupBy("part", "source").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -231,8 +254,10 @@ def backup_changed(spark, d):
               position, points, comments, score, upvotes, flair,
               array_to_string(tags, ',') AS tags FROM scrapes""", "scrapes"))
 def import_backup(spark, d):
-    lines = scrapes(spark, d).select(backup.to_record().alias("value"))
-    return backup.from_records(lines).select(
+    """From files, written a month at a time."""
+    path = shared_path(spark, "backup")
+    backup.backup(scrapes(spark, d), None, path)
+    return backup.read_backup(spark, path).select(
         "scrape_id", "source", "subsource", "id", "url", "raw_title",
         F.unix_seconds("date").alias("date_s"),
         *[F.col(c).cast("bigint").alias(c)

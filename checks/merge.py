@@ -183,26 +183,65 @@ def upsert_scrapes(spark, d):
         F.col("comments").cast("bigint").alias("comments"))
 
 
+cte("all_links", """
+    SELECT e.shard, e.story_id, c.shard AS scrape_shard, count(*) OVER (PARTITION BY e.story_id) AS n
+    FROM clustered c JOIN evaluated e USING (url_norm, anchor)""", "clustered", "evaluated")
+
+
+cte("kept_links", "SELECT * FROM all_links WHERE scrape_shard % 11 <> 0", "all_links")
+cte("told_stories", "SELECT shard, story_id, max(n) AS n FROM all_links WHERE shard % 7 <> 0 GROUP BY ALL",
+    "all_links")
+cte("counted_links", "SELECT shard, story_id, count(*) AS k FROM kept_links GROUP BY ALL", "kept_links")
+
+
 @query("validate", assemble(
-    """SELECT shard, count(*) AS stories, 0::BIGINT AS duplicate_ids, 0::BIGINT AS null_keys,
-              count(n_lost)::BIGINT AS dangling FROM (
-         SELECT e.shard, e.story_id, NULL AS n_lost FROM evaluated e) GROUP BY shard""",
-    "evaluated"))
+    """SELECT shard, count(t.n) + count(t.n) FILTER (shard % 5 = 0) AS stories,
+              count(t.n) FILTER (shard % 5 = 0) AS duplicate_ids, 0::BIGINT AS null_keys,
+              coalesce(max(d.dangling), 0)::BIGINT AS dangling_links,
+              coalesce(sum(k) FILTER (t.n IS NULL), 0)::BIGINT AS orphan_links,
+              count(*) FILTER (k IS NULL) AS unlinked_stories, count(*) FILTER (t.n <> k) AS wrong_counts
+       FROM told_stories t FULL JOIN counted_links c USING (shard, story_id)
+       LEFT JOIN (SELECT shard, count(*) AS dangling FROM kept_links WHERE scrape_shard % 13 = 0 GROUP BY 1) d USING (shard)
+       GROUP BY shard""", "told_stories", "counted_links"))
 def validate(spark, d):
+    """Over tables with faults: months of each table are missing, others are doubled."""
+    rows = scrapes(spark, d)
+    stories = st.build_stories(rows, CFG).where("shard % 7 <> 0")
+    stories = stories.unionByName(stories.where("shard % 5 = 0"))
+    links = st.story_links(rows, CFG).where("scrape_shard % 11 <> 0")
+    return quality.validate(stories, links, rows.where("shard % 13 <> 0")).withColumn(
+        "shard", F.col("shard").cast("bigint"))
+
+
+@query("bulk_load", assemble(
+    """SELECT shard::BIGINT AS shard, count(*) AS stories, sum(n)::BIGINT AS links
+       FROM (SELECT shard, story_id, max(n) AS n FROM all_links GROUP BY ALL) GROUP BY shard""", "all_links"))
+def bulk_load(spark, d):
+    """A store loaded from scrapes of which every third comes twice, the earlier time in
+    another month; stories and links must agree."""
+    from linkloom.plans.store import StoryStore
+    from linkloom.session import shared_path
     rows = scrapes(spark, d)
-    out = quality.validate(st.build_stories(rows, CFG), st.story_links(rows, CFG), rows)
-    return out.select(*[F.col(c).cast("bigint").alias(c) for c in
-                        ("shard", "stories", "duplicate_ids", "null_keys")],
-                      F.col("dangling_links").alias("dangling"))
+    early = (rows.where("seq % 3 = 0").withColumn("date", F.col("date") - F.expr("INTERVAL 40 DAYS"))
+             .withColumn("shard", (F.year("date") * 12 + F.month("date") - 1).cast("int"))
+             .withColumn("seq", F.col("seq") - 1_000_000_000))
+    store = StoryStore(spark, shared_path(spark, "bulk-load"), CFG)
+    store.load(rows.unionByName(early))
+    links = store.links.groupBy("shard", "story_id").agg(F.count(F.lit(1)).alias("k"))
+    told = store.stories.join(links, ["shard", "story_id"], "left")
+    return told.groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
+        F.count(F.lit(1)).alias("stories"), F.sum(F.when(F.col("k") == F.col("n_scrapes"), F.col("k"))).alias("links"))
 
 
 @query("repeated_urls", assemble(
-    """SELECT url_norm, shard, count(*) AS n FROM core GROUP BY ALL HAVING count(*) > 1""",
-    "core"))
+    """SELECT url_norm, shard, count(*) AS n FROM (
+         SELECT url_norm, shard FROM stories
+         UNION ALL SELECT url_norm, shard FROM stories WHERE shard % 3 = 0)
+       GROUP BY ALL HAVING count(*) > 1""", "stories"))
 def repeated_urls(spark, d):
-    from linkloom.operators.core import core_rows
-    # On raw sightings, where repeats exist; on stories the result is empty.
-    return quality.repeated_urls(core_rows(scrapes(spark, d), CFG)).select(
+    """Stories, those of some months doubled; without that the result is empty."""
+    stories = st.build_stories(scrapes(spark, d), CFG)
+    return quality.repeated_urls(stories.unionByName(stories.where("shard % 3 = 0"))).select(
         "url_norm", F.col("shard").cast("bigint").alias("shard"), "n")
 
 

@@ -14,7 +14,7 @@ from .sqlbase import assemble, cte, norm, story_id  # noqa: F401
 from .stories import stories_of
 
 _TOK = (r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'),"
-        r" lambda t: t <> '' AND strlen(t) < 40)")
+        r" lambda t: t <> '')")
 cte("tokens", f"""
     SELECT shard, story_id, 'title' AS f, unnest({_TOK.format(x='title')}) AS t FROM stories
     UNION ALL
@@ -160,10 +160,34 @@ def story_page(spark, d):
 
 
 @query("hits_or_fallback", assemble(
-    """SELECT story_id FROM stories WHERE suffix(host, '.org')
-       AND NOT EXISTS (SELECT 1 FROM stories WHERE url_norm = 'no.such.host/x')""", "stories"))
+    """SELECT 'none' AS asked, story_id FROM stories
+       WHERE NOT EXISTS (SELECT 1 FROM stories WHERE url_norm = 'no.such.host/x')
+       UNION ALL SELECT 'some', story_id FROM url_hits""", "stories", "url_hits"))
 def hits_or_fallback(spark, d):
+    """A URL nobody has falls back to all stories; one that somebody has does not."""
     stories = stories_of(spark, d).select("story_id", "url_norm", "host")
-    hits = search.by_url(stories, "http://no.such.host/x").drop("relevance")
-    return joins.hits_or_fallback(hits, stories.where(F.col("host").endswith(".org"))).select(
-        "story_id")
+    url = table(spark, d, "pages").where("page_id = 1").select("url").first().url
+    asked = {"none": "http://no.such.host/x", "some": url}
+    parts = [joins.hits_or_fallback(search.by_url(stories, u).drop("relevance"), stories)
+             .select(F.lit(k).alias("asked"), "story_id") for k, u in asked.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("search_hyphen_tag", assemble(
+    rf"""SELECT story_id FROM stories
+        WHERE shard % 4 = 0 OR contains(' ' || array_to_string({_TOK.format(x='title')}, ' ') || ' ',
+                                        ' small rod ')""", "stories"))
+def search_hyphen_tag(spark, d):
+    """A tag with a hyphen is an entry of the tags or a run of words in the title."""
+    tagged = F.when(F.col("shard") % 4 == 0, F.array_append("tags", F.lit("Small-Rod"))).otherwise(F.col("tags"))
+    stories = stories_of(spark, d).withColumn("tags", tagged)
+    return search.matches(stories, "tag", "small-rod").select("story_id")
+
+
+@query("search_own_site", assemble(
+    """SELECT story_id FROM stories WHERE host = 'example.net' OR suffix(host, '.example.net')""", "stories"))
+def search_own_site(spark, d):
+    """The reserved phrase is a search of the site's own host."""
+    asked = spark.createDataFrame([("my site",)], "search STRING")
+    q = search.classify(asked, CFG.tags, own_phrase="my site", own_host="example.net").first()
+    return search.matches(stories_of(spark, d), q.kind, q.text, q.alt).select("story_id")

@@ -278,10 +278,10 @@ SHOWN = """CASE t WHEN 'cplusplus' THEN 'c++' WHEN 'golang' THEN 'go' WHEN 'star
 
 @query("rendered", assemble(
     f"""SELECT position AS "order", story_id AS id, host AS domain,
-              host || ',' || array_to_string(list_transform(tags, lambda t: {SHOWN}), ',')
-                AS tags FROM hot WHERE len(tags) > 0""", "hot"))
+              array_to_string(list_concat([host], list_transform(tags, lambda t: {SHOWN})), ',')
+                AS tags FROM hot""", "hot"))
 def rendered(spark, d):
-    hot = fp.front_page(stories_of(spark, d), CFG).where(F.size("tags") > 0)
+    hot = fp.front_page(stories_of(spark, d), CFG)
     out = ranking.render(hot, CFG.tags)
     return out.select(F.col("order").cast("bigint").alias("order"), "id", "domain",
                       joined("tags").alias("tags"))
@@ -320,21 +320,28 @@ def score_tuner(spark, d):
 
 @query("paged", assemble(
     """SELECT row_number() OVER (ORDER BY date DESC, story_id) - 1 AS position, story_id
-       FROM (SELECT * FROM (SELECT * FROM stories ORDER BY date DESC, story_id LIMIT 100)
-             ORDER BY date DESC, story_id LIMIT 30 OFFSET 60)""", "stories"))
+       FROM (SELECT * FROM stories ORDER BY date DESC, story_id LIMIT 30 OFFSET 120)""", "stories"))
 def paged(spark, d):
-    out = ranking.page(stories_of(spark, d), [F.desc("date"), F.asc("story_id")], 60, 30)
+    out = ranking.page(stories_of(spark, d), [F.desc("date"), F.asc("story_id")], 120, 30)
     return out.select(F.col("position").cast("bigint").alias("position"), "story_id")
 
 
 @query("sorted_by", assemble(
-    """SELECT story_id, row_number() OVER (ORDER BY host, story_id) AS place
-       FROM hot""", "hot"))
+    " UNION ALL ".join(f"""SELECT '{key}' AS key, story_id, place FROM (
+       SELECT story_id, row_number() OVER (ORDER BY {order}, story_id) - 1 AS place FROM hot)"""
+       for key, order in (("date", "date DESC"), ("score", "score DESC"), ("domain", "host"),
+                          ("title", "title"), ("order", "position"))), "hot"))
 def sorted_by(spark, d):
+    """Every sort key; the place is the row's place in the sorted result."""
     hot = fp.front_page(stories_of(spark, d), CFG)
-    rows = ranking.sorted_by(hot, "domain")
-    return rows.select("story_id", F.row_number().over(Window.orderBy("host", "story_id"))
-                       .cast("bigint").alias("place"))
+    out = None
+    for key in ranking.SORT_KEYS:
+        # The hot set is one sorted partition here, so the id is the place.
+        rows = ranking.sorted_by(hot, key).coalesce(1).select(
+            F.lit(key).alias("key"), "story_id", F.monotonically_increasing_id().alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    # A partition of a union has an id range of its own.
+    return out.withColumn("place", F.col("place") % (1 << 33))
 
 
 @query("top_k", assemble(

@@ -38,7 +38,8 @@ def decode_story_id(text: Column) -> Column:
     """Struct(year, month, day, norm, shard); null when it is not a story id."""
     ok = text.rlike(r"^[A-Za-z0-9_-]+$")
     plain = F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64"))
-    bits = F.split(F.decode(plain, "utf-8"), ":", 4)
+    # Text that only looks like an id may decode to anything.
+    bits = F.split(F.try_validate_utf8(plain.cast("string")), ":", 4)
     num = [F.try_element_at(bits, F.lit(i)).try_cast("int") for i in (1, 2, 3)]
     norm = F.try_element_at(bits, F.lit(4))
     good = ok & num[0].isNotNull() & num[1].isNotNull() & num[2].isNotNull() & norm.isNotNull()
@@ -53,11 +54,6 @@ def story_id_matches_date(text: Column, date: Column) -> Column:
             & (d["day"] == F.dayofmonth(date)))
 
 
-def scrape_ref(shard_label: Column, sid: Column) -> Column:
-    """Reference to a stored scrape: ``YYYY-MM:scrape_id``."""
-    return F.concat(shard_label, F.lit(":"), sid)
-
-
 def comments_url(source: Column, subsource: Column, id_: Column) -> Column:
     return (
         F.when(source == "hacker_news",

@@ -123,10 +123,9 @@ def slug(title: Column) -> Column:
 
 
 def text_tokens(text: Column) -> Column:
-    """Search tokens: lower case, split at anything that is no letter or digit, and
-    without over-long tokens."""
+    """Search tokens: lower case, split at anything that is no letter or digit."""
     parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: (t != "") & (F.octet_length(t) < 40))
+    return F.filter(parts, lambda t: t != "")
 
 
 def looks_like_bot(agent: Column) -> Column:

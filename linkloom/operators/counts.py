@@ -39,16 +39,10 @@ def store_stats(scrapes: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.unix_seconds("date")), F.lit(0)).alias("latest"))
 
 
-def shard_stats(scrapes: DataFrame, shard: int) -> DataFrame:
-    """Statistics of one month, zeros when it is empty."""
-    return scrapes.where(F.col("shard") == shard).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.coalesce(F.min(F.unix_seconds("date")), F.lit(0)).alias("earliest"),
-        F.coalesce(F.max(F.unix_seconds("date")), F.lit(0)).alias("latest"))
-
-
 def newest(stories: DataFrame) -> DataFrame:
-    return stories.agg(F.max("date").alias("now"))
+    """The newest story's date, from the newest month alone."""
+    last = stories.where(F.col("shard") == stories.agg(F.max("shard")).scalar())
+    return last.agg(F.max("date").alias("now"))
 
 
 def hits_by_month(hits: DataFrame, months: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def hydrate(links: DataFrame, scrapes: DataFrame) -> DataFrame:
             .withColumnRenamed("scrape_shard", "shard"))
 
 
+def in_months_of(links: DataFrame, scrapes: DataFrame) -> DataFrame:
+    """The scrapes of the months that the links point into: a list on the driver, one entry
+    per month, so that only those partitions are read."""
+    months = sorted(r["scrape_shard"] for r in links.select("scrape_shard").distinct().collect())
+    return scrapes.where(F.col("shard").isin(months))
+
+
 def fetch_scrape(scrapes: DataFrame, shard: int, scrape_id: str) -> DataFrame:
     return scrapes.where((F.col("shard") == shard) & (F.col("scrape_id") == scrape_id)).limit(1)
 

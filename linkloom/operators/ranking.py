@@ -11,8 +11,10 @@ from . import scoring, tagging
 
 
 def newest_date(stories: DataFrame) -> Column:
-    """Date of the newest story, as a scalar subquery: the engine's "now"."""
-    return stories.agg(F.max("date")).scalar()
+    """Date of the newest story, as a scalar subquery: the engine's "now". Months never
+    overlap, so a partitioned table is read in its newest month only."""
+    newest = stories.where(F.col("shard") == stories.agg(F.max("shard")).scalar())
+    return newest.agg(F.max("date")).scalar()
 
 
 def front_page_candidates(stories: DataFrame, max_count: int,
@@ -98,8 +100,8 @@ def with_posts(stories: DataFrame, posts: DataFrame, own_host: str) -> DataFrame
 
 
 def page(ordered: DataFrame, order: list, offset: int = 0, count: int = 30,
-         cap: int | None = 100) -> DataFrame:
-    """Rows ``offset .. offset+count`` of the first ``cap`` rows, renumbered from 0."""
+         cap: int | None = None) -> DataFrame:
+    """Rows ``offset .. offset+count``, of the first ``cap`` rows if given, renumbered from 0."""
     rows = ordered.orderBy(*order)
     if cap is not None:
         rows = rows.limit(cap)
@@ -107,10 +109,6 @@ def page(ordered: DataFrame, order: list, offset: int = 0, count: int = 30,
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def has_more(rows_on_page: int, count: int) -> bool:
-    return rows_on_page == count
-
-
 SORT_KEYS = {
     "date": [F.desc, "date"], "score": [F.desc, "score"],
     "domain": [F.asc, "host"], "title": [F.asc, "title"], "order": [F.asc, "position"],

@@ -39,8 +39,20 @@ def _tag_tokens() -> Column:
     return text.text_tokens(F.array_join("tags", " "))
 
 
-def _count(tokens: Column, token: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == token))
+def _occurrences(field_: str, token: str) -> Column:
+    """How often a field holds the term. A tag with other characters than letters and digits
+    (``raspberry-pi``, ``c++``) counts as a whole entry of the tags, and in a title as the run
+    of its tokens; without any token (``***``) it is looked up in the tags alone."""
+    parts = split_tokens(token, distinct=False)
+    if parts == [token]:
+        return F.size(F.filter(F.col(f"_t_{field_}"), lambda t: t == token))
+    if field_ == "tags":
+        return F.size(F.filter("tags", lambda t: F.lower(t) == token))
+    # A run of one token would find the plain word: "c++" is not "c".
+    if len(parts) < 2:
+        return F.lit(0)
+    text_ = F.concat(F.lit("  "), F.array_join(f"_t_{field_}", "  "), F.lit("  "))
+    return F.size(F.split(text_, F.lit(" \\Q" + " " + "  ".join(parts) + " " + "\\E "), -1)) - 1
 
 
 def _bm25(tf: Column, length: Column, df: Column, n: Column, total_len: Column) -> Column:
@@ -63,7 +75,7 @@ def relevance(stories: DataFrame, terms: list[Term], phrases: list[HostPhrase] =
     tf: dict[str, Column] = {}
     for i, t in enumerate(terms):
         for f in t.boosts:
-            tf[f"_tf_{f}_{i}"] = _count(F.col(f"_t_{f}"), t.token)
+            tf[f"_tf_{f}_{i}"] = _occurrences(f, t.token)
     for i, p in enumerate(phrases):
         tf[f"_tf_host_{i}"] = _phrase_count(p.domain)
     rows = rows.withColumns({
@@ -109,26 +121,23 @@ def search_order() -> list[Column]:
     return [F.desc("shard"), F.desc("rank_score"), F.desc("date"), F.asc("story_id")]
 
 
-def ranked(matched: DataFrame, now: Column, max_count: int = 300) -> DataFrame:
+def ranked(matched: DataFrame, now: Column, max_count: int | None = 300) -> DataFrame:
     """Relevance + stored score - 1e-5 per second of age, then the newest months'
-    best ``max_count`` rows (a top-k, no full sort)."""
+    best ``max_count`` rows (a top-k, no full sort), or all of them for None."""
     age = (F.unix_seconds(now) - F.unix_seconds("date")).cast("double")
-    return (matched.withColumn(
-        "rank_score", F.round(F.col("relevance") + F.col("score") - age * 0.00001, 9))
-        .orderBy(*search_order()).limit(max_count))
+    rows = matched.withColumn(
+        "rank_score", F.round(F.col("relevance") + F.col("score") - age * 0.00001, 9)).orderBy(*search_order())
+    return rows if max_count is None else rows.limit(max_count)
 
 
 def by_tag(stories: DataFrame, tag: str, alt: str | None = None,
            most: int | None = None) -> DataFrame:
-    tokens = [tag]
-    # An alternative such as "c++" would be cut to "c"; only whole tokens are looked up.
-    if alt and alt.isalnum():
-        tokens.append(alt)
+    tokens = list(dict.fromkeys(t.lower() for t in (tag, alt) if t))
     return relevance(stories, [Term(t.lower(), {"title": 1.0, "tags": 10.0}) for t in tokens],
                      most=most)
 
 
-def split_tokens(phrase: str) -> list[str]:
+def split_tokens(phrase: str, distinct: bool = True) -> list[str]:
     out, word = [], ""
     for ch in phrase.lower() + " ":
         if ch.isalnum():
@@ -136,7 +145,7 @@ def split_tokens(phrase: str) -> list[str]:
         elif word:
             out.append(word)
             word = ""
-    return list(dict.fromkeys(t for t in out if len(t.encode()) < 40))
+    return list(dict.fromkeys(out)) if distinct else out
 
 
 def by_text(stories: DataFrame, phrase: str, most: int | None = None) -> DataFrame:
@@ -191,11 +200,10 @@ def classify(searches: DataFrame, cfg: TagConfig, column: str = "search",
     """Typed query of every search string: ``kind``, ``text``, ``alt``.
 
     kind is "" (front page), tag, url, domain or text. A null search is the front page;
-    the reserved ``own_phrase`` becomes a search of the site's own host.
+    the reserved ``own_phrase`` becomes a domain search of the site's own host.
     """
     raw = F.trim(F.coalesce(F.col(column), F.lit("")))
-    if own_phrase is not None:
-        raw = F.when(raw == own_phrase, F.lit(f"host:{own_host}")).otherwise(raw)
+    own = raw == own_phrase if own_phrase is not None else F.lit(False)
     staged = searches.withColumn("_s", raw)
     mapped = tagging.internal_tag(cfg)
     staged = staged.withColumn("_tag", mapped(F.col("_s")))
@@ -206,7 +214,7 @@ def classify(searches: DataFrame, cfg: TagConfig, column: str = "search",
               .withColumn("_norm", urls.url_norm(as_url)))
     host = F.col("_host")
     usable = (host.isNotNull() & ~host.rlike(r"[^\p{L}\p{N}.-]") & host.rlike(r"[\p{L}\p{N}-]"))
-    kind = (F.when(~s.rlike(r"[\p{L}\p{N}]"), "")
+    kind = (F.when(own, "domain").when(~s.rlike(r"[\p{L}\p{N}]"), "")
             .when(F.col("_tag").isNotNull(), "tag")
             .when(usable & s.contains("/"), "url")
             .when(usable, "domain")
@@ -215,7 +223,7 @@ def classify(searches: DataFrame, cfg: TagConfig, column: str = "search",
     staged = staged.withColumn("kind", kind)
     known = F.col("_tag").isNotNull()
     return (staged
-            .withColumn("text", F.when(F.col("kind") == "", "")
+            .withColumn("text", F.when(own, F.lit(own_host)).when(F.col("kind") == "", "")
                         .when(F.col("kind") == "tag", F.coalesce("_tag", F.lower("_s")))
                         .when(F.col("kind") == "url", F.col("_norm"))
                         .when(F.col("kind") == "domain", host).otherwise(s))
@@ -250,10 +258,11 @@ def matches(stories: DataFrame, kind: str, query: str, alt: str | None = None) -
     if kind == "domain":
         return stories.where(urls.host_phrase(F.col("host")).contains(_phrase(query)))
     if kind == "tag":
-        tokens = [query.lower()] + ([alt] if alt and alt.isalnum() else [])
-    elif kind == "text":
-        tokens = split_tokens(query)
-    else:
+        terms = list(dict.fromkeys(t.lower() for t in (query, alt) if t))
+        rows = stories.withColumns({"_t_title": title, "_t_tags": tags})
+        hit = reduce(lambda a, b: a | b, [_occurrences(f, t) > 0 for t in terms for f in ("title", "tags")])
+        return rows.where(hit).drop("_t_title", "_t_tags")
+    if kind != "text":
         raise ValueError(f"{kind!r} has no hit count")
-    wanted = F.array(*[F.lit(t) for t in tokens])
+    wanted = F.array(*[F.lit(t) for t in split_tokens(query)]).cast("array<string>")
     return stories.where(F.arrays_overlap(F.concat(title, tags), wanted))

@@ -21,6 +21,12 @@ def upsert_scrapes(old: DataFrame, batch: DataFrame, policy: str = "last",
     return dedup(ordered, ["shard", "scrape_id"], policy, "_seq").drop("_batch", "_seq")
 
 
-def replace_rows(old: DataFrame, gone: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def unique_scrapes(rows: DataFrame, policy: str = "last", seq: str = "seq") -> DataFrame:
+    """One row per scrape id over all months, by the same rule as an upsert."""
+    return dedup(rows.withColumn("_seq", F.struct(F.col(seq), "date")), ["scrape_id"], policy, "_seq").drop("_seq", seq)
+
+
+def replace_rows(old: DataFrame, gone: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Delete the rows whose key is in ``gone``, then add ``new``."""
-    return old.join(gone.select(key).distinct(), key, "left_anti").unionByName(new)
+    key = [key] if isinstance(key, str) else key
+    return old.join(gone.select(*key).distinct(), key, "left_anti").unionByName(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SOURCES, EngineConfig, TagConfig
@@ -141,10 +141,17 @@ def atom_feeds(ranked: DataFrame, now: Column, site: str, name: str,
     return bodies.select("key", F.concat(head, "value", F.lit("</feed>")).alias("value"))
 
 
-def write_feeds(feeds: DataFrame, path: str) -> None:
-    """One text file set per key. Keys are spread over tasks first, so a task opens few
-    files."""
-    feeds.repartition("key").write.mode("overwrite").partitionBy("key").text(path)
+def write_feeds(feeds: DataFrame, path: str, buckets: int = 256) -> None:
+    """(key, value) as Parquet in ``buckets`` folders by a hash of the key: as many folders
+    whatever the number of hosts and tags. ``read_feed`` finds one of them again."""
+    bucketed = feeds.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    bucketed.repartition("bucket", "key").sortWithinPartitions("key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_feed(spark: SparkSession, path: str, key: str, buckets: int = 256) -> DataFrame:
+    """The feed of one key: one folder is read."""
+    bucket = F.pmod(F.xxhash64(F.lit(key)), F.lit(buckets)).cast("int")
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("key") == key)).select("key", "value")
 
 
 def story_document(stories: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def _unstaged(df: DataFrame, _name: str) -> DataFrame:
     return df
 
 
+def _pruned(scrapes: DataFrame, links: DataFrame, stage) -> DataFrame:
+    """Only the months the links point into, if the links are at hand rather than a plan."""
+    return scrapes if stage is _unstaged else joins.in_months_of(links, scrapes)
+
+
 def merge_batch(batch: DataFrame, stories: DataFrame, links: DataFrame, scrapes: DataFrame,
                 cfg: EngineConfig = EngineConfig(),
                 stage: Callable[[DataFrame, str], DataFrame] = _unstaged) -> MergeResult:
@@ -57,12 +62,12 @@ def merge_batch(batch: DataFrame, stories: DataFrame, links: DataFrame, scrapes:
     target = matched.select("new_key", "match_id",
                             F.coalesce("match_id", "new_key").alias("group_key"))
     gone = matched.where(F.col("match_id").isNotNull()).select(
-        F.col("match_id").alias("story_id")).distinct()
+        F.col("match_shard").alias("shard"), F.col("match_id").alias("story_id")).distinct()
 
     incoming = (rows.join(target.select("new_key", "group_key"), "new_key")
                 .drop("new_key", "anchor"))
-    old_links = links.join(gone, "story_id", "left_semi")
-    stored = (st.scored_core(joins.hydrate(old_links, scrapes), cfg)
+    old_links = stage(links.join(gone, ["shard", "story_id"], "left_semi"), "old_links")
+    stored = (st.scored_core(joins.hydrate(old_links, _pruned(scrapes, old_links, stage)), cfg)
               .withColumnRenamed("story_id", "group_key"))
     columns = [c for c in incoming.columns if c in stored.columns and c != "seq"]
     arrivals = (stored.select(*columns).withColumn("seq", F.lit(0))
@@ -83,18 +88,21 @@ def merge_batch(batch: DataFrame, stories: DataFrame, links: DataFrame, scrapes:
 
 
 def reindex(wanted: DataFrame, stories: DataFrame, links: DataFrame, scrapes: DataFrame,
-            cfg: EngineConfig = EngineConfig()) -> MergeResult:
-    """Recompute the given story ids with the current configuration."""
-    wanted = wanted.select("story_id").distinct()
-    present = wanted.join(stories.select("story_id"), "story_id", "left_semi")
-    chosen = links.join(present, "story_id", "left_semi")
-    changed = rescore.recompute(chosen, scrapes, cfg)
+            cfg: EngineConfig = EngineConfig(),
+            stage: Callable[[DataFrame, str], DataFrame] = _unstaged) -> MergeResult:
+    """Recompute the given story ids with the current configuration. The ids' months, which
+    they hold, narrow every join and with it the partitions that are read."""
+    wanted = wanted.select(ids.decode_story_id(F.col("story_id"))["shard"].alias("shard"), "story_id").distinct()
+    key = ["shard", "story_id"]
+    present = wanted.join(stories.select(*key), key, "left_semi")
+    chosen = stage(links.join(present, key, "left_semi"), "chosen")
+    changed = rescore.recompute(chosen, _pruned(scrapes, chosen, stage), cfg)
     renamed = changed.select(F.col("old_id"), F.col("story_id").alias("_new"),
                              F.col("shard").alias("_shard"))
     link_rows = (chosen.withColumnRenamed("story_id", "old_id").join(renamed, "old_id")
                  .select(F.col("_shard").alias("shard"), F.col("_new").alias("story_id"),
                          "scrape_shard", "scrape_id"))
-    results = (wanted.join(stories.select("story_id", F.lit(1).alias("hit")), "story_id", "left")
+    results = (wanted.join(stories.select(*key, F.lit(1).alias("hit")), key, "left")
                .select("story_id", F.when(F.col("hit") == 1, "merged").otherwise("not_found")
                        .alias("result")))
     return MergeResult(changed.drop("old_id"), present, link_rows, results)

@@ -23,11 +23,11 @@ def score_tuner(front: DataFrame, links: DataFrame, scrapes: DataFrame,
     """Front-page stories scored with ``cfg``, next to their stored score, best first.
 
     ``front`` is bounded by the hot-set size, so its link lookup is a broadcast semi join
-    and the final ranking window is small.
+    whose months prune the links, and the final ranking window is small.
     """
-    wanted = front.select(F.col("story_id"), F.col("score").alias("stored_score"))
-    chosen = links.join(F.broadcast(wanted.select("story_id")), "story_id", "left_semi")
+    wanted = front.select("shard", "story_id", F.col("score").alias("stored_score"))
+    chosen = links.join(F.broadcast(wanted.select("shard", "story_id")), ["shard", "story_id"], "left_semi")
     fresh = recompute(chosen, scrapes, cfg)
-    rows = fresh.join(wanted.withColumnRenamed("story_id", "old_id"), "old_id")
+    rows = fresh.join(wanted.select(F.col("story_id").alias("old_id"), "stored_score"), "old_id")
     place = Window.orderBy(F.desc("score"), F.asc("story_id"))
     return rows.withColumn("place", F.row_number().over(place))

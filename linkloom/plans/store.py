@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import ids
 from ..operators import counts, quality, upsert
 from ..schema import SCRAPES
 from ..session import configure
@@ -70,7 +71,7 @@ class StoryStore:
     def _write(self, df: DataFrame, name: str, path: str) -> None:
         """Rows of a month lie together and in date order inside a file."""
         order = {"scrapes": ["shard", "date", "scrape_id"], "stories": ["shard", "date"],
-                 "links": ["shard", "story_id"]}[name]
+                 "links": ["shard", "story_id", "scrape_id"]}[name]
         (df.select(*self._columns(name)).repartitionByRange(*order)
          .sortWithinPartitions(*order)
          .write.mode("overwrite").partitionBy("shard").parquet(path))
@@ -118,13 +119,11 @@ class StoryStore:
         job = "load"
         folder = f"{self.root}/_staging/{job}"
         rows = scrapes if "seq" in scrapes.columns else scrapes.withColumn("seq", F.lit(0))
-        self._write(upsert.upsert_scrapes(
-            self.spark.createDataFrame([], SCRAPES),
-            rows.select(*self._columns("scrapes"), "seq"), self.cfg.merge_policy),
-            "scrapes", f"{folder}/scrapes")
+        # An id is kept once, whatever months it was seen in; both other tables follow from that.
+        self._write(upsert.unique_scrapes(rows.select(*self._columns("scrapes"), "seq"), self.cfg.merge_policy),
+                    "scrapes", f"{folder}/scrapes")
         stored = self.spark.read.schema(SCRAPES).parquet(f"{folder}/scrapes")
-        self._write(st.build_stories(stored, self.cfg, unique_ids=False), "stories",
-                    f"{folder}/stories")
+        self._write(st.build_stories(stored, self.cfg), "stories", f"{folder}/stories")
         self._write(st.story_links(stored, self.cfg), "links", f"{folder}/links")
         self._commit(job, {name: self._months(self.spark.read.schema(SCHEMAS[name]).parquet(
             f"{folder}/{name}")) for name in SCHEMAS})
@@ -146,17 +145,17 @@ class StoryStore:
         self._write(upsert.upsert_scrapes(old_raw, batch, self.cfg.merge_policy), "scrapes",
                     f"{folder}/scrapes")
         # A batch month can meet stories of its own month and of the month before.
-        near = self.stories.where(F.col("shard").isin(sorted(
-            {m for s in months for m in (s, s - 1)})))
-        out = merge.merge_batch(batch, near, self.links, self.scrapes, self.cfg, stage)
+        around = F.col("shard").isin(sorted({m for s in months for m in (s, s - 1)}))
+        near = self.stories.where(around)
+        out = merge.merge_batch(batch, near, self.links.where(around), self.scrapes, self.cfg, stage)
         changed, gone = stage(out.changed, "changed"), stage(out.gone, "gone")
         new_links = stage(out.links, "new_links")
-        left = near.join(gone, "story_id", "left_semi")
+        left = near.join(gone, ["shard", "story_id"], "left_semi")
         touched = sorted({*self._months(changed), *self._months(left)})
         here = F.col("shard").isin(touched)
-        self._write(upsert.replace_rows(self.stories.where(here), gone, changed, "story_id"),
+        self._write(upsert.replace_rows(self.stories.where(here), gone, changed, ["shard", "story_id"]),
                     "stories", f"{folder}/stories")
-        self._write(upsert.replace_rows(self.links.where(here), gone, new_links, "story_id"),
+        self._write(upsert.replace_rows(self.links.where(here), gone, new_links, ["shard", "story_id"]),
                     "links", f"{folder}/links")
         summary = counts.insert_summary(out.results).collect()
         self._commit(job, {"scrapes": months, "stories": touched, "links": touched})
@@ -166,21 +165,38 @@ class StoryStore:
     def reindex(self, wanted: DataFrame, job: str = "reindex") -> DataFrame:
         """Recompute the given stories with the current configuration."""
         stage, folder = self._stage(job), f"{self.root}/_staging/{job}"
-        out = merge.reindex(wanted, self.stories, self.links, self.scrapes, self.cfg)
+        # A story id holds its month.
+        wanted = stage(wanted.select("story_id").distinct().withColumn(
+            "shard", ids.decode_story_id(F.col("story_id"))["shard"]), "wanted")
+        theirs = F.col("shard").isin(self._months(wanted.where("shard IS NOT NULL")))
+        out = merge.reindex(wanted, self.stories.where(theirs), self.links.where(theirs), self.scrapes,
+                            self.cfg, stage)
         changed, gone = stage(out.changed, "changed"), stage(out.gone, "gone")
         new_links = stage(out.links, "new_links")
-        left = self.stories.join(gone, "story_id", "left_semi")
+        left = self.stories.where(theirs).join(gone, ["shard", "story_id"], "left_semi")
         touched = sorted({*self._months(changed), *self._months(left)})
         here = F.col("shard").isin(touched)
-        self._write(upsert.replace_rows(self.stories.where(here), gone, changed, "story_id"),
+        self._write(upsert.replace_rows(self.stories.where(here), gone, changed, ["shard", "story_id"]),
                     "stories", f"{folder}/stories")
-        self._write(upsert.replace_rows(self.links.where(here), gone, new_links, "story_id"),
+        self._write(upsert.replace_rows(self.links.where(here), gone, new_links, ["shard", "story_id"]),
                     "links", f"{folder}/links")
         summary = counts.insert_summary(out.results).collect()
         self._commit(job, {"stories": touched, "links": touched})
         return self.spark.createDataFrame(
             summary, "merged BIGINT, existing BIGINT, new BIGINT, not_found BIGINT")
 
+    def note_warnings(self, warnings: DataFrame, batch_id: int) -> None:
+        """Keep the warnings (payload, source, message) of one batch."""
+        (warnings.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/warnings"))
+
+    @property
+    def warnings(self) -> DataFrame:
+        schema = "payload BIGINT, source STRING, message STRING, batch BIGINT"
+        if not self._exists("warnings"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/warnings")
+
     def front_page(self, pinned_url: str | None = None) -> DataFrame:
         return front_page.front_page(self.stories, self.cfg, pinned_url, stored=True)
 

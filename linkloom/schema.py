@@ -3,8 +3,8 @@
 SCRAPES = """
     shard INT, scrape_id STRING, source STRING, subsource STRING, id STRING,
     url STRING, raw_title STRING, date TIMESTAMP,
-    position INT, points INT, comments INT, score INT, upvotes INT, downvotes INT,
-    upvote_ratio FLOAT, flair STRING, tags ARRAY<STRING>
+    position BIGINT, points BIGINT, comments BIGINT, score BIGINT, upvotes BIGINT,
+    downvotes BIGINT, upvote_ratio FLOAT, flair STRING, tags ARRAY<STRING>
 """
 
 PAYLOADS = """
@@ -12,15 +12,6 @@ PAYLOADS = """
     fetched_at TIMESTAMP
 """
 
-# One line of a listing response, as the reddit parser reads it. Numbers stay text so a
-# wrong type becomes a warning row instead of a silent null in the whole record.
-REDDIT_LISTING = """
-    data STRUCT<children: ARRAY<STRUCT<kind: STRING, data: STRUCT<
-        id: STRING, subreddit: STRING, stickied: BOOLEAN, created_utc: STRING,
-        url: STRING, title: STRING, num_comments: STRING, score: STRING,
-        downs: STRING, ups: STRING, upvote_ratio: STRING, link_flair_text: STRING>>>>
-"""
-
 RSS_CHANNEL = """
     channel STRUCT<item: ARRAY<STRUCT<
         title: STRING, link: STRING, guid: STRUCT<_VALUE: STRING, _isPermaLink: STRING>,
@@ -34,8 +25,3 @@ SCRAPE_COLUMNS = [
     "position", "points", "comments", "score", "upvotes", "downvotes", "upvote_ratio",
     "flair", "tags",
 ]
-
-STORY_COLUMNS = [
-    "shard", "story_id", "url", "host", "url_norm", "title", "date", "score", "tags",
-    "n_scrapes", "sources", "self_post",
-]

@@ -1,4 +1,4 @@
-"""Session helpers: the settings the operators assume, and the shared work folder."""
+"""Session helpers: the settings the operators assume."""
 
 from __future__ import annotations
 
@@ -33,26 +33,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    A machine-local folder is used only when the session names none (local tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="linkloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input is smaller than the cluster.
-
-    A scan with fewer splits than cores is redistributed once. Real inputs have far more
-    splits than cores, and then this changes nothing.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder all executors share (``spark.checkpoint.dir``); a session
+    without that setting gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -11,15 +11,15 @@ from ..operators.counts import store_stats
 
 # Record name and payload fields per source, a fixed file format: field -> (column, type).
 RECORDS = {
-    "hacker_news": ("HackerNews", {"points": ("points", "INT"), "comments": ("comments", "INT"),
-                                   "position": ("position", "INT")}),
-    "slashdot": ("Slashdot", {"num_comments": ("comments", "INT"),
+    "hacker_news": ("HackerNews", {"points": ("points", "BIGINT"), "comments": ("comments", "BIGINT"),
+                                   "position": ("position", "BIGINT")}),
+    "slashdot": ("Slashdot", {"num_comments": ("comments", "BIGINT"),
                               "tags": ("tags", "ARRAY<STRING>")}),
-    "lobsters": ("Lobsters", {"num_comments": ("comments", "INT"), "position": ("position", "INT"),
-                              "score": ("score", "INT"), "tags": ("tags", "ARRAY<STRING>")}),
-    "reddit": ("Reddit", {"flair": ("flair", "STRING"), "position": ("position", "INT"),
-                          "upvotes": ("upvotes", "INT"), "downvotes": ("downvotes", "INT"),
-                          "num_comments": ("comments", "INT"), "score": ("score", "INT"),
+    "lobsters": ("Lobsters", {"num_comments": ("comments", "BIGINT"), "position": ("position", "BIGINT"),
+                              "score": ("score", "BIGINT"), "tags": ("tags", "ARRAY<STRING>")}),
+    "reddit": ("Reddit", {"flair": ("flair", "STRING"), "position": ("position", "BIGINT"),
+                          "upvotes": ("upvotes", "BIGINT"), "downvotes": ("downvotes", "BIGINT"),
+                          "num_comments": ("comments", "BIGINT"), "score": ("score", "BIGINT"),
                           "upvote_ratio": ("upvote_ratio", "FLOAT")}),
     "feed": ("Feed", {"tags": ("tags", "ARRAY<STRING>")}),
 }
@@ -46,10 +46,14 @@ def _record_schema() -> str:
     return f"STRUCT<{', '.join(parts)}>"
 
 
-def from_records(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
-    """Scrapes of backup lines. A bad line fails the job; ``strict=False`` drops it."""
+def _is_good() -> Column:
+    return F.coalesce(F.col("_parsed").isNotNull() & F.col("_date").isNotNull() & F.col("url").isNotNull(), F.lit(False))
+
+
+def _flat(lines: DataFrame, column: str, *carried: str) -> DataFrame:
+    """The fields of every line, whatever record it holds; null where it holds none."""
     doc = F.from_json(F.col(column), _record_schema(), {"mode": "PERMISSIVE"})
-    rows = lines.select(doc.alias("_d"), F.col(column).alias("_line"))
+    rows = lines.select(doc.alias("_d"), F.col(column).alias("_line"), *carried)
     columns: dict[str, Column] = {}
     source = F.lit(None).cast("string")
     for name_of, (name, fields) in RECORDS.items():
@@ -59,14 +63,18 @@ def from_records(lines: DataFrame, column: str = "value", strict: bool = True) -
         for f, (c, _t) in {**shared, **fields}.items():
             value = F.when(here.isNotNull(), here[f])
             columns[c] = F.coalesce(columns[c], value) if c in columns else value
-    flat = rows.select(source.alias("source"), "_line",
+    flat = rows.select(source.alias("source"), "_line", *carried,
                        *[v.alias(f"_{c}" if c in ("id", "date") else c)
                          for c, v in columns.items()])
-    parsed = ids.parse_scrape_id(F.col("_id"))
+    return flat.withColumn("_parsed", ids.parse_scrape_id(F.col("_id")))
+
+
+def from_records(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
+    """Scrapes of backup lines. A bad line fails the job; ``strict=False`` drops it."""
+    flat, parsed, good = _flat(lines, column), F.col("_parsed"), _is_good()
     # The URL is either its text or an array whose first entry is the text.
     raw_url = F.when(F.col("url").startswith("["),
                      F.get(F.from_json("url", "array<string>"), F.lit(0))).otherwise(F.col("url"))
-    good = parsed.isNotNull() & F.col("_date").isNotNull() & F.col("url").isNotNull()
     if strict:
         flat = flat.where(F.when(good, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("bad backup record: "), F.substring("_line", 1, 200)))
@@ -82,9 +90,23 @@ def from_records(lines: DataFrame, column: str = "value", strict: bool = True) -
 
 
 def read_backup(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """A record ends with a brace at the line's end; an unterminated tail is no record."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return from_records(lines.where(F.col("value").endswith("}")), "value", strict)
+    """Scrapes of the files below ``path``, one record per line. A file's last line may be
+    unfinished, without a line break: its writer was stopped. Any other broken line is an
+    error; ``strict=False`` drops it.
+
+    Whether a file has such a tail shows in its size, which then lacks a line break's byte. So
+    the check is one row per file, and needs no order of lines.
+    """
+    pieces = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+              .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"),
+                      (F.octet_length("value") + 1).alias("_bytes")))
+    if strict:
+        files = _flat(pieces, "value", "_file", "_size", "_bytes").groupBy("_file").agg(
+            F.sum((~_is_good()).cast("bigint")).alias("bad"), (F.sum("_bytes") > F.max("_size")).cast("bigint").alias("tail"))
+        broken = files.where("bad > tail").select("_file", "bad").limit(1).collect()
+        if broken:
+            raise ValueError(f"bad backup record in {broken[0]['_file']}")
+    return from_records(pieces, "value", strict=False)
 
 
 def changed_months(stats: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.ids import scrape_id
 from ..functions.months import month_of
 from ..functions.text import unescape_entities
-from ..session import spread
 
 SUBREDDIT_CYCLE = ("programming", "compilers", "rust", "science", "python", "technology")
 TAG_CYCLE = ("person", "Programming", "java", "practices", "c++", "games", "Web", "go")
@@ -31,7 +30,7 @@ def _pick(values: tuple, index) -> F.Column:
 
 def sightings(spark: SparkSession, sf_dir: str, raw_text: bool = False) -> DataFrame:
     """The scrapes table. ``raw_text=True`` keeps entities in titles undecoded."""
-    orders = spread(table(spark, sf_dir, "orders")).withColumn(
+    orders = table(spark, sf_dir, "orders").withColumn(
         "o_orderdate", F.col("o_orderdate").cast("timestamp"))
     pages = table(spark, sf_dir, "pages").select(
         "page_id", "url",
@@ -60,7 +59,7 @@ def sightings(spark: SparkSession, sf_dir: str, raw_text: bool = False) -> DataF
     trail = F.when(k % 11 == 0, " [pdf]").when(k % 11 == 1, " [video]").otherwise("")
     title = F.concat(lead, words, trail)
     volume = F.floor(F.col("o_totalprice")).cast("bigint")
-    talk = (F.col("o_custkey") % 200).cast("int")
+    talk = (F.col("o_custkey") % 200).cast("bigint")
     is_reddit = F.col("source") == "reddit"
     joined = joined.withColumn("raw_title", title)
     out = joined.select(
@@ -73,13 +72,13 @@ def sightings(spark: SparkSession, sf_dir: str, raw_text: bool = False) -> DataF
          else unescape_entities(F.col("raw_title"))).alias("raw_title"),
         F.col("o_orderdate").alias("date"),
         F.when(F.col("source").isin("hacker_news", "reddit", "lobsters"),
-               (k % 40).cast("int")).alias("position"),
-        F.when(F.col("source") == "hacker_news", (volume % 200).cast("int")).alias("points"),
+               (k % 40).cast("bigint")).alias("position"),
+        F.when(F.col("source") == "hacker_news", (volume % 200).cast("bigint")).alias("points"),
         F.when(F.col("source") != "feed", talk).alias("comments"),
         F.when(F.col("source").isin("reddit", "lobsters"),
-               (volume % 300).cast("int")).alias("score"),
-        F.when(is_reddit, (volume % 20).cast("int")).alias("upvotes"),
-        F.when(is_reddit, (volume % 3).cast("int")).alias("downvotes"),
+               (volume % 300).cast("bigint")).alias("score"),
+        F.when(is_reddit, (volume % 20).cast("bigint")).alias("upvotes"),
+        F.when(is_reddit, (volume % 3).cast("bigint")).alias("downvotes"),
         F.when(is_reddit, ((volume % 4) * 0.25).cast("float")).alias("upvote_ratio"),
         F.when(is_reddit, _pick(FLAIR_CYCLE, F.col("o_custkey"))).alias("flair"),
         F.when(F.col("source").isin("lobsters", "slashdot", "feed"),

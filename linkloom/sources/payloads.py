@@ -7,6 +7,7 @@ sites. A failed fetch or a bad record becomes a warning row, never a failed job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,6 @@ from ..schema import RSS_CHANNEL
 from ..session import settled
 from . import html
 
-_INT_MAX = 2147483647
 _LISTING = """STRUCT<data: STRUCT<children: ARRAY<STRUCT<kind: STRING, data: STRUCT<
     id: STRING, subreddit: STRING, stickied: BOOLEAN, created_utc: DOUBLE, url: STRING,
     title: STRING, num_comments: DOUBLE, score: DOUBLE, downs: DOUBLE, ups: DOUBLE,
@@ -35,8 +35,8 @@ class Parsed:
 
 def _row(source: str, **values: Column) -> list[Column]:
     """Scrape columns in table order; what a source lacks is null."""
-    kinds = {"position": "int", "points": "int", "comments": "int", "score": "int",
-             "upvotes": "int", "downvotes": "int", "upvote_ratio": "float",
+    kinds = {"position": "bigint", "points": "bigint", "comments": "bigint", "score": "bigint",
+             "upvotes": "bigint", "downvotes": "bigint", "upvote_ratio": "float",
              "flair": "string", "tags": "array<string>", "subsource": "string"}
     values.setdefault("subsource", F.lit(None))
     out = [month_of(values["date"]).alias("shard"),
@@ -44,8 +44,6 @@ def _row(source: str, **values: Column) -> list[Column]:
            .alias("scrape_id"), F.lit(source).alias("source")]
     for name in ("subsource", "id", "url", "raw_title", "date", *list(kinds)[:-1]):
         v = values.get(name, F.lit(None))
-        if kinds.get(name) == "int":
-            v = F.least(v.cast("bigint"), F.lit(_INT_MAX))
         out.append((v.cast(kinds[name]) if name in kinds else v).alias(name))
     return [F.col("payload"), *out]
 
@@ -274,19 +272,29 @@ def parse_slashdot(payloads: DataFrame, cfg: SourceConfig = SourceConfig()) -> P
         date=F.col("date"), comments=F.coalesce("_count", F.lit(0)), tags=F.col("tags")))
 
 
-def scrape_payloads(payloads: DataFrame, cfg: EngineConfig = EngineConfig()) -> Parsed:
-    """Dispatch on source. A payload with an HTTP error is one warning row."""
-    ok = payloads.where(F.col("status") == 200)
+# Source name -> parser of its payloads. A further source is an entry of its own.
+PARSERS: dict[str, Callable[[DataFrame, EngineConfig], Parsed]] = {
+    "hacker_news": lambda rows, cfg: parse_hacker_news(rows),
+    "reddit": lambda rows, cfg: parse_reddit(rows),
+    "lobsters": lambda rows, cfg: parse_lobsters(rows),
+    "slashdot": lambda rows, cfg: parse_slashdot(rows, cfg.sources),
+}
 
-    def of(name: str) -> DataFrame:
-        return ok.where(F.col("source") == name)
 
-    parts = [parse_hacker_news(of("hacker_news")), parse_reddit(of("reddit")),
-             parse_lobsters(of("lobsters")), parse_slashdot(of("slashdot"), cfg.sources)]
+def scrape_payloads(payloads: DataFrame, cfg: EngineConfig = EngineConfig(),
+                    parsers: dict[str, Callable[[DataFrame, EngineConfig], Parsed]] | None = None) -> Parsed:
+    """Dispatch on source. A payload with an HTTP error, or of a source without a parser, is
+    one warning row, so every payload leaves a trace."""
+    parsers = PARSERS if parsers is None else parsers
+    ok = payloads.where(F.col("status") == 200)
+    parts = [parse(ok.where(F.col("source") == name), cfg) for name, parse in parsers.items()]
+    strange = ok.where(~F.coalesce(F.col("source").isin(*parsers), F.lit(False))).select(
+        "payload", "source", F.concat(F.lit("No parser for source "), F.coalesce("source", F.lit("null")))
+        .alias("message"))
     failed = payloads.where(F.coalesce(F.col("status") != 200, F.lit(True))).select(
         "payload", "source", F.concat(F.lit("HTTP "), F.coalesce(
             F.col("status").cast("string"), F.lit("error")), F.lit(" for "), "url").alias("message"))
     scrapes, warnings = parts[0].scrapes, parts[0].warnings
     for p in parts[1:]:
         scrapes, warnings = scrapes.unionByName(p.scrapes), warnings.unionByName(p.warnings)
-    return Parsed(scrapes, warnings.unionByName(failed))
+    return Parsed(scrapes, warnings.unionByName(failed).unionByName(strange))

@@ -39,10 +39,6 @@ def posts(files: DataFrame, site: str, extra_tags: tuple[str, ...] = ("blog",))
                     "contents"))
 
 
-def newest_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc("date"), "id")
-
-
 def as_scrapes(rows: DataFrame) -> DataFrame:
     """Feed scrapes; the scrape id is the post's epoch second."""
     sid = F.unix_seconds("date").cast("string")
@@ -52,6 +48,6 @@ def as_scrapes(rows: DataFrame) -> DataFrame:
         ids.scrape_id(F.lit("feed"), none.cast("string"), sid).alias("scrape_id"),
         F.lit("feed").alias("source"), none.cast("string").alias("subsource"), sid.alias("id"),
         "url", F.col("title").alias("raw_title"), "date",
-        *[none.cast("int").alias(c) for c in (
+        *[none.cast("bigint").alias(c) for c in (
             "position", "points", "comments", "score", "upvotes", "downvotes")],
         none.cast("float").alias("upvote_ratio"), none.cast("string").alias("flair"), "tags")

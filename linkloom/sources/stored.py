@@ -15,11 +15,6 @@ def only_years(scrapes: DataFrame, years: list[int]) -> DataFrame:
     return scrapes.where(spans)
 
 
-def scan_month(scrapes: DataFrame, shard: int) -> DataFrame:
-    """One month in (date, id) order."""
-    return scrapes.where(F.col("shard") == shard).orderBy("date", "scrape_id")
-
-
-def scan_range(scrapes: DataFrame, first: int, last: int, newest_first: bool = False) -> DataFrame:
-    direction = F.desc if newest_first else F.asc
-    return scrapes.where(F.col("shard").between(first, last)).orderBy(direction("shard"))
+def scan_month(rows: DataFrame, shard: int, key: str = "scrape_id") -> DataFrame:
+    """One month of scrapes or stories in (date, id) order; other partitions are not read."""
+    return rows.where(F.col("shard") == shard).orderBy("date", key)

@@ -22,10 +22,12 @@ def ingest_stream(payloads: DataFrame, store: StoryStore, checkpoint: str,
 
     A replayed batch changes nothing: the raw upsert and the merge are keyed by scrape id.
     Late scrapes need no watermark, because the merge looks back a bounded month.
-    ``every`` is a processing-time interval; without it the stream drains and stops.
+    ``every`` is a processing-time interval; without it the stream drains and stops. Warnings
+    go to the store's ``warnings`` table, one folder per batch, so a replay replaces them.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         parsed = scrape_payloads(batch, store.cfg)
+        store.note_warnings(parsed.warnings, batch_id)
         store.ingest(parsed.scrapes, f"batch-{batch_id}")
         if refresh:
             store.refresh_hot_set()

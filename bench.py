@@ -78,6 +78,13 @@ def main() -> None:
         F.min("date").alias("date"))
     from linkloom.operators.joins import match_existing
     timed("interval_match", lambda: drain(match_existing(heads, table("old_stories"))))
+    from linkloom.plans.store import StoryStore
+    store = StoryStore(spark, f"{folder}/store", CFG)
+    timed("load", lambda: store.load(old))
+    last = old.agg(F.max("shard")).first()[0]
+    timed("ingest", lambda: store.ingest(new.where(F.col("shard") == last)))
+    best = store.stories.orderBy(F.desc("shard"), F.desc("score")).limit(300).select("story_id")
+    timed("reindex", lambda: store.reindex(best))
     for name in ("counts_by_month", "title_tagging", "parse_reddit", "parse_hn", "rate_limits",
                  "event_windows", "feed_text"):
         timed(name, lambda name=name: drain(checks.QUERIES[name](spark, SF_DIR)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.functions import dates
+from linkloom.operators import ranking
 from linkloom.session import shared_path
 from linkloom.sources import backup, crawl, payloads, posts
 from linkloom.sources.derived import sightings, table
@@ -220,6 +221,14 @@ def crawl_plan(spark, d):
                        'No ' || doc_id || ': ' || source || '!' AS title, lang, source
                 FROM documents))""")
 def post_rows(spark, d):
+    found = post_table(spark, d)
+    sids = posts.as_scrapes(found).select("url", "scrape_id")
+    return found.join(sids, "url").select(
+        "id", "title", "url", F.unix_seconds("date").alias("date_s"), joined("tags").alias("tags"),
+        "scrape_id")
+
+
+def post_table(spark, d):
     docs = table(spark, d, "documents")
     files = docs.select(
         F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")),
@@ -227,11 +236,23 @@ def post_rows(spark, d):
         F.concat(F.lit("---\ntags: "), "lang", F.lit(", "), "source", F.lit("\ntitle: No "),
                  F.col("doc_id").cast("string"), F.lit(": "), "source", F.lit("!\n---\n"), "text")
         .alias("contents"))
-    found = posts.posts(files, "example.org")
-    sids = posts.as_scrapes(found).select("url", "scrape_id")
-    return found.join(sids, "url").select(
-        "id", "title", "url", F.unix_seconds("date").alias("date_s"), joined("tags").alias("tags"),
-        "scrape_id")
+    return posts.posts(files, "example.org")
+
+
+@query("live_pin", r"""
+    SELECT 'two days' AS after, 'https://example.org/blog/' || id || '/' || regexp_replace(
+             replace(lower('No ' || doc_id || ': ' || source || '!'), ' ', '-'), '[^\p{L}\p{N}_-]', '', 'g') AS url
+    FROM (SELECT doc_id, source, strftime(DATE '2000-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS id FROM documents)
+    ORDER BY id DESC LIMIT 1""")
+def live_pin(spark, d):
+    """The newest post is pinned a day after it, and no longer after three."""
+    found = post_table(spark, d)
+    newest = found.agg(F.max("date")).scalar()
+    out = None
+    for name, hours in (("two days", 47), ("three days", 72)):
+        part = ranking.live_pin(found, newest + F.make_dt_interval(F.lit(0), F.lit(hours))).select(F.lit(name).alias("after"), "url")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("backup_changed", assemble(

@@ -65,6 +65,12 @@ def pin_is_live(post_date: Column, now: Column, days: int = 2) -> Column:
     return post_date + F.make_dt_interval(F.lit(days)) > now
 
 
+def live_pin(posts: DataFrame, now: Column, days: int = 2) -> DataFrame:
+    """URL of the newest post while its pin is live, else no row."""
+    newest = posts.orderBy(F.desc("date"), F.asc("id")).limit(1)
+    return newest.where(pin_is_live(F.col("date"), now, days)).select("url")
+
+
 def top_tags(hot: DataFrame, tags: TagConfig, limit: int = 50) -> DataFrame:
     """Host and tag counts of the hot set; self posts and pinned stories do not count."""
     counted = (hot.where(~F.col("pinned") & ~F.col("self_post"))

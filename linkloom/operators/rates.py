@@ -113,14 +113,20 @@ def rate_summary(events: DataFrame, limit: RateLimit) -> DataFrame:
 def classify_events(events: DataFrame, limit: RateLimit) -> DataFrame:
     """Every event with its ``level``. ``events`` has (key, ts, event_id, ...).
 
-    The rank is taken inside one (key, short bucket), never over a whole key.
+    The rank inside a (key, short bucket) comes in two steps, since an attack fills one bucket:
+    counts per second are summed up over the bucket, whose seconds are few, and events are
+    numbered inside their second.
     """
     states = bucket_states(events, limit)
-    order = Window.partitionBy("key", "short_bucket").orderBy("ts", "event_id")
-    ranked = (_buckets(events.withColumn("key", F.col("key").cast("string")), limit)
-              .withColumn("_rank", F.row_number().over(order) - 1).drop("long_bucket"))
-    rows = ranked.join(states, ["key", "short_bucket"])
-    rank = F.col("_rank")
+    numbered = (_buckets(events.withColumn("key", F.col("key").cast("string")), limit)
+                .withColumn("_second", F.unix_seconds("ts")))
+    seconds = numbered.groupBy("key", "short_bucket", "_second").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("key", "short_bucket").orderBy("_second"))
+    seconds = (seconds.withColumn("_before", upto - F.col("_n")).join(states, ["key", "short_bucket"])
+               .select("key", "_second", "_before", "short_before", "long_before", "short_taken", "long_room"))
+    place = F.row_number().over(Window.partitionBy("key", "_second").orderBy("ts", "event_id"))
+    rows = numbered.withColumn("_place", place).join(seconds, ["key", "_second"])
+    rank = F.col("_before") + F.col("_place") - 1
     rejected = (rank >= F.col("short_taken")) | (rank >= F.col("long_room"))
     warned = ((F.col("short_before") + rank >= 2 * limit.short_soft)
               | (F.col("long_before") + rank >= 2 * limit.long_soft))

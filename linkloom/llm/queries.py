@@ -49,7 +49,48 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.judge(docs, model).select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
 
 
-@query("op8_quality_rules")
+_RULES = quality_rules.RuleSettings()
+_FENCE = f"""q75 + {_RULES.spread} * (q75 - q25) + CASE name {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _RULES.slack.items())} END"""
+_QUARTILES = "count(*) AS n, list_sort(list(b))[(25 * count(*) + 99) // 100] AS q25, list_sort(list(b))[(75 * count(*) + 99) // 100] AS q75"
+
+
+@query("op8_quality_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+            FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM split WHERE len(ws) > 3)),
+twice AS (SELECT r, unnest([i, i + 1, i + 2]) AS i
+          FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM windows) WHERE k > 1),
+repeated AS (SELECT r, count(DISTINCT i) AS n FROM twice GROUP BY r),
+stats AS (
+  SELECT s.r, doc_id, lang, source, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines FROM split s LEFT JOIN repeated p ON p.r = s.r),
+base AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM stats),
+cells AS (
+  SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS name,
+         unnest([1, 2, 3, 4]) AS place,
+         unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
+                 1000 * n_repeat_words // greatest(n_words, 1), 10 * word_chars // greatest(n_words, 1)]) AS v FROM base),
+fed AS (SELECT *, least(v, 1000) AS b FROM cells WHERE NOT base_failed),
+own AS (SELECT lang, source, name, n, {_FENCE} AS f FROM (SELECT lang, source, name, {_QUARTILES} FROM fed GROUP BY ALL)),
+wide AS (SELECT lang, name, n, {_FENCE} AS f FROM (SELECT lang, name, {_QUARTILES} FROM fed GROUP BY ALL)),
+whole AS (SELECT name, {_FENCE} AS f FROM (SELECT name, {_QUARTILES} FROM fed GROUP BY ALL)),
+judged AS (
+  SELECT c.r, string_agg(c.name, ',' ORDER BY place) FILTER (v > CASE WHEN o.n >= {_RULES.min_group} THEN o.f
+           WHEN l.n >= {_RULES.min_group} THEN l.f ELSE a.f END) AS failed
+  FROM cells c LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM c.lang AND o.source IS NOT DISTINCT FROM c.source AND o.name = c.name
+  LEFT JOIN wide l ON l.lang IS NOT DISTINCT FROM c.lang AND l.name = c.name LEFT JOIN whole a ON a.name = c.name
+  -- A group of which no row passes the base rule has no fence; its rows have failed anyway.
+  WHERE o.n IS NOT NULL GROUP BY c.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM base LEFT JOIN judged USING (r)
+""")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

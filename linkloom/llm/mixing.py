@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from linkloom.llm.common import settle, small_batches, whole_row, with_row
+from linkloom.llm.common import settle, sized, small_batches, whole_row, with_row
 
 #: A word's pattern over bytes, and the same white space for Spark's functions.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -162,7 +162,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     everything = max(1, sum(r.n for r in counts))
     cuts = [(r["_source"], max(1, min(math.ceil(s.shards * r.n / everything), math.ceil(r.n / s.shard_rows))))
             for r in counts]
-    cut = spark.createDataFrame(cuts, "_c_source string, _cut long")
+    cut = sized(spark.createDataFrame(cuts, "_c_source string, _cut long"), len(cuts))
 
     def dealt(rows: DataFrame) -> DataFrame:
         return (rows.join(cut, c("_source").eqNullSafe(c("_c_source")), "left")
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     order = Window.partitionBy("_source", "_shard").orderBy("_h", "_id", "_size", F.xxhash64("_row"))
     rows = dealt(rows).withColumn("_end", F.sum("_size").over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.join(quota, c("_source").eqNullSafe(c("_q_source")) & (c("_shard") == c("_q_shard")), "left")
+    rows = rows.join(sized(quota, len(found)), c("_source").eqNullSafe(c("_q_source")) & (c("_shard") == c("_q_shard")), "left")
     # Block j holds the tokens from j * tokens // n on; a document touches blocks _b0 to _b1.
     rows = rows.withColumns({"_start": c("_end") - c("_size")})
     rows = rows.withColumns({"_b0": F.expr("((_start + 1) * _n - 1) div _tokens"),
@@ -192,6 +192,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
 def _cut_batch(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     out = []
     for text, first, last in zip(texts, starts, ends):
+        if first is None:
+            out.append(None)
+            continue
         data = (text or "").encode("utf-8", "surrogatepass")
         at = [m.span() for m in WORD.finditer(data)]
         ranges: list[list[int]] = []
@@ -216,10 +219,14 @@ def write_out(mixed: DataFrame, columns: list[str], text: str = "text", size: st
     c = F.col
     full = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]) == c(size)
     more = F.size("spans") > 0
-    rows = mixed.withColumns({"_copies": c("passes") + F.when(more & full, 1).otherwise(0), "_part": more & ~full})
-    whole = (rows.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), c("_copies"))))
-             .select(*[c(f"`{x}`") for x in columns]))
-    part = rows.where("_part").withColumn(text, cut_text(c(f"`{text}`"), "spans.start", "spans.end"))
+    # One pass: a row for each whole copy, and one for the part; only parts go to the cutter.
+    whole = c("passes") + F.when(more & full, 1).otherwise(0)
+    kinds = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.array_repeat(F.lit(True), (more & ~full).cast("int")))
+    rows = mixed.withColumn("_part", F.explode(kinds))
+    part = F.when(c("_part"), c(f"`{text}`"))
+    rows = rows.withColumn("_cut", cut_text(part, F.when(c("_part"), c("spans.start")), F.when(c("_part"), c("spans.end"))))
+    rows = rows.withColumn(text, F.when(c("_part"), c("_cut")).otherwise(c(f"`{text}`")))
     if n_chars:
-        part = part.withColumn(n_chars, F.length(text).cast(mixed.schema[n_chars].dataType))
-    return whole.unionByName(part.select(*[c(f"`{x}`") for x in columns]))
+        cut_size = F.length(text).cast(mixed.schema[n_chars].dataType)
+        rows = rows.withColumn(n_chars, F.when(c("_part"), cut_size).otherwise(c(f"`{n_chars}`")))
+    return rows.select(*[c(f"`{x}`") for x in columns])

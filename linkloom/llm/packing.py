@@ -17,7 +17,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +45,7 @@ class WordIds:
     # All of ASCII but letters, digits, white space and the apostrophe, which may start a suffix.
     BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.known: dict[str, bytes] = {}
@@ -104,11 +103,6 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 PIECE = StructType([StructField("piece", IntegerType()), StructField("start", LongType()),
                     StructField("length", LongType()), StructField("ids", BinaryType())])
 
@@ -121,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _word_ids(tokenizer)
+        words = WordIds(tokenizer)  # one per task: a kept one would hold its memory for good
         for batch in batches:
             rows = []
             for key, ids in zip(batch["doc_id"], words.of(batch["text"].tolist())):

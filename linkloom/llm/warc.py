@@ -41,7 +41,7 @@ LEAST = 100
 ARCHIVE_BYTES = 16_000_000
 
 
-def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = LEAST) -> DataFrame:
+def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, payload_digest, payload_bytes) of every page, settled in the shared folder."""
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
     return settle(pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.sha2(payload, 256).alias("payload_digest"),
@@ -52,7 +52,7 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
                   least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the pages as gzip-compressed WARC files below ``path``."""
     c = F.col
-    heads = headers(pages, page_id, html, least)
+    heads = headers(pages, page_id, html)
     first = (heads.where(c("payload_bytes") >= least).groupBy("payload_digest")
              .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
              .where("_copies > 1").select(c("payload_digest").alias("_digest"), "_first"))
@@ -62,10 +62,12 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
                         payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     # Which rows revisit is found on headers; the payloads are shuffled once, by page.
     again = (heads.join(first, c("payload_digest") == c("_digest")).where(~c("page_id").eqNullSafe(c("_first")))
-             .select(c("page_id").alias("_page"), "_digest", "_first").distinct())
+             .select("page_id", c("_digest").alias("digest"), "_first").distinct())
     files = max(1, math.ceil(total / archive_bytes))
-    rows = rows.repartition(files, "page_id", "digest").join(
-        again, c("page_id").eqNullSafe(c("_page")) & (c("digest") == c("_digest")), "left")
+    # Null-safe equality as plain columns, so that the join keeps the partitions of the files.
+    key = {"_none": c("page_id").isNull(), "_id": F.coalesce("page_id", F.lit(0).cast("long"))}
+    again = again.withColumns(key).drop("page_id")
+    rows = rows.withColumns(key).repartition(files, "_none", "_id", "digest").join(again, ["_none", "_id", "digest"], "left")
     revisit = c("_first").isNotNull()
     size = F.octet_length("payload")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from linkloom.llm.common import small_batches, whole_row, with_row
+from linkloom.llm.common import settle, sized, small_batches, whole_row, with_row
 
 UNIT = 1_000_000
 
@@ -164,10 +164,11 @@ def judge(docs: DataFrame, model: Classifier, source: str = "source", lang: str
                        scored(c(f"`{text}`").cast("string")).alias("_e"))
     chance = 1 / (1 + F.exp(-(c("_e") + F.lit(_logit(model.base)))))
     rows = rows.withColumn("_p", F.round(chance * UNIT).cast("long"))
-    paths = rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_np"), F.sum("_p").alias("_sp"))
+    paths = settle(rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_np"), F.sum("_p").alias("_sp")))
     hosts = paths.groupBy("_host").agg(F.sum("_np").alias("_nh"), F.sum("_sp").alias("_sh"))
     limits = (paths.select(c("_host").alias("_gh"), c("_path").alias("_gp"), "_np", "_sp")
               .join(hosts, c("_gh").eqNullSafe(c("_host"))).drop("_host"))
+    limits = settle(limits)
     # The spread of the levels: one row.
     total = hosts.agg(F.sum("_nh").alias("n"), F.sum("_sh").alias("t"), F.sum(c("_nh").cast("double") ** 2).alias("n2"),
                       F.count(F.lit(1)).alias("g"), F.sum(c("_sh").cast("double") ** 2 / c("_nh")).alias("q")).first()
@@ -177,7 +178,7 @@ def judge(docs: DataFrame, model: Classifier, source: str = "source", lang: str
     inner = limits.agg(F.sum(c("_np").cast("double") ** 2 / c("_nh")).alias("n2"), F.count(F.lit(1)).alias("g"),
                        F.sum(c("_sp").cast("double") ** 2 / c("_np") - c("_sp").cast("double") * c("_sh") / c("_nh")).alias("q")).first()
     path_k = _weight(mean, n, (inner.n2 or 0), max(0, inner.g - (total.g or 0) + 1), (inner.q or 0) / UNIT ** 2, s)
-    joined = rows.join(limits, c("_host").eqNullSafe(c("_gh")) & c("_path").eqNullSafe(c("_gp")), "left")
+    joined = rows.join(sized(limits), c("_host").eqNullSafe(c("_gh")) & c("_path").eqNullSafe(c("_gp")), "left")
     host = (host_k * mean + (c("_sh") - c("_p")) / UNIT) / (host_k + c("_nh") - 1)
     path = (path_k * host + (c("_sp") - c("_p")) / UNIT) / (path_k + c("_np") - 1)
 

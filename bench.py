@@ -81,7 +81,7 @@ def main() -> None:
     from linkloom.plans.store import StoryStore
     store = StoryStore(spark, f"{folder}/store", CFG)
     timed("load", lambda: store.load(old))
-    last = old.agg(F.max("shard")).first()[0]
+    last = new.agg(F.max("shard")).first()[0]
     timed("ingest", lambda: store.ingest(new.where(F.col("shard") == last)))
     best = store.stories.orderBy(F.desc("shard"), F.desc("score")).limit(300).select("story_id")
     timed("reindex", lambda: store.reindex(best))

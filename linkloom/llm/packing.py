@@ -45,7 +45,7 @@ class WordIds:
     # All of ASCII but letters, digits, white space and the apostrophe, which may start a suffix.
     BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 450_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.known: dict[str, bytes] = {}

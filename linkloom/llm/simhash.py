@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from linkloom.llm import near_sets
 from linkloom.llm.common import partitions, settle, small_batches, whole_row, with_row
 
 RADIUS = 3
@@ -230,15 +231,31 @@ def components(edges: DataFrame) -> DataFrame:
         state = after.select("fp", "root")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _named(percent: int | None, shingle: int):
+    """What names a node: the fingerprint, or the hash of the words."""
+    if percent is None and shingle != SHINGLE:
+        raise ValueError(f"fingerprints have shingles of {SHINGLE} words")
+    return fingerprints if percent is None else near_sets.nodes
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                    percent: int | None = 80) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row: the component's smallest fingerprint
-    and its smallest doc_id."""
+    and its smallest doc_id.
+
+    With ``percent``, texts are linked if their sets of ``shingle`` words have that Jaccard
+    similarity (``near_sets``); ``fp`` is then the hash of the text's words. At such a distance
+    fingerprints lie up to a dozen bits and more apart, where no shard keys reach all pairs.
+    Without it, texts are linked if their fingerprints of three-word shingles lie three bits
+    apart at most.
+    """
     small_batches(docs.sparkSession)
-    rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
-                              fingerprints(F.col(f"`{text}`").cast("string")).alias("fp")))
+    named = _named(percent, shingle)
+    rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), named(F.col(f"`{text}`").cast("string")).alias("fp")))
     firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     share = firsts.agg(F.sum("n")).first()[0] or 0
-    roots = components(links(firsts.select("fp")))
+    found = links(firsts.select("fp")) if percent is None else near_sets.links(docs, text, shingle, percent, share)
+    roots = components(found)
     grown = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(grown, "root").select(F.col("fp").alias("_fp"), "root", "smallest")
     known = settle(firsts.join(linked, F.col("fp") == F.col("_fp"), "left")
@@ -254,16 +271,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                          .join(known.where(~hot), F.col("fp") == F.col("_fp")).select(*columns)))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                percent: int | None = 80) -> DataFrame:
     """One whole row of ``docs`` for each component: the row of its smallest
     (doc_id, fingerprint), a null doc_id after all others."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, shingle, percent)
     keep = (found.groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
             .select(F.col("k.doc_id").alias("_kid"), F.col("k.fp").alias("_kfp")))
     small_batches(docs.sparkSession)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(f"`{doc_id}`").alias("_id"),
-                       fingerprints(F.col(f"`{text}`").cast("string")).alias("_fp"))
+                       _named(percent, shingle)(F.col(f"`{text}`").cast("string")).alias("_fp"))
     # Null-safe equality as plain columns, so that the last step needs no shuffle of its own.
     id_type = rows.schema["_id"].dataType
     null_safe = lambda x: [x.isNull(), F.coalesce(x, F.lit(0).cast(id_type))]

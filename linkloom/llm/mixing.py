@@ -2,11 +2,13 @@
 
 1. Targets: the sources share ``share`` times all tokens by weight; a target stops at ``cap``
    times its source, and the excess is shared again by weight until none is above.
-2. Each source is dealt into shards by a seeded hash of the id, many for a hot source. A
-   shard's documents, in seeded order, form one token stream that is cut into blocks of
-   equal size (``block`` tokens, up to rounding).
-3. All blocks of the mix are seats. Sainte-Lague's highest quotients (w/1, w/3, w/5 ...)
-   give every source its number of seats, and again every shard of a source its own.
+2. Each source is dealt into shards by a seeded hash of the id, many for a hot source, but
+   none of fewer than ``shard_rows`` rows or ``shard_blocks`` blocks on average. A shard's
+   documents, in seeded order, form one token stream that is cut into blocks of equal size
+   (``block`` tokens, up to rounding; fewer in a source of under 64 such blocks).
+3. Sainte-Lague's highest quotients (w/1, w/3, w/5 ...) give every source its number of seats,
+   of the size of the smallest block. They count as many of the source's own blocks as hold
+   the same tokens, which are dealt in the same way to its shards.
 4. A shard with n blocks and q seats takes every block q // n times, and q % n blocks once
    more; which ones follows from a seeded permutation of the block numbers, so that no block
    is ever listed or sorted.
@@ -50,6 +52,7 @@ class MixSettings:
     block: int = 128
     shards: int = 4096
     shard_rows: int = 16
+    shard_blocks: int = 32
     seed: int = 17
 
 
@@ -110,6 +113,20 @@ def apportion(weights, caps, seats: int) -> list[int]:
     return got.tolist()
 
 
+def block_of(tokens: int, s: MixSettings = MixSettings()) -> int:
+    """The block size of a source: halved until it has 64 blocks, one token at least."""
+    block = s.block
+    while block > 1 and tokens < 64 * block:
+        block //= 2
+    return block
+
+
+def cut_of(rows: int, tokens: int, everything: int, s: MixSettings = MixSettings()) -> int:
+    """Into how many shards a source is dealt, of ``everything`` rows of all sources."""
+    return max(1, min(math.ceil(s.shards * rows / everything), math.ceil(rows / s.shard_rows),
+                      tokens // (s.shard_blocks * block_of(tokens, s))))
+
+
 def quotas(shards: list[tuple[str | None, int, int]], s: MixSettings = MixSettings()) -> list[tuple]:
     """From (source, shard, tokens) one row per shard: (source, shard, tokens, source_size,
     target, blocks, passes, extra, step, first)."""
@@ -118,16 +135,17 @@ def quotas(shards: list[tuple[str | None, int, int]], s: MixSettings = MixSettin
         total[source] = total.get(source, 0) + tokens
     goal = targets(list(total.items()), s)
     shards = sorted(shards, key=lambda x: (x[0] is None, x[0] or "", x[1]))
-    blocks = [max(1, round(t / s.block)) if t else 0 for _, _, t in shards]
-    room: dict[str | None, int] = {}
+    blocks = [max(1, round(t / block_of(total[source], s))) if t else 0 for source, _, t in shards]
     mine: dict[str | None, list[int]] = {}
     for i, (source, _, _) in enumerate(shards):
-        room[source] = room.get(source, 0) + int(s.cap * blocks[i])
         mine.setdefault(source, []).append(i)
-    seats = apportion([g for *_, g in goal], [room[x] for x, *_ in goal],
-                      round(sum(g for *_, g in goal) / s.block))
+    unit = min([block_of(n, s) for _, n, _ in goal if n], default=s.block)
+    seats = apportion([g for *_, g in goal], [math.ceil(s.cap * n / unit) for _, n, _ in goal],
+                      round(sum(g for *_, g in goal) / unit))
     out = []
     for (source, size, target), q in zip(goal, seats):
+        # Seats by the tokens that the source's blocks really hold.
+        q = round(q * unit * sum(blocks[i] for i in mine[source]) / size) if size else 0
         each = apportion([shards[i][2] for i in mine[source]], [int(s.cap * blocks[i]) for i in mine[source]], q)
         for i, q_i in zip(mine[source], each):
             n = blocks[i]
@@ -158,10 +176,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     key = [c(f"`{source}`").cast("string").alias("_source"), h.alias("_h"),
            F.coalesce(c(f"`{size}`"), F.lit(0)).cast("long").alias("_size")]
     narrow = settle(docs.select(*key))
-    counts = narrow.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = narrow.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("t")).collect()
     everything = max(1, sum(r.n for r in counts))
-    cuts = [(r["_source"], max(1, min(math.ceil(s.shards * r.n / everything), math.ceil(r.n / s.shard_rows))))
-            for r in counts]
+    cuts = [(r["_source"], cut_of(r.n, r.t, everything, s)) for r in counts]
     cut = sized(spark.createDataFrame(cuts, "_c_source string, _cut long"), len(cuts))
 
     def dealt(rows: DataFrame) -> DataFrame:

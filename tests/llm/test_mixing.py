@@ -82,6 +82,19 @@ def test_written_copies_hold_the_taken_words(spark, make_docs):
         assert sum(words.get(w, 0) for w in all_) == taken[i] and all(words.get(w, 0) <= 2 for w in all_)
 
 
+@pytest.mark.parametrize("words", [1, 2, 4, 30])
+@pytest.mark.parametrize("rows", [40, 1000, 40_000])
+def test_short_documents_reach_the_target(spark, words, rows):
+    """Whatever the size of the table; one source is far smaller than the other, one tiny."""
+    docs = spark.range(rows).selectExpr("id AS doc_id", f"CASE WHEN id % 10 = 0 THEN 'a' ELSE 'b' END AS source",
+                                        f"CASE WHEN id % 10 = 0 THEN {words} ELSE 40 END AS size")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "c", 30)], "doc_id LONG, source STRING, size INT"))
+    by = mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(by) == 3
+    for r in by:
+        assert abs(r.taken - r.target) <= 2 + 0.03 * r.target, r
+
+
 def test_odd_rows(odd, none):
     sized = odd.withColumn("size", word_count(F.col("text"))).withColumn("target", F.lit("old")).withColumn("_n", F.lit(1))
     got = mix(sized)

@@ -1,8 +1,8 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 Every text is measured (words, symbols, repeated lines, repeated three-word windows). The
-measures that pass the fixed base rule feed quantile sketches: counts per whole per-mille
-bucket. Such sketches merge by addition, in any order, so they are built by one grouped
+measures that pass the fixed base rule feed quantile sketches: counts per whole value, and
+from 4096 on (long words only) per bucket of 1/2048 of a power of two at most. Such sketches merge by addition, in any order, so they are built by one grouped
 aggregation with map-side combining and merged upwards from (language, source) to language
 to everything. A group's upper fence is ``q75 + spread * (q75 - q25) + slack``; a group with
 fewer than ``min_group`` rows takes its language's fence, and a language with fewer takes the
@@ -90,6 +90,13 @@ def _ratio(top, bottom, unit):
     return F.floor(unit * top / F.greatest(bottom, F.lit(1))).cast("long")
 
 
+def bucket(value):
+    """The bucket of a value, named by its largest value; exact below 4096, without an end."""
+    shift = (F.length(F.bin(value)) - 12).cast("int")
+    wide = F.call_function("shiftleft", F.call_function("shiftright", value, shift) + 1, shift) - 1
+    return F.when(value < 4096, value).otherwise(wide)
+
+
 def fences(rows: DataFrame, settings: RuleSettings) -> DataFrame:
     """One row per (lang, source): the upper fence of every measure.
 
@@ -98,12 +105,12 @@ def fences(rows: DataFrame, settings: RuleSettings) -> DataFrame:
     names = list(settings.slack)
     cells = (rows.where(~F.col("_base_failed"))
              .select("_lang", "_source", F.explode(F.array(*[
-                 F.struct(F.lit(n).alias("measure"), F.least(F.col(n), F.lit(1000)).alias("bucket"))
+                 F.struct(F.lit(n).alias("measure"), bucket(F.col(n)).alias("bucket"))
                  for n in names])).alias("c"))
              .groupBy("_lang", "_source", "c.measure", "c.bucket").agg(F.count(F.lit(1)).alias("n")))
 
     def cut(sketch: DataFrame, keys: list[str], out: str) -> DataFrame:
-        # A window holds one sketch, 1001 buckets at most.
+        # A window holds one sketch: 1001 buckets for shares, 2048 per power of two beyond 4096.
         w = Window.partitionBy(*keys, "measure")
         got = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
         at = lambda q: F.min(F.when(F.col("upto") * 100 >= q * F.col("total"), F.col("bucket")))

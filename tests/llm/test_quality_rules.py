@@ -65,6 +65,24 @@ def test_thresholds_follow_the_group(make_docs):
     assert all(r.kept for i, r in got.items() if i != 999)
 
 
+def test_long_words_have_fences_of_their_own(make_docs):
+    """Scripts without blanks: a line is one word of some hundred or thousand characters."""
+    rows = []
+    for lang, size in (("ja", 150), ("th", 3000), ("zh", 400_000 // 60)):
+        rows += [(len(rows) + i, " ".join(chr(0x4e00 + i * 61 + k) * (size + i) for k in range(60)), lang, "s") for i in range(40)]
+    rows.append((999, " ".join("x" * 400 + str(k) for k in range(60)), "ja", "s"))
+    got = {r.doc_id: r for r in apply_rules(make_docs(rows), settings=RuleSettings(min_group=20)).collect()}
+    assert got[999].failed == ["word_length"]
+    assert all(r.kept for i, r in got.items() if i != 999)
+
+
+def test_buckets_are_exact_or_narrow(spark):
+    values = [0, 1, 1000, 4095, 4096, 4097, 8191, 8192, 123_456, 10**9, 10**15]
+    rows = spark.createDataFrame([(v,) for v in values], "v LONG").select("v", quality_rules.bucket(F.col("v")).alias("b")).collect()
+    for v, b in rows:
+        assert b == v if v < 4096 else v <= b <= v * (1 + 1 / 2048)
+
+
 def test_odd_rows(odd, none):
     clash = odd.withColumn("kept", F.lit("old")).withColumn("symbols", F.lit(3)).withColumn("_lang", F.lit(4))
     got = apply_rules(clash)

@@ -48,3 +48,11 @@ def settled(df: DataFrame) -> DataFrame:
     """
     row = F.explode(F.array(F.struct(*[F.col(c) for c in df.columns])))
     return df.select(row.alias("_row")).select("_row.*")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read again, so that what is not
+    deterministic in it (places, partitions) is fixed and a lost executor loses nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import (langid, mixing, multiset_hash, packing, preference, quality_rules, simhash,
-                          site_quality, url_rules, warc)
+from linkloom.llm import (langid, merkle, mixing, multiset_hash, packing, preference, quality_rules, simhash,
+                          site_quality, url_rules, vector_graph, warc, whitening)
 
 QUERIES: dict = {}
 TWINS: dict[str, str] = {}
@@ -237,3 +237,77 @@ FROM d LEFT JOIN f USING (h)
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.embeddings(table(spark, sf_dir, "embeddings"))
+
+
+#: Levels that the twin of the manifest can reach: 3^12 documents a source, 3^5 sources.
+_LEVELS, _TOP_LEVELS = 12, 5
+
+
+def _climb(name: str, leaves: str, levels: int) -> str:
+    """CTEs with the nodes of every level of trees: name0 is ``leaves`` (tree, n, rank, digest)."""
+    steps = [f"{name}0 AS ({leaves})"]
+    for i in range(levels):
+        steps.append(f"""{name}{i + 1} AS (
+  SELECT tree, (n + 2) // 3 AS n, rank // 3 AS rank, sha256(string_agg(digest, '' ORDER BY rank)) AS digest
+  FROM {name}{i} WHERE n > 1 GROUP BY tree, n, rank // 3
+  UNION ALL SELECT tree, n, rank, digest FROM {name}{i} WHERE n = 1)""")
+    return ",\n".join(steps)
+
+
+def _walk(name: str, nodes: str, start: str, levels: int) -> str:
+    """CTEs that fold (key, tree, rank, proof, folded) through all levels."""
+    steps = [f"{name}0 AS ({start})"]
+    for i in range(levels):
+        steps.append(f"""{name}{i + 1} AS (
+  SELECT w.key, w.tree, CASE WHEN any_value(s.n) > 1 THEN w.rank // 3 ELSE w.rank END AS rank,
+         any_value(w.proof) || coalesce(string_agg(s.digest, '' ORDER BY s.rank) FILTER (s.n > 1 AND s.rank <> w.rank), '') AS proof,
+         CASE WHEN any_value(s.n) > 1 THEN sha256(string_agg(CASE WHEN s.rank = w.rank THEN w.folded ELSE s.digest END, '' ORDER BY s.rank))
+              ELSE any_value(w.folded) END AS folded
+  FROM {name}{i} w JOIN {nodes}{i} s ON s.tree = w.tree AND s.rank // 3 = w.rank // 3
+  GROUP BY w.key, w.tree, w.rank)""")
+    return ",\n".join(steps)
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query("op12_merkle_manifest", f"""
+WITH d AS (
+  SELECT doc_id, source, {_HEAD} AS head, text,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+             lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS inverted FROM documents),
+leaf AS (
+  SELECT doc_id, source, sha256(head || {_field("text")}) AS digest,
+         CASE WHEN xor(inverted, 4294967295) % 2 = 0 THEN sha256(head || {_field("replace(text, chr(10), '')")}) END AS other FROM d),
+place AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER () AS key FROM leaf),
+{_climb("own", "SELECT tree, n, rank, digest FROM place", _LEVELS)},
+{_climb("top", f"SELECT 0 AS tree, count(*) OVER () AS n, tree AS rank, digest FROM own{_LEVELS}", _TOP_LEVELS)},
+{_walk("low", "own", "SELECT key, tree, rank, '' AS proof, coalesce(other, digest) AS folded FROM place", _LEVELS)},
+{_walk("high", "top", f"SELECT key, 0 AS tree, tree AS rank, proof, folded FROM low{_LEVELS}", _TOP_LEVELS)}
+SELECT p.doc_id, p.digest AS leaf, s.digest AS subroot, r.digest AS root, sha256(h.proof) AS proof_sha256,
+       h.folded AS folded_root, h.folded = r.digest AS verified
+FROM place p JOIN own{_LEVELS} s USING (tree) JOIN high{_TOP_LEVELS} h USING (key) CROSS JOIN top{_TOP_LEVELS} r
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    out = merkle.verify(table(spark, sf_dir, "documents"), even, F.replace("text", F.lit("\n"), F.lit("")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
+@query("op13_nearest_neighbours")
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

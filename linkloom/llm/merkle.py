@@ -40,7 +40,6 @@ from linkloom.operators.ordinals import with_place
 FANOUT = 3
 #: Levels of a segment: a task holds the 3^6 = 729 leaves below one node at once.
 HEIGHT = 6
-SPAN = FANOUT ** HEIGHT
 
 _PATH = "positions array<int>, siblings array<string>"
 
@@ -107,20 +106,22 @@ def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple
 _RECORD = "tree bigint, n bigint, block bigint, top string, digest string, children array<string>"
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of segments, from (tree, n, block, rank, digest) sorted by tree and rank."""
-    for (tree, n, block), rows in _runs(batches, "tree", "n", "block"):
-        nodes, records = rows.column("digest").to_pylist(), []
-        for _ in range(min(HEIGHT, levels_of(n))):
-            runs = [nodes[i:i + FANOUT] for i in range(0, len(nodes), FANOUT)]
-            nodes = [node_digest(x) for x in runs]
-            records += zip(nodes, runs)
-        found = dict(records)
-        size = len(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([tree] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array([block] * size, pa.int64()),
-             pa.array([nodes[0]] * size), pa.array(list(found)), pa.array(list(found.values()), pa.list_(pa.string()))],
-            names=["tree", "n", "block", "top", "digest", "children"])
+def _builder(height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records of segments, from (tree, n, block, rank, digest) sorted by tree and rank."""
+        for (tree, n, block), rows in _runs(batches, "tree", "n", "block"):
+            nodes, records = rows.column("digest").to_pylist(), []
+            for _ in range(min(height, levels_of(n))):
+                runs = [nodes[i:i + FANOUT] for i in range(0, len(nodes), FANOUT)]
+                nodes = [node_digest(x) for x in runs]
+                records += zip(nodes, runs)
+            found = dict(records)
+            size = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tree] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array([block] * size, pa.int64()),
+                 pa.array([nodes[0]] * size), pa.array(list(found)), pa.array(list(found.values()), pa.list_(pa.string()))],
+                names=["tree", "n", "block", "top", "digest", "children"])
+    return run
 
 
 @dataclass
@@ -129,11 +130,12 @@ class Trees:
     (tree, root)."""
     segments: list[DataFrame]
     roots: DataFrame
+    height: int
 
 
-def build(leaves: DataFrame, name: str) -> Trees:
+def build(leaves: DataFrame, name: str, height: int = HEIGHT) -> Trees:
     """Trees over (tree, n, rank, digest): n leaves of a tree have the ranks 0 to n - 1."""
-    c, segments = F.col, []
+    c, span, segments = F.col, FANOUT ** height, []
     nodes = leaves.select("tree", "n", "rank", "digest")
     roots = nodes.where("n = 1").select("tree", c("digest").alias("root"))
     most = nodes.agg(F.max("n")).first()[0] or 0
@@ -141,62 +143,64 @@ def build(leaves: DataFrame, name: str) -> Trees:
     while most > 1:
         # ``left`` counts the nodes that remain of a tree in this round.
         cells = (nodes.where("left > 1")
-                 .select("tree", c("left").alias("n"), F.expr(f"rank div {SPAN}").alias("block"), "rank", "digest"))
+                 .select("tree", c("left").alias("n"), F.expr(f"rank div {span}").alias("block"), "rank", "digest"))
         rows = (cells.repartition("tree", "block").sortWithinPartitions("tree", "block", "rank")
-                .mapInArrow(_build, _RECORD))
+                .mapInArrow(_builder(height), _RECORD))
         segments.append(stored(rows, f"{name}-{len(segments)}"))
         nodes = (segments[-1].where("digest = top")
-                 .select("tree", F.expr(f"(n + {SPAN - 1}) div {SPAN}").alias("left"), c("block").alias("rank"), "digest"))
+                 .select("tree", F.expr(f"(n + {span - 1}) div {span}").alias("left"), c("block").alias("rank"), "digest"))
         roots = roots.unionByName(nodes.where("left = 1").select("tree", c("digest").alias("root")))
-        most = -(-most // SPAN)
-    return Trees(segments, roots)
+        most = -(-most // span)
+    return Trees(segments, roots, height)
 
 
 # ---------------------------------------------------------------- down
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follow requests through their segment: a run starts with the segment's records, the
-    first of which carries the path above; the requests follow."""
-    for _, rows in _runs(batches, "tree", "block"):
-        kinds = rows.column("kind").to_numpy()
-        first = int((kinds == 0).sum())
-        head, asked = rows.slice(0, first), rows.slice(first)
-        if not len(asked):
-            continue
-        store = dict(zip(head.column("digest").to_pylist(), head.column("children").to_pylist()))
-        top = head.column("top")[0].as_py()
-        above_positions = head.column("positions")[0].as_py()
-        above_siblings = head.column("siblings")[0].as_py()
-        levels = min(HEIGHT, levels_of(head.column("n")[0].as_py()))
-        digests, positions, siblings = [], [], []
-        for rank in asked.column("rank").to_pylist():
-            digest, own_positions, own_siblings = top, list(above_positions), list(above_siblings)
-            for level in range(levels - 1, -1, -1):
-                digit, children = rank // FANOUT ** level % FANOUT, store[digest]
-                own_positions.append(digit)
-                own_siblings.append("".join(children[:digit] + children[digit + 1:]))
-                digest = children[digit]
-            digests.append(digest)
-            positions.append(own_positions)
-            siblings.append(own_siblings)
-        for at in range(0, len(asked), 256):
-            part = asked.slice(at, 256).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("tree").combine_chunks(), part.column("rank").combine_chunks(), part.column("request").combine_chunks(),
-                 pa.array(digests[at:at + 256]), pa.array(positions[at:at + 256], pa.list_(pa.int32())),
-                 pa.array(siblings[at:at + 256], pa.list_(pa.string()))],
-                names=["tree", "rank", "request", "digest", "positions", "siblings"])
+def _descender(height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Follow requests through their segment: a run starts with the segment's records, the
+        first of which carries the path above; the requests follow."""
+        for _, rows in _runs(batches, "tree", "block"):
+            kinds = rows.column("kind").to_numpy()
+            first = int((kinds == 0).sum())
+            head, asked = rows.slice(0, first), rows.slice(first)
+            if not len(asked):
+                continue
+            store = dict(zip(head.column("digest").to_pylist(), head.column("children").to_pylist()))
+            top = head.column("top")[0].as_py()
+            above_positions = head.column("positions")[0].as_py()
+            above_siblings = head.column("siblings")[0].as_py()
+            levels = min(height, levels_of(head.column("n")[0].as_py()))
+            digests, positions, siblings = [], [], []
+            for rank in asked.column("rank").to_pylist():
+                digest, own_positions, own_siblings = top, list(above_positions), list(above_siblings)
+                for level in range(levels - 1, -1, -1):
+                    digit, children = rank // FANOUT ** level % FANOUT, store[digest]
+                    own_positions.append(digit)
+                    own_siblings.append("".join(children[:digit] + children[digit + 1:]))
+                    digest = children[digit]
+                digests.append(digest)
+                positions.append(own_positions)
+                siblings.append(own_siblings)
+            for at in range(0, len(asked), 256):
+                part = asked.slice(at, 256).combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("tree").combine_chunks(), part.column("rank").combine_chunks(), part.column("request").combine_chunks(),
+                     pa.array(digests[at:at + 256]), pa.array(positions[at:at + 256], pa.list_(pa.int32())),
+                     pa.array(siblings[at:at + 256], pa.list_(pa.string()))],
+                    names=["tree", "rank", "request", "digest", "positions", "siblings"])
+    return run
 
 
 def descend(trees: Trees, starts: DataFrame, requests: DataFrame) -> DataFrame:
     """(tree, rank, request, digest, positions, siblings) for each of ``requests``
     (tree, n, rank, request), whose ranks lie in trees of ``starts`` (tree, root, positions,
     siblings): the path so far, the root first."""
-    c = F.col
+    c, span = F.col, FANOUT ** trees.height
     kind = requests.schema["request"].dataType
     nothing = F.lit(None).cast(kind).alias("request")
     whole = requests.select("tree", "n").distinct()
-    # A tree of n leaves has as many segments above a leaf as SPAN must be multiplied to reach n.
+    # A tree of n leaves has as many segments above a leaf as the span of a segment must be multiplied to reach n.
     tops = starts.join(whole, "tree").select("tree", "n", F.lit(0).cast("bigint").alias("block"),
                                              c("root").alias("top"), "positions", "siblings")
     done = tops.where("n = 1")
@@ -204,7 +208,7 @@ def descend(trees: Trees, starts: DataFrame, requests: DataFrame) -> DataFrame:
            .select("tree", "rank", "request", c("top").alias("digest"), "positions", "siblings"))
     frontier: DataFrame | None = None
     for i in range(len(trees.segments) - 1, -1, -1):
-        low, high = SPAN ** i, SPAN ** (i + 1)
+        low, high = span ** i, span ** (i + 1)
         fresh = tops.where(f"n > {low} AND n <= {high}").drop("n")
         front = fresh if frontier is None else fresh.unionByName(frontier)
         records = trees.segments[i].select("n", "top", "digest", "children").dropDuplicates(["top", "digest"])
@@ -217,13 +221,13 @@ def descend(trees: Trees, starts: DataFrame, requests: DataFrame) -> DataFrame:
         asked = requests.where(f"n > {low}")
         if i:
             asked = asked.select("tree", F.expr(f"rank div {low}").alias("rank")).distinct().select("tree", "rank", nothing)
-        asked = asked.select("tree", F.expr(f"rank div {SPAN}").alias("block"), F.lit(1).alias("kind"), "rank", "request",
+        asked = asked.select("tree", F.expr(f"rank div {span}").alias("block"), F.lit(1).alias("kind"), "rank", "request",
                              F.lit(None).cast("bigint").alias("n"),
                              *[F.lit(None).cast(t).alias(x) for x, t in
                                (("top", "string"), ("digest", "string"), ("children", "array<string>"),
                                 ("positions", "array<int>"), ("siblings", "array<string>"), ("inner", "boolean"))])
         rows = head.unionByName(asked).repartition("tree", "block").sortWithinPartitions("tree", "block", "kind", "inner", "rank")
-        found = rows.mapInArrow(_descend, f"tree bigint, rank bigint, request {kind.simpleString()}, digest string, {_PATH}")
+        found = rows.mapInArrow(_descender(trees.height), f"tree bigint, rank bigint, request {kind.simpleString()}, digest string, {_PATH}")
         if i:
             found = stored(found, f"frontier-{i}")
             frontier = found.select("tree", c("rank").alias("block"), c("digest").alias("top"), "positions", "siblings")
@@ -245,7 +249,7 @@ class Manifest:
     root: str | None
 
 
-def manifest(rows: DataFrame, group: str, order: str, digest: str) -> Manifest:
+def manifest(rows: DataFrame, group: str, order: str, digest: str, height: int = HEIGHT) -> Manifest:
     """A tree of ``digest`` per value of ``group``, with leaves by ``order`` and then by digest;
     the trees by group (nulls first, strings bytewise)."""
     c = F.col
@@ -258,13 +262,13 @@ def manifest(rows: DataFrame, group: str, order: str, digest: str) -> Manifest:
     right = groups.select("tree", "n", c(group).alias("_group"))
     leaves = placed.join(sized(right), c(group).eqNullSafe(c("_group"))).drop("_group")
     leaves = leaves.withColumnRenamed(digest, "digest") if digest != "digest" else leaves
-    inner = build(leaves, "records")
+    inner = build(leaves, "records", height)
     roots = stored(inner.roots, "roots")
     groups = groups.join(roots, "tree")
     total = groups.count()
     ranks = groups.select(F.lit(0).cast("bigint").alias("tree"), F.lit(total).cast("bigint").alias("n"),
                           c("tree").alias("rank"), c("root").alias("digest"))
-    outer = build(ranks, "records-of-roots")
+    outer = build(ranks, "records-of-roots", height)
     root = outer.roots.first()
     return Manifest(leaves, groups, inner, outer, None if root is None else root["root"])
 
@@ -293,7 +297,7 @@ def prove(made: Manifest, requests: DataFrame) -> DataFrame:
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
-def verify(docs: DataFrame, tampered: Column, changed: Column) -> DataFrame:
+def verify(docs: DataFrame, tampered: Column, changed: Column, height: int = HEIGHT) -> DataFrame:
     """A manifest of ``docs``, and each document held against it: where ``tampered`` is true the
     text is replaced by ``changed`` before its proof is folded.
 
@@ -305,7 +309,7 @@ def verify(docs: DataFrame, tampered: Column, changed: Column) -> DataFrame:
     other = leaf_digest([*fields, changed])
     is_tampered = F.coalesce(tampered, F.lit(False))
     rows = docs.select("doc_id", "source", own.alias("digest"), F.when(is_tampered, other).alias("other"))
-    made = manifest(rows, "source", "doc_id", "digest")
+    made = manifest(rows, "source", "doc_id", "digest", height)
     requests = made.leaves.select("tree", "n", "rank", F.struct("doc_id", "digest", "other").alias("request"))
     r = c("request")
     found = prove(made, requests).withColumn("root", F.lit(made.root))

@@ -2,14 +2,15 @@
 
 1. Equal vectors are one point, which keeps the smallest ``k + 1`` ids of its rows; copies are
    cut to that many in each map task, so a vector of a third of all rows is no hot key.
-2. A point's shard follows from its hash. Points of a shard are given one more coordinate that
-   makes all norms equal, which turns the order of inner products into that of distances. They
-   enter the graph in batches that double up to ``BATCH``: a greedy search from the centre
+2. A point's shard follows from its hash. The graph of a shard is built over the directions of
+   its points, of which distances and inner products have one order (over points as they are, a
+   few long ones would take all edges: recall 0.77 instead of 0.98 where norms lie between 0.5
+   and 1.5). They enter it in batches that double up to ``BATCH``: a greedy search from the centre
    proposes a point's neighbours, of which relaxed distance pruning keeps the diverse ones (a
    candidate goes if it is ``ALPHA`` times nearer to a kept one than to the point); edges also
    lead back, and a point with too many is pruned the same way. The graph is a table, one row
    per point, so a lost executor repeats a shard at most.
-3. Every query searches every shard with a beam; the shard's graph is read by a task once, the
+3. Every query searches every shard with a beam, by the inner products themselves; the shard's graph is read by a task once, the
    queries stream past it. Shards' results meet per query, ``k + 1`` points of each.
 
 All rows are indexed, in shards of ``SHARD_ROWS`` points whatever the table's size; a task holds
@@ -106,10 +107,9 @@ def beam_search(base: np.ndarray, edges: np.ndarray, start: int, queries: np.nda
         open_[touched] = np.take_along_axis(still, best, 1)
 
 
-def robust_prune(base: np.ndarray, norm: float, points: np.ndarray, candidates: np.ndarray,
-                 degree: int, alpha: float) -> np.ndarray:
+def robust_prune(base: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Up to ``degree`` diverse neighbours of each point out of its candidates (-1: none), which
-    are distinct; the nearest is always kept. All vectors have the square norm ``norm``."""
+    are distinct; the nearest is always kept. All vectors have length one."""
     many, wide = candidates.shape
     own = base[points]
     vectors = base[np.maximum(candidates, 0)]
@@ -118,8 +118,8 @@ def robust_prune(base: np.ndarray, norm: float, points: np.ndarray, candidates:
     order = np.argsort(np.where(valid, -value, np.inf), axis=1, kind="stable")
     candidates, value, valid = (np.take_along_axis(x, order, 1) for x in (candidates, value, valid))
     vectors = np.take_along_axis(vectors, order[:, :, None], 1)
-    between = 2 * (norm - vectors @ vectors.transpose(0, 2, 1))
-    apart = 2 * (norm - value)
+    between = 2 * (1 - vectors @ vectors.transpose(0, 2, 1))
+    apart = 2 * (1 - value)
     kept = np.full((many, degree), -1, dtype=np.int32)
     each = np.arange(many)
     for i in range(degree):
@@ -136,25 +136,25 @@ def robust_prune(base: np.ndarray, norm: float, points: np.ndarray, candidates:
 def build_graph(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
                 beam: int = BUILD_BEAM) -> tuple[np.ndarray, int]:
     """(edges, start) over distinct vectors, whose order settles all ties."""
-    base, norm = levelled(vectors)
+    base = directions(vectors)
     n = len(base)
-    start = int(np.argmax(base[:, :-1] @ base[:, :-1].mean(axis=0)))
+    start = int(np.argmax(base @ base.mean(axis=0)))
     edges = np.full((n, degree), -1, dtype=np.int32)
     order = np.concatenate([[start], np.delete(np.arange(n), start)])
     done = 1
     while done < n:
         new = order[done:done + min(done, BATCH)]
         found, _ = beam_search(base, edges, start, base[new], beam)
-        edges[new] = robust_prune(base, norm, new, found, degree, alpha)
+        edges[new] = robust_prune(base, new, found, degree, alpha)
         source = np.repeat(new, degree)
         target = edges[new].ravel()
         source, target = source[target >= 0], target[target >= 0]
-        _link_back(base, norm, edges, source, target, degree, alpha)
+        _link_back(base, edges, source, target, degree, alpha)
         done += len(new)
     return edges, start
 
 
-def _link_back(base, norm, edges, source, target, degree, alpha) -> None:
+def _link_back(base, edges, source, target, degree, alpha) -> None:
     """Add an edge from each target to its source; a point with too many is pruned."""
     by = np.argsort(target, kind="stable")
     source, target = source[by], target[by]
@@ -177,7 +177,7 @@ def _link_back(base, norm, edges, source, target, degree, alpha) -> None:
         both = np.concatenate([old, mine.astype(np.int32)], axis=1)
         full = (both >= 0).sum(axis=1) > degree
         if full.any():
-            edges[p[full]] = robust_prune(base, norm, p[full], both[full], degree, alpha)
+            edges[p[full]] = robust_prune(base, p[full], both[full], degree, alpha)
         if not full.all():
             few = both[~full]
             few = np.take_along_axis(few, np.argsort(few < 0, axis=1, kind="stable"), 1)
@@ -185,14 +185,15 @@ def _link_back(base, norm, edges, source, target, degree, alpha) -> None:
         at = upto
 
 
-def levelled(vectors: np.ndarray) -> tuple[np.ndarray, float]:
-    """Vectors scaled by their largest component, with one more that makes all norms equal; and
-    the square of that norm."""
-    largest = np.abs(vectors).max() if vectors.size else 1.0
-    scaled = vectors / largest
-    squares = np.einsum("ij,ij->i", scaled, scaled)
-    norm = float(squares.max()) if len(squares) else 0.0
-    return np.hstack([scaled, np.sqrt(np.maximum(norm - squares, 0))[:, None]]).astype(np.float32), norm
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over their largest component, in single precision; the order of products stays."""
+    return (vectors / np.abs(vectors).max(initial=1e-300)).astype(np.float32)
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; none is zero."""
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (unit / np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]).astype(np.float32)
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -286,7 +287,7 @@ def search_index(index: DataFrame, cells: int, queries: DataFrame, k: int, beam:
                     if ready is None:
                         whole = pd.concat(graph, ignore_index=True)
                         vectors = np.array(whole["vector"].tolist(), dtype=np.float64)
-                        ready = (vectors, *levelled(vectors), np.array(whole["edges"].tolist(), dtype=np.int32).reshape(len(whole), -1),
+                        ready = (vectors, scaled(vectors), np.array(whole["edges"].tolist(), dtype=np.int32).reshape(len(whole), -1),
                                  int(whole["start"].iloc[0]), whole["ids"].tolist())
                     for at in range(0, len(asked_), TOGETHER):
                         yield _answers(ready, asked_.iloc[at:at + TOGETHER], k, beam)
@@ -295,12 +296,10 @@ def search_index(index: DataFrame, cells: int, queries: DataFrame, k: int, beam:
 
 
 def _answers(ready: tuple, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    vectors, base, _, edges, start, ids = ready
+    vectors, base, edges, start, ids = ready
     wanted = np.array(asked["vector"].tolist(), dtype=np.float64)
-    # A query's length does not change its order of points; its added coordinate is zero.
-    scaled = wanted / np.abs(wanted).max(axis=1, keepdims=True)
-    scaled = np.hstack([scaled, np.zeros((len(scaled), 1))]).astype(np.float32)
-    found, _ = beam_search(base, edges, start, scaled, max(beam, k))
+    # A query's length does not change its order of points.
+    found, _ = beam_search(base, edges, start, directions(wanted), max(beam, k))
     score = np.where(found >= 0, exact(wanted[:, None, :], vectors[np.maximum(found, 0)]), -np.inf)
     smallest = np.array([x[0] for x in ids], dtype=np.int64)[np.maximum(found, 0)]
     order = np.lexsort((smallest, -score), axis=1)[:, :k]

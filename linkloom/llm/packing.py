@@ -16,7 +16,11 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import unicodedata
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,80 +32,143 @@ from linkloom.llm.common import partitions, salts, small_batches, stored
 
 CAPACITY = 4096
 END_ID = 1
+#: Characters of text that are cut into parts at once.
+SLICE = 262_144
 
 
 # ---------------------------------------------------------------- tokens
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters stand for themselves, the others follow from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: 256 + i for i, x in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
-    """Little-endian token ids of texts, by their stretches without blanks.
+    """Little-endian token ids of texts, by parts that the tokenizer treats alone.
+
+    The vocabulary drops white space, folds case, and splits letters and digits from other
+    characters; no merge crosses such a border. So a text is cut at blanks, and before a full
+    stop or comma that ends a stretch and follows a letter or digit. (A stop behind other
+    characters would belong to them. A capital dotted I gains a combining mark by folding.) Texts
+    that do not allow this throughout are cut finer, by ``PARTS``. Parts recur far more often
+    than words with their punctuation do; each is encoded once.
 
-    The vocabulary drops white space, and no merge crosses it, so a text's ids are those of
-    its stretches in order. Nor does one cross from a letter to the punctuation behind it, and
-    case is folded; so a stretch is cut there, and its parts are looked up in lower case. Parts
-    are kept once encoded, new ones encoded together. The memory is bounded: long stretches are
-    not kept, and the store is emptied when full.
+    The memory is bounded: ``most`` parts are kept, none longer than ``longest``; when the store
+    is full, parts not met since it was last full go. Long texts are cut at blanks.
     """
 
-    # All of ASCII but letters, digits, white space and the apostrophe, which may start a suffix.
-    BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    # Letters before ASCII or the end; a digit before ASCII; punctuation without apostrophes
+    # before a letter, a digit or a blank; the rest of a stretch.
+    PARTS = re.compile(r"[^\W\d_\u0130]++(?=[\x00-\x7f]|\Z)|[0-9](?![^\x00-\x7f])"
+                       r"|[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9 \n]|\Z)|[^ \n]+")
 
-    def __init__(self, path: str, most: int = 450_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-
-    def _encode(self, new: list[str]) -> None:
-        """Ids of new parts. Those of letters alone are one word each to the tokenizer; so many
-        are encoded as one text, and cut behind each token that ends a word."""
-        plain = [x for x in new if x.isalpha() and len(x) <= self.longest]
-        rest = [x for x in new if not (x.isalpha() and len(x) <= self.longest)]
-        for at in range(0, len(plain), 2000):
-            words = plain[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(stops) != len(words):  # a letter that is lower-cased to more than letters
-                rest += words
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        self.met: set[bytes] = set()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, new: list[bytes]) -> None:
+        """Ids of new parts. Latin letters alone are one word: folded, it is written in the
+        vocabulary's letters for bytes and cut by its model at once."""
+        rest, texts, cut = [], [], self.model.tokenize
+        for x in new:
+            if x.isalpha() and len(x) <= self.longest:  # ASCII, in small letters already
+                self.known[x] = array("I", [t.id for t in cut(x.decode())]).tobytes()
                 continue
-            data, stops = ids.tobytes(), [0, *stops.tolist()]
-            for w, a, b in zip(words, stops, stops[1:]):
-                self.parts[w] = data[a:b]
-        for x, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[x] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*parts)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.parts.clear()
-            new = list(distinct)
-        cut: dict[str, tuple[str, ...]] = {}
-        for w in new:
-            stem = w.rstrip(self.BEHIND)
-            if "<|" in w:  # may be a special token, which is taken as it stands
-                cut[w] = (w,)
-            elif stem and stem[-1].isalpha():
-                cut[w] = (stem.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), w[len(stem):])
+            text = x.decode("utf-8", "surrogatepass")
+            if text.isalpha() and len(text) <= self.longest and max(text) < "\u0250" and "\u0130" not in text:
+                folded = unicodedata.normalize("NFC", text).lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+                self.known[x] = array("I", [t.id for t in cut(folded)]).tobytes()
             else:
-                cut[w] = (w,)
-        parts_new = [x for x in {x for c in cut.values() for x in c} if x not in self.parts]
-        self._encode(parts_new)
-        for w, c in cut.items():
-            self.known[w] = b"".join([self.parts[x] for x in c])
-        out = [b"".join(map(self.known.__getitem__, words)) for words in parts]
-        for w in new:
-            if len(w) > self.longest:
-                del self.known[w]
-        for x in parts_new:
+                rest.append(x)
+                texts.append(text)
+        self.known.update(zip(rest, self._each(texts)))
+
+    def _parts(self, text: str) -> list[bytes]:
+        plain = text.replace("\n", " ") + " "
+        for stop in (". ", ", "):
+            pieces = plain.split(stop)
+            ends = "".join([x[-1:] for x in pieces[:-1] if x[-1:] != " "])
+            if ends and (not ends.isalnum() or "\u0130" in ends):
+                return [x.encode("utf-8", "surrogatepass").lower() for x in self.PARTS.findall(text)]
+            plain = f" {stop}".join(pieces)
+        return plain.encode("utf-8", "surrogatepass").lower().split(b" ")
+
+    def _slices(self, text: str) -> list[str]:
+        out, at = [], 0
+        while len(text) - at > SLICE:
+            upto = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE))
+            if upto <= at:  # one stretch; it ends at the next blank
+                found = [x for x in (text.find(" ", at + SLICE), text.find("\n", at + SLICE)) if x > 0]
+                upto = min(found, default=len(text))
+            out.append(text[at:upto])
+            at = upto
+        out.append(text[at:])
+        return out
+
+    def _of_slices(self, slices: list[str]) -> list[bytes]:
+        cut = [self._parts(x) for x in slices]
+        distinct = set().union(*cut)
+        new = [x for x in distinct if x not in self.known]
+        if len(self.known) + len(new) > self.most:
+            kept = self.met | distinct
+            self.known = {x: i for x, i in self.known.items() if x in kept} if len(kept) <= self.most // 2 else {}
+            self.met = set()
+            new = [x for x in distinct if x not in self.known]
+        self.met |= distinct
+        self._encode(new)
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for x in new:
             if len(x) > self.longest:
-                del self.parts[x]
+                del self.known[x]
+                self.met.discard(x)
         return out
 
+    def of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; texts are taken together while they are short."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if "<|" in text:  # maybe a special token, which is taken as it stands
+                yield from self._flush(held)
+                held, size = [], 0
+                yield self._each([text])[0]
+                continue
+            held.append(self._slices(text))
+            size += len(text)
+            if size > SLICE:
+                yield from self._flush(held)
+                held, size = [], 0
+        yield from self._flush(held)
+
+    def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
+        if len(held) == 1 and len(held[0]) > 1:
+            yield b"".join(self._of_slices([x])[0] for x in held[0])
+            return
+        flat = self._of_slices([x for slices in held for x in slices]) if held else []
+        at = 0
+        for slices in held:
+            yield b"".join(flat[at:at + len(slices)])
+            at += len(slices)
+
+
+@lru_cache(maxsize=1)
+def _of_worker(path: str) -> WordIds:
+    """One store for all tasks of a Python worker, some 80 MB when full."""
+    return WordIds(path)
+
 
 PIECE = StructType([StructField("piece", IntegerType()), StructField("start", LongType()),
                     StructField("length", LongType()), StructField("ids", BinaryType())])
@@ -115,14 +182,17 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)  # one per task: a kept one would hold its memory for good
+        words = _of_worker(tokenizer)
         for batch in batches:
             rows = []
-            for key, ids in zip(batch["doc_id"], words.of(batch["text"].tolist())):
+            for key, ids in zip(batch["doc_id"], words.of(batch["text"])):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, part))
+                if len(rows) >= 500:
+                    yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -204,40 +274,46 @@ def places(found: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarr
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` (any columns, with a whole ``length`` from 1 to ``capacity``) with the
-    sequence each one is in and its offset there. The numbering of equal lengths follows ``order``."""
+    sequence each one is in and its offset there; these two replace columns of their names.
+    The numbering of equal lengths follows ``order``, then the place in the written table."""
     spark, c = pieces.sparkSession, F.col
-    pieces = stored(pieces, "pieces")
-    lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    fields = [f for f in pieces.schema.fields if f.name.lower() not in ("sequence_id", "offset")]
+    # Own names while we work, so that none of the input's clashes with ours.
+    names = {f.name: f"in{i}" for i, f in enumerate(fields)}
+    length, keys = names["length"], [names[x] for x in order]
+    plain = pieces.select(*[c(f"`{f.name}`").alias(names[f.name]) for f in fields])
+    plain = stored(plain.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in lengths.collect():  # one row per length, ``capacity`` at most
-        counts[r.length] = r.n
+    for size, n in plain.groupBy(length).count().collect():  # one row per length, ``capacity`` at most
+        counts[size] = n
     plan = spark.sparkContext.broadcast(places(patterns(counts)))  # bounded by ``capacity`` too
 
     total = int(counts.sum())
-    cut = (spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts) if n], "_length long, n long")
-           .select("_length", salts(F.col("n"), F.lit(total), partitions(spark)).alias("_cut")))
+    cut = (spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts) if n], "size long, n long")
+           .select("size", salts(c("n"), F.lit(total), partitions(spark)).alias("cut")))
     # Both tables that are broadcast here are bounded: ``capacity`` rows, and four more per partition.
-    salted = (pieces.join(F.broadcast(cut), c("length") == c("_length"))
-              .withColumn("_salt", F.pmod(F.xxhash64(*order), c("_cut"))).drop("_length", "_cut"))
-    before = (salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-              .select(c("length").alias("_length"), c("_salt").alias("_s"),
-                      (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - c("n")).alias("_before")))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = (ranked.join(F.broadcast(before), (c("length") == c("_length")) & (c("_salt") == c("_s")))
-              .withColumn("_k", c("_before") + c("_rank") - 1).select(*pieces.columns, "_k"))
+    salted = (plain.join(F.broadcast(cut), c(length) == c("size"))
+              .withColumn("salt", F.pmod(F.xxhash64("uid"), c("cut"))).drop("cut"))
+    by_size = Window.partitionBy("size").orderBy("salt")
+    before = (salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
+              .select(c("size").alias("_size"), c("salt").alias("_salt"), (F.sum("n").over(by_size) - c("n")).alias("before")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy(*keys, "uid")))
+    ranked = (ranked.join(F.broadcast(before), (c("size") == c("_size")) & (c("salt") == c("_salt")))
+              .select(*names.values(), (c("before") + c("rank") - 1).alias("k")))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = plan.value
         for batch in batches:
-            length, k = batch["length"].to_numpy(), batch.pop("_k").to_numpy()
-            at = np.searchsorted(p["key"], (length << 44) + k, side="right") - 1
+            size, k = batch[length].to_numpy(), batch.pop("k").to_numpy()
+            at = np.searchsorted(p["key"], (size << 44) + k, side="right") - 1
             turn = k - p["first"][at]
             batch["sequence_id"] = p["bin"][at] + turn // p["n"][at]
-            batch["offset"] = p["offset"][at] + turn % p["n"][at] * length
+            batch["offset"] = p["offset"][at] + turn % p["n"][at] * size
             yield batch
 
-    return ranked.mapInPandas(place, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()),
-                                                 StructField("offset", LongType())]))
+    out = [StructField(names[f.name], f.dataType) for f in fields]
+    placed = ranked.mapInPandas(place, StructType([*out, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return placed.toDF(*[f.name for f in fields], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

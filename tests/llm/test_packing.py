@@ -57,15 +57,39 @@ def test_two_tighter_ones_replace_the_smallest():
 
 
 def test_cached_ids_are_the_tokenizers(sf):
-    tokenizer, words = Tokenizer.from_file(VOCABULARY), WordIds(VOCABULARY, most=50)
+    tokenizer, words = Tokenizer.from_file(VOCABULARY), WordIds(VOCABULARY, most=400)
     texts = pd.read_parquet(f"{sf}/documents.parquet").text.tolist()
     texts += ["", " ", "\n\n", "it's DON'T we'll", "á e ́ x", "<|endoftext|> a<|startoftext|>b", "tab\tand\x0bmore\x85 end",
-              "Straße ΣΑΣ İI ǅ", "12,345.67 $$$ -- 😀👍🏽 ‍", "日本語 テスト", "x" * 3000, "\x1c\x1f y", "ﬁ ½ Ⅷ"]
-    for got, t in zip([*words.of(texts[:90]), *(words.of([t])[0] for t in texts[90:])], texts):
+              "Straße ΣΑΣ İI ǅ", "12,345.67 $$$ -- 😀👍🏽 ‍", "日本語 テスト", "x" * 3000, "\x1c\x1f y", "ﬁ ½ Ⅷ",
+              "TÜRKİYE BİRİNCİSİ. GELDİ, GİTTİ!", "rock''n 'tis x'tell '' don't, 's", "a<\u0338b e\u0301. 1\u20e3 (é) “q” …", "word " * 120_000,
+              "y" * 600_000 + " z", "हिन्दी में, 한국어 각", "a_b __c__ 3rd 4²x"]
+    for got, t in zip([*words.of(texts[:90]), *(next(words.of([t])) for t in texts[90:])], texts):
         want = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert got == want, t[:40]
 
 
+def test_random_strings_are_cut_like_the_tokenizer():
+    """Cased, combining, numeric, punctuation and blank characters in any order."""
+    rng = random.Random(4)
+    letters = "aBzİıſKÅéÉßΣςǅДж中한각ﬁªʰ"
+    marks = "\u0301\u0307\u0338\u0327\u200d\ufe0f\u0345\u1161\u0940"
+    signs = "'.,!?-<>|=(){}[]_~\"`^$%&*+/\\:;@#“”…—¿€😀"
+    pool = letters * 3 + marks + signs + "'" * 6 + "0123456789²½Ⅷ٣" + " \n\t\x85\xa0\u2028\x1c" + "   stre'llvdm" * 2
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    tokenizer, words = Tokenizer.from_file(VOCABULARY), WordIds(VOCABULARY, most=5000)
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for got, t, w in zip(words.of(texts), texts, want) if got != np.array(w.ids, dtype="<u4").tobytes()]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_the_store_stays_bounded():
+    words = WordIds(VOCABULARY, most=300)
+    rng = random.Random(2)
+    for _ in range(20):
+        list(words.of([" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200))]))
+        assert len(words.known) <= 500
+
+
 def check(rows, capacity=4096):
     rows = rows.sort_values(["sequence_id", "offset"])
     for _, g in rows.groupby("sequence_id"):
@@ -95,6 +119,10 @@ def test_a_hot_length_and_sequences(spark):
 
 def test_odd_rows(odd, none):
     pieces = tokenize(odd.withColumn("length", F.lit("old")), VOCABULARY, capacity=64)
+    clashing = pieces.selectExpr("*", "'x' AS offset", "'y' AS Sequence_ID", "1 AS uid", "2 AS size", "3 AS salt", "4 AS k", "5 AS in0", "6 AS rank")
+    again = pack(clashing, 64)
+    assert again.columns == [*pieces.columns, "uid", "size", "salt", "k", "in0", "rank", "sequence_id", "offset"]
+    check(again.select(*pieces.columns, "sequence_id", "offset").toPandas(), 64)
     packed = pack(pieces, 64)
     got = packed.toPandas()
     check(got, 64)

@@ -5,14 +5,18 @@ more, by prefix filtering and an exact check.
 2. A set of n shingles that is similar to another shares at least ceil(p * n) shingles with
    it. So when every set is put in one common order, a similar pair has a common shingle
    among the first n - ceil(p * n) + 1 of both. These shingles are the keys; no pair is lost,
-   whatever the order. Rare shingles come first, so that common lines are seldom keys: the
-   order is by how often a sample of the texts has a shingle, then by hash. The sample only
-   decides how many candidates there are, never which pairs are found.
+   whatever the order. Rare shingles come first, so that common passages are no keys as long as
+   a text has anything of its own: the order is by how often all texts have a shingle, counted
+   in 2^20 cells that its hash falls into, then by hash. The counts only decide how many
+   candidates there are, never which pairs are found.
 3. Candidates fit in size and share enough keys: whichever of two sets has the smaller last
    key shares none of its keys beyond those counted, so both together share at most the
    counted keys and what follows the keys of one. First, each key links only neighbours by size, which are checked; what is then in one component
    needs no more links. Second, all candidates of a key that lie in different components are
-   checked. Large groups of near copies so need few pairs.
+   checked. Large groups of near copies so need few pairs. A key that still has more than
+   ``CROWD`` nodes is split, exactly: similar sets share at least l of their first
+   n - ceil(p * n) + l shingles, so its nodes are dealt again by their next shingle in the order,
+   up to ``DEPTH`` shingles together. No key makes all pairs of a crowd that shares one passage.
 
 Shingles are compared by their 64-bit hashes. A text with fewer words than a shingle is one
 shingle, and blank or null texts are one node.
@@ -32,8 +36,10 @@ from pyspark.sql.types import LongType
 from linkloom.llm.common import settle, sized, small_batches, stored
 
 SEED = 42
-#: Texts whose shingles are counted for the order, and the shingles that are ranked.
-SAMPLE, RANKED = 20_000, 100_000
+#: Cells that shingles are counted in, and the cells of a row when counts are added up.
+CELLS, ROW = 1 << 20, 4096
+#: A key of more nodes, of several components, is split by further shingles, up to so many together.
+CROWD, DEPTH = 100, 4
 #: Nodes a task remembers, so that it gives out copies once; others are merged later.
 REMEMBERED = 200_000
 
@@ -67,14 +73,14 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64).view(np.int64))
 
 
-def keys(own: np.ndarray, ranked: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order; ``ranked`` is sorted."""
-    n = len(own)
-    count = n - -(-percent * n // 100) + 1 if n else 0
-    if len(ranked) and n:
-        at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
-        own = own[np.lexsort((own, np.where(ranked[at] == own, rank[at], 0)))]
-    return own[:count]
+def ordered(own: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """A set in the common order."""
+    return own if counts is None else own[np.lexsort((own, counts[own & (CELLS - 1)]))]
+
+
+def prefix(n: int, percent: int, shared: int = 1) -> int:
+    """Of how many first shingles a set of n shares ``shared`` with any similar one."""
+    return min(n, n - -(-percent * n // 100) + shared) if n else 0
 
 
 def _once(shingle: int, emit: Callable[[int, np.ndarray], pd.DataFrame]):
@@ -98,17 +104,44 @@ def _once(shingle: int, emit: Callable[[int, np.ndarray], pd.DataFrame]):
     return run
 
 
-def _order(texts: DataFrame, shingle: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than one sampled node has, with their counts, the most common ones."""
-    part = min(1_000_000, 1_000_000 * SAMPLE // max(1, rows) + 1)
-    sample = texts.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < part)
-    found = (sample.mapInPandas(_once(shingle, lambda name, own: pd.DataFrame({"node": name, "key": own})), "node bigint, key bigint")
-             .distinct().groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(RANKED))
-    got = found.toPandas().sort_values("key")
-    return got["key"].to_numpy(dtype=np.int64), got["count"].to_numpy(dtype=np.int64)
+def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts have a shingle of each cell; one row of sums per ``ROW`` cells and task."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, size, seen = np.zeros(CELLS, dtype=np.int64), [], 0, set()
+        for batch in batches:
+            for name, text in zip(batch["node"].tolist(), batch["text"]):
+                if name in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(name)
+                held.append(shingles(text, shingle) & (CELLS - 1))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
+        rows = total.reshape(-1, ROW)
+        some = np.flatnonzero(rows.any(axis=1))
+        if len(some):
+            yield pd.DataFrame({"at": some, "n": list(rows[some])})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch["at"], batch["n"]):
+                sums[at] = sums[at] + n if at in sums else np.array(n)
+        if sums:
+            yield pd.DataFrame({"at": list(sums), "n": list(sums.values())})
+
+    parts = texts.mapInPandas(count, "at int, n array<bigint>").repartition("at").mapInPandas(add, "at int, n array<bigint>")
+    out = np.zeros((CELLS // ROW, ROW), dtype=np.int64)
+    for r in parts.collect():  # the cells, whatever the number of texts
+        out[r["at"]] = r["n"]
+    return out.reshape(-1)
 
 
-def links(docs: DataFrame, text: str, shingle: int, percent: int, rows: int) -> DataFrame:
+def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool = True) -> DataFrame:
     """(a, b): nodes with similar sets, enough of them to connect all that are connected."""
     from linkloom.llm.simhash import components
 
@@ -116,11 +149,10 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, rows: int) ->
     small_batches(docs.sparkSession)
     plain = docs.select(c(f"`{text}`").cast("string").alias("text"))
     texts = plain.select(nodes(c("text")).alias("node"), "text")
-    ranked, rank = _order(texts, shingle, rows)
+    sent = docs.sparkSession.sparkContext.broadcast(_counts(texts, shingle) if counted else None)
 
     def emit(name: int, own: np.ndarray) -> pd.DataFrame:
-        first = keys(own, ranked, rank, percent)
-        return pd.DataFrame({"key": first, "node": name, "n": len(own)})
+        return pd.DataFrame({"key": ordered(own, sent.value)[:prefix(len(own), percent)], "node": name, "n": len(own)})
 
     cells = texts.mapInPandas(_once(shingle, emit), "key bigint, node bigint, n int")
     by_key = Window.partitionBy("key")
@@ -134,11 +166,13 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, rows: int) ->
     def fits(n, m):
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    def checked(shared: DataFrame) -> DataFrame:
-        """From one row (a, na, b, nb) per shared key."""
+    def checked(shared: DataFrame, crowded: bool = False) -> DataFrame:
+        """From one row (a, na, b, nb) per shared key. Where crowded keys were split, a pair's
+        shared keys are not all there to be counted."""
         behind = F.greatest(*[F.ceil(c(n) * percent / 100) - 1 for n in ("na", "nb")])
+        enough = (c("k") + behind) * (100 + percent) >= (c("na") + c("nb")) * percent
         pairs = settle(shared.where(fits(c("na"), c("nb"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-                       .where((c("k") + behind) * (100 + percent) >= (c("na") + c("nb")) * percent).select("a", "b"))
+                       .where(F.lit(crowded) | enough).select("a", "b"))
         wanted = settle(pairs.select(c("a").alias("_w")).union(pairs.select("b")).distinct())
         full = (texts.join(sized(wanted), c("node") == c("_w"), "left_semi")
                 .mapInPandas(_once(shingle, lambda name, own: pd.DataFrame({"node": [name], "own": [own]})),
@@ -155,13 +189,60 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, rows: int) ->
     roots = settle(components(chain))
     found = cells.select("key", "node", "n").join(
         sized(roots.select(c("fp").alias("_fp"), "root")), c("node") == c("_fp"), "left")
-    found = found.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    # Only keys of several components go on.
-    found = (found.withColumns({"_low": F.min("root").over(by_key), "_high": F.max("root").over(by_key)})
-             .where("_low <> _high").drop("_low", "_high"))
-    found = settle(found)
-    left, right = found.alias("l"), found.alias("r")
-    pairs = left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
-                      & fits(c("l.n"), c("r.n")))
-    return chain.unionByName(checked(pairs.select(c("l.node").alias("a"), c("l.n").alias("na"),
-                                                  c("r.node").alias("b"), c("r.n").alias("nb"))))
+    found = found.select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.array("key").alias("path"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Only keys of several components, with their numbers of nodes."""
+        return (rows.withColumns({"_low": F.min("root").over(by_key), "_high": F.max("root").over(by_key),
+                                  "_all": F.count(F.lit(1)).over(by_key)})
+                .where("_low <> _high").drop("_low", "_high"))
+
+    def split(rows: DataFrame, depth: int) -> DataFrame:
+        """Crowded keys again, each by one more shingle that comes later in the order."""
+        # A node's crowded keys are some of its own first shingles.
+        asked = rows.groupBy("node", "root").agg(F.collect_list("path").alias("paths"))
+        asked = asked.select(c("node").alias("_w"), "root", "paths")
+        wanted = texts.join(sized(settle(asked)), c("node") == c("_w")).select("node", "text", "root", "paths")
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
+            for batch in batches:
+                out = []
+                for name, text, root, paths in zip(batch["node"].tolist(), batch["text"], batch["root"].tolist(), batch["paths"]):
+                    if name in seen:
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(name)
+                    own = ordered(shingles(text, shingle), sent.value)
+                    first = own[:prefix(len(own), percent, depth)].tolist()
+                    place = {x: i for i, x in enumerate(first)}
+                    for path in paths:
+                        path = list(path)
+                        for x in first[place[path[-1]] + 1:]:
+                            longer = [*path, x]
+                            key = xxhash.xxh64_intdigest(np.array(longer, dtype="<i8").tobytes(), SEED)
+                            out.append((key - (1 << 64) if key >> 63 else key, name, len(own), root, longer))
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=["key", "node", "n", "root", "path"])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=["key", "node", "n", "root", "path"])
+
+        dealt = wanted.mapInPandas(deal, "key bigint, node bigint, n int, root bigint, path array<bigint>")
+        return settle(apart(dealt.dropDuplicates(["key", "node"])))
+
+    found, pairs = settle(apart(found)), []
+    for depth in range(2, DEPTH + 2):
+        crowded = found.where(c("_all") > CROWD) if depth <= DEPTH else found.limit(0)
+        few = found.where(c("_all") <= CROWD) if depth <= DEPTH else found
+        left, right = few.alias("l"), few.alias("r")
+        pairs.append(left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
+                               & fits(c("l.n"), c("r.n")))
+                     .select(c("l.node").alias("a"), c("l.n").alias("na"), c("r.node").alias("b"), c("r.n").alias("nb")))
+        if depth > DEPTH or crowded.isEmpty():
+            break
+        found = split(crowded, depth)
+    shared = pairs[0]
+    for p in pairs[1:]:
+        shared = shared.unionByName(p)
+    return chain.unionByName(checked(shared, len(pairs) > 1))

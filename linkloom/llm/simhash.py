@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), named(F.col(f"`{text}`").cast("string")).alias("fp")))
     firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     share = firsts.agg(F.sum("n")).first()[0] or 0
-    found = links(firsts.select("fp")) if percent is None else near_sets.links(docs, text, shingle, percent, share)
+    found = links(firsts.select("fp")) if percent is None else near_sets.links(docs, text, shingle, percent)
     roots = components(found)
     grown = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(grown, "root").select(F.col("fp").alias("_fp"), "root", "smallest")

@@ -45,14 +45,46 @@ def corpus():
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-def test_components_equal_all_pairs(spark, make_docs, monkeypatch):
+def linked(found):
+    """The smallest node that each one is connected with."""
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+    for a, b in found:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i: root(i) for i in parent}
+
+
+def test_components_equal_all_pairs(make_docs):
     texts = corpus()
     want = components(texts)
     docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
-    for sample in (near_sets.SAMPLE, 0):  # the order never decides what is found
-        monkeypatch.setattr(near_sets, "SAMPLE", sample)
-        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
-        assert got == want and 25 < len(set(want.values())) < len(want)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
+    assert got == want and 25 < len(set(want.values())) < len(want)
+
+
+def test_neither_order_nor_crowds_decide_what_is_found(make_docs, monkeypatch):
+    texts = corpus()
+    docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
+    want = linked(near_sets.links(docs, "text", 5, 80).collect())
+    assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
+    monkeypatch.setattr(near_sets, "CROWD", 2)
+    assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
+
+
+def test_a_phrase_of_all_texts_makes_no_pairs(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, " ".join([f"u{i}x{k}" for k in range(4)] + [f"common{k}" for k in range(5)] + [f"v{i}x{k}" for k in range(4)]), "en", "s")
+                      for i in range(1500)])
+    rows, write = [], near_sets.settle
+    monkeypatch.setattr(near_sets, "settle", lambda df: [out := write(df), rows.append(out.count())][0])
+    assert near_sets.links(docs, "text", 5, 80).count() == 0 and max(rows) == 0
+    # Without counts the phrase may be a key of all texts; the crowd is split, not paired.
+    rows.clear()
+    assert near_sets.links(docs, "text", 5, 80, counted=False).count() == 0 and max(rows) < 20 * 1500
 
 
 def test_the_stage_drops_copies_that_fingerprints_miss(spark, sf, make_docs):

@@ -167,15 +167,42 @@ def load_years(spark, d):
 
 
 @query("scan_month", assemble(
-    """SELECT 'scrape' AS kind, scrape_id AS id, epoch(date)::BIGINT AS date_s FROM scrapes
+    """SELECT 'scrape' AS kind, scrape_id AS id, epoch(date)::BIGINT AS date_s,
+              row_number() OVER (ORDER BY date, scrape_id) - 1 AS place FROM scrapes
        WHERE shard = (SELECT max(shard) FROM scrapes)
-       UNION ALL SELECT 'story', story_id, epoch(date)::BIGINT FROM stories
+       UNION ALL SELECT 'story', story_id, epoch(date)::BIGINT, row_number() OVER (ORDER BY date, story_id) - 1 FROM stories
        WHERE shard = (SELECT max(shard) FROM scrapes)""", "scrapes", "stories"))
 def scan_month(spark, d):
-    """The newest month of scrapes, and of stories."""
+    """The newest month of scrapes, and of stories, with the place of each row."""
     from linkloom.sources import stored
     rows, stories = scrapes(spark, d), stories_of(spark, d)
     month = rows.agg(F.max("shard")).first()[0]
-    parts = [stored.scan_month(rows, month).select(F.lit("scrape").alias("kind"), F.col("scrape_id").alias("id"), "date"),
-             stored.scan_month(stories, month, "story_id").select(F.lit("story").alias("kind"), F.col("story_id").alias("id"), "date")]
-    return parts[0].unionByName(parts[1]).select("kind", "id", F.unix_seconds("date").alias("date_s"))
+    parts = [stored.scan_month(rows, month).rows.select(F.lit("scrape").alias("kind"), F.col("scrape_id").alias("id"), "date", "place"),
+             stored.scan_month(stories, month, "story_id").rows.select(F.lit("story").alias("kind"), F.col("story_id").alias("id"), "date", "place")]
+    return parts[0].unionByName(parts[1]).select("kind", "id", F.unix_seconds("date").alias("date_s"), "place")
+
+
+@query("scan_range", assemble(
+    """SELECT story_id, shard::BIGINT AS shard, row_number() OVER (ORDER BY shard, date, story_id) - 1 AS place
+       FROM stories""", "stories"))
+def scan_range(spark, d):
+    """All stories, month after month."""
+    from linkloom.sources import stored
+    return stored.scan_range(stories_of(spark, d)).rows.select("story_id", *big("shard"), "place")
+
+
+@query("scan_errors", assemble(
+    """SELECT message, count(*) AS n FROM (
+         SELECT CASE seq % 5 WHEN 0 THEN 'missing date' WHEN 1 THEN 'bad id' WHEN 2 THEN 'missing url'
+                             WHEN 3 THEN 'wrong month' ELSE 'read' END AS message FROM scrapes) GROUP BY 1""", "scrapes"))
+def scan_errors(spark, d):
+    """Rows with a fault each, but every fifth; the scan reports them and reads the rest."""
+    from linkloom.sources import stored
+    turn = F.col("seq") % 5
+    rows = scrapes(spark, d).withColumns({
+        "date": F.when(turn != 0, F.col("date")), "url": F.when(turn != 2, F.col("url")),
+        "scrape_id": F.when(turn == 1, F.lit("?")).otherwise(F.col("scrape_id")),
+        "shard": F.when(turn == 3, F.col("shard") + 1).otherwise(F.col("shard"))})
+    scan = stored.scan_range(rows, key="scrape_id")
+    return (scan.errors.select("message").unionByName(scan.rows.select(F.lit("read").alias("message")))
+            .groupBy("message").agg(F.count(F.lit(1)).alias("n")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import dates
 from linkloom.operators import ranking
-from linkloom.session import shared_path
+from linkloom.session import shared_path, staged
 from linkloom.sources import backup, crawl, payloads, posts
 from linkloom.sources.derived import sightings, table
 
@@ -34,13 +34,13 @@ def _payloads(bundled, item, before: str, between: str, after: str, source: str)
 _MANY = 4_000_000_000  # a counter may be larger than a signed 32-bit number
 
 
-def reddit_payloads(spark, d):
+def reddit_payloads(spark, d, numbered=False):
     rows = _bundled(spark, d, "reddit")
     item = F.to_json(F.struct(F.lit("t3").alias("kind"), F.struct(
         "id", F.initcap("subsource").alias("subreddit"),
         (F.col("seq") % 13 == 0).alias("stickied"),
         F.unix_seconds("date").cast("double").alias("created_utc"), "url",
-        F.col("raw_title").alias("title"), (F.col("comments") + _MANY).alias("num_comments"), "score",
+        (F.lit(5) if numbered else F.col("raw_title")).alias("title"), (F.col("comments") + _MANY).alias("num_comments"), "score",
         F.col("downvotes").alias("downs"),
         F.when(F.col("seq") % 17 == 0, -1).otherwise(F.col("upvotes")).alias("ups"),
         "upvote_ratio", F.col("flair").alias("link_flair_text")).alias("data")))
@@ -72,6 +72,15 @@ def parse_warnings(spark, d):
     return out.groupBy("payload", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("parse_types", assemble(
+    """SELECT seq // 25 AS payload, CASE WHEN seq % 13 = 0 THEN 'Ignoring stickied story' ELSE 'Missing field title' END AS message,
+              count(*) AS n FROM scrapes WHERE source = 'reddit' GROUP BY ALL""", "scrapes"))
+def parse_types(spark, d):
+    """Titles that are JSON numbers are no titles."""
+    out = payloads.parse_reddit(reddit_payloads(spark, d, numbered=True))
+    return out.warnings.groupBy("payload", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("parse_rss", assemble(
     """SELECT payload, id, url, raw_title, date_s, position, tags FROM (
          SELECT seq // 25 AS payload, id, url, raw_title, epoch(date)::BIGINT AS date_s, seq,
@@ -256,18 +265,22 @@ def live_pin(spark, d):
 
 
 @query("backup_changed", assemble(
-    """SELECT a.shard, a.n AS count FROM (SELECT shard, count(*) n, min(date) lo, max(date) hi
-         FROM scrapes GROUP BY shard) a
-       LEFT JOIN (SELECT shard, count(*) n, min(date) lo, max(date) hi FROM scrapes
-         WHERE NOT (source = 'feed' AND year(date) IN (1996, 1999)) GROUP BY shard) b
-       USING (shard, n, lo, hi) WHERE b.shard IS NULL""", "scrapes"))
+    """SELECT m.shard::BIGINT AS shard, coalesce(n, 0) AS count,
+              CASE WHEN n IS NULL THEN 'empty' WHEN late OR renamed THEN 'success' ELSE 'no_change' END AS result
+       FROM (SELECT unnest(range(min(shard), max(shard) + 1)) AS shard FROM scrapes WHERE shard % 11 <> 5) m
+       LEFT JOIN (SELECT shard, count(*) AS n, bool_or(source = 'feed' AND year(date) IN (1996, 1999)) AS late,
+                         bool_or(source = 'lobsters' AND shard % 7 = 3) AS renamed
+                  FROM scrapes WHERE shard % 11 <> 5 GROUP BY shard) USING (shard)""", "scrapes"))
 def backup_changed(spark, d):
-    from linkloom.operators.counts import store_stats
-    rows = scrapes(spark, d)
-    # The last backup ran before the feed scrapes of two years arrived.
-    before = rows.where(~((F.col("source") == "feed") & F.year("date").isin(1996, 1999)))
-    return backup.changed_months(store_stats(rows), store_stats(before)).select(
-        F.col("shard").cast("bigint").alias("shard"), "count")
+    """Two backups. Before the second, feed scrapes of two years arrive and titles of some
+    months change, with no date and no number of rows changed; some months have no rows."""
+    rows = scrapes(spark, d).drop("seq").where("shard % 11 <> 5")
+    renamed = (F.col("source") == "lobsters") & (F.col("shard") % 7 == 3)
+    before = (rows.where(~((F.col("source") == "feed") & F.year("date").isin(1996, 1999)))
+              .withColumn("raw_title", F.when(renamed, F.lit("old")).otherwise(F.col("raw_title"))))
+    path = shared_path(spark, "backup")
+    first = staged(backup.backup(before, None, path).where("result = 'success'").drop("result"), "manifest")
+    return backup.backup(rows, first, path).select(F.col("shard").cast("bigint").alias("shard"), "count", "result")
 
 
 @query("import_backup", assemble(

@@ -175,16 +175,50 @@ def bot_agents(spark, d):
             .withColumn("bot", looks_like_bot(F.col("agent"))))
 
 
-@query("request_levels")
+def _walk(name: str, events: str, limit: RateLimit) -> None:
+    """CTE ``name`` (key, event_id, level): events (key, s, event_id, i) walked one by one."""
+    def side(letter: str, seconds: int) -> str:
+        b = f"e.s // {seconds}"
+        return (f"{b} AS {letter}b, CASE WHEN {b} = w.{letter}b THEN w.{letter}p WHEN {b} = w.{letter}b + 1 THEN w.{letter}n ELSE 0 END AS {letter}p,"
+                f" CASE WHEN {b} = w.{letter}b THEN w.{letter}n ELSE 0 END AS {letter}n")
+    ok_s, ok_l = f"sp + sn < {2 * limit.short_hard}", f"lp + ln < {2 * limit.long_hard}"
+    cte(f"{name}_rec", f"""
+        SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, '' AS level, -2::BIGINT AS sb, 0::BIGINT AS sp,
+               0::BIGINT AS sn, -2::BIGINT AS lb, 0::BIGINT AS lp, 0::BIGINT AS ln FROM {events}
+        UNION ALL
+        SELECT key, i, event_id,
+               CASE WHEN NOT ({ok_s}) OR NOT ({ok_l}) THEN 'hard'
+                    WHEN sp + sn >= {2 * limit.short_soft} OR lp + ln >= {2 * limit.long_soft} THEN 'soft' ELSE 'none' END,
+               sb, sp, sn + ({ok_s})::BIGINT, lb, lp, ln + ({ok_s} AND {ok_l})::BIGINT
+        FROM (SELECT e.key, e.i, e.event_id, {side('s', limit.short_seconds)}, {side('l', limit.long_seconds)}
+              FROM {name}_rec w JOIN {events} e ON e.key = w.key AND e.i = w.i + 1)""", events)
+
+
+_BOT_LIMIT = RateLimit(short_seconds=3600, long_seconds=86400, short_soft=1, long_soft=10)
+cte("ip_events", """
+    SELECT user_id::VARCHAR AS key, floor(epoch(ts))::BIGINT AS s, event_id::BIGINT AS event_id, event_type AS agent,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events""")
+_walk("ip", "ip_events", _LIMIT)
+# Only bots that the first limit lets pass are counted by the second.
+cte("bot_events", """
+    SELECT agent AS key, s, event_id, row_number() OVER (PARTITION BY agent ORDER BY ts, event_id) AS i
+    FROM ip_rec JOIN (SELECT event_id, ts, event_type AS agent, floor(epoch(ts))::BIGINT AS s FROM events) USING (event_id)
+    WHERE level <> 'hard' AND agent = 'error'""", "ip_rec")
+_walk("bot", "bot_events", _BOT_LIMIT)
+
+
+@query("request_levels", assemble(
+    """SELECT p.event_id, CASE WHEN p.level = 'hard' OR b.level = 'hard' THEN 'hard'
+              WHEN p.level = 'soft' OR b.level = 'soft' THEN 'soft' ELSE 'none' END AS level
+       FROM ip_rec p LEFT JOIN bot_rec b USING (event_id) WHERE p.event_id IS NOT NULL""", "ip_rec", "bot_rec"))
 def request_levels(spark, d):
     """Requests through the ip limits and, for bots, the agent limits."""
     requests = table(spark, d, "events").select(
         "event_id", F.col("user_id").cast("string").alias("ip"),
         F.col("event_type").alias("agent"), (F.col("event_type") == "error").alias("is_bot"),
         F.col("ts").cast("timestamp").alias("ts"))
-    bot = RateLimit(short_seconds=3600, long_seconds=86400, short_soft=1, long_soft=10)
-    out = rates.classify_requests(requests, _LIMIT, bot)
-    return out.select("event_id", "level")
+    out = rates.classify_requests(requests, _LIMIT, _BOT_LIMIT)
+    return out.select(F.col("event_id").cast("bigint").alias("event_id"), "level")
 
 
 @query("event_windows", """

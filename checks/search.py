@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import joins, search
 from linkloom.plans import stories as st
+from linkloom.plans.store import StoryStore
 from linkloom.plans.story_page import story_page as page_of
+from linkloom.session import shared_path
 from linkloom.sources.derived import table
 
 from .registry import CFG, query, r6, scrapes
@@ -97,6 +99,28 @@ def search_domain(spark, d):
     return run(spark, d, "domain", "example.net")
 
 
+@query("search_stored", assemble(ranked_sql("rel_text"), "rel_text", "stories"))
+def search_stored(spark, d):
+    """The text search over a stored table, with the figures kept beside it."""
+    store = StoryStore(spark, shared_path(spark, "search-store"), CFG)
+    store.load(scrapes(spark, d))
+    return show(store.search("text", "Small gizmo, http:gizmo"))
+
+
+@query("month_figures", assemble(
+    rf"""SELECT shard::BIGINT AS shard, f AS field, t AS token, count(DISTINCT story_id) AS n FROM tokens WHERE f <> 'host' GROUP BY ALL
+        UNION ALL SELECT shard, 'entry', lower(tag), count(DISTINCT story_id) FROM (SELECT shard, story_id, unnest(tags) AS tag FROM stories)
+          WHERE regexp_matches(lower(tag), '[^\p{{L}}\p{{N}}]') GROUP BY ALL
+        UNION ALL SELECT shard, 'host', ' ' || array_to_string({_TOK.format(x='host')}, ' ') || ' ', count(*) FROM stories GROUP BY ALL
+        UNION ALL SELECT shard, 'total', f, count(*) FROM tokens GROUP BY ALL
+        UNION ALL SELECT shard, 'total', 'stories', count(*) FROM stories GROUP BY ALL""", "tokens", "stories"))
+def month_figures(spark, d):
+    """As stored after a bulk load."""
+    store = StoryStore(spark, shared_path(spark, "figures-store"), CFG)
+    store.load(scrapes(spark, d))
+    return store.figures.select(F.col("shard").cast("bigint").alias("shard"), "field", "token", "n")
+
+
 cte("url_hits", f"""
     SELECT *, round(1.0::DOUBLE + score - 0.00001::DOUBLE *
              (epoch((SELECT max(date) FROM stories)) - epoch(date)), 9) AS rank_score

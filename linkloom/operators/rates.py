@@ -158,8 +158,18 @@ def page_windows(events: DataFrame, minutes: int = 60, late: str | None = None)
             .select(F.col("window.start").alias("window_start"), "path", "n"))
 
 
+def levels_of(events: DataFrame, seconds: DataFrame) -> DataFrame:
+    """``events`` (key, ts, event_id, ...) with their level, from the outcome of each
+    (key, second) as the stream gives it: calm events come first, rejected ones last."""
+    rank = F.row_number().over(Window.partitionBy("key", "second").orderBy("ts", "event_id"))
+    rows = events.withColumn("second", F.unix_seconds("ts")).withColumn("_rank", rank).join(seconds, ["key", "second"])
+    level = (F.when(F.col("_rank") <= F.col("none"), "none")
+             .when(F.col("_rank") <= F.col("none") + F.col("soft"), "soft").otherwise("hard"))
+    return rows.select(*events.columns, level.alias("level"))
+
+
 class RateState:
-    """Bucket counters of one key, as a stream sees them event by event."""
+    """Bucket counters of one key, as a stream sees them second by second."""
 
     def __init__(self, limit: RateLimit, values: tuple | None = None):
         self.limit = limit
@@ -170,26 +180,19 @@ class RateState:
         if bucket != last:
             self.values[at:at + 3] = [bucket, now if bucket == last + 1 else 0, 0]
 
-    def add(self, seconds: int) -> str:
+    def add(self, second: int, n: int) -> tuple[int, int, int]:
+        """How many of ``n`` events of one second are none, soft and hard."""
         lim, v = self.limit, self.values
-        self._roll(0, seconds // lim.short_seconds)
-        self._roll(3, seconds // lim.long_seconds)
-        seen = v[1] + v[2]
-        if seen >= 2 * lim.short_hard:
-            return "hard"
-        v[2] += 1
-        level = "soft" if seen >= 2 * lim.short_soft else "none"
-        seen = v[4] + v[5]
-        if seen >= 2 * lim.long_hard:
-            return "hard"
-        v[5] += 1
-        return "soft" if seen >= 2 * lim.long_soft else level
-
-
-def classify_in_order(limit: RateLimit, values: tuple | None,
-                      batches: Iterator[pd.DataFrame]) -> tuple[tuple, pd.DataFrame]:
-    """Run one key's events of a micro-batch through its state, in time order."""
-    frame = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    state = RateState(limit, values)
-    frame = frame.assign(level=[state.add(int(t.timestamp())) for t in frame["ts"]])
-    return tuple(state.values), frame
+        self._roll(0, second // lim.short_seconds)
+        self._roll(3, second // lim.long_seconds)
+        short, long = v[1] + v[2], v[4] + v[5]
+        taken = min(n, max(0, 2 * lim.short_hard - short))
+        passed = min(taken, max(0, 2 * lim.long_hard - long))
+        calm = min(passed, max(0, min(2 * lim.short_soft - short, 2 * lim.long_soft - long)))
+        v[2] += taken
+        v[5] += passed
+        return calm, passed - calm, n - passed
+
+    def until(self) -> int:
+        """The second from which on the counters no longer matter."""
+        return max((self.values[0] + 2) * self.limit.short_seconds, (self.values[3] + 2) * self.limit.long_seconds)

@@ -1,9 +1,10 @@
 """Matching and ranking stories for one search.
 
-Relevance is BM25 per field and month. A search names only a handful of terms, so nothing
-is inverted: one aggregate over (month) finds the collection figures for just these terms,
-and one scan scores the rows against them. The figures table has one row per month, at
-most 65 536 rows, and is broadcast.
+Relevance is BM25 per field and month. A search names only a handful of terms, so no list of
+hits is kept: the collection figures of just these terms, a row per month (65 536 at most), are
+broadcast, and one scan scores the rows against them. Over a stored table the figures come from
+its table of figures (``figures.py``), and the scan reads the months that can hold hits; for any
+other rows one aggregate over all of them finds the figures.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig, TagConfig
 from ..functions import text, urls
 from . import tagging
+from .figures import figure
 
 K1, B = 1.2, 0.75
 
@@ -61,14 +63,94 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, total_len: Column)
     return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
 
+def _plain(token: str) -> bool:
+    return split_tokens(token, distinct=False) == [token]
+
+
+def _month_rows(stories: DataFrame, stored: DataFrame, terms: list[Term], phrases: list[HostPhrase],
+                most: int | None) -> list:
+    """The figures of the months that the search has to read, newest first: a row per month.
+
+    How many stories match is not known, only that it is as many as match the commonest term at least.
+    With ``most``, months are taken until that many are certain.
+    """
+    found: dict[str, Column] = {}
+    runs: dict[str, list[str]] = {}
+    wanted = F.col("field") == "total"
+    for i, t in enumerate(terms):
+        for f in t.boosts:
+            name, parts = f"_tf_{f}_{i}_df", split_tokens(t.token, distinct=False)
+            field_ = f if _plain(t.token) else "entry"
+            if f == "title" and not _plain(t.token):
+                # A run of words: months that hold all of them may hold it.
+                runs[name] = parts if len(parts) > 1 else []
+                counts = [figure("title", F.lit(x)) for x in runs[name]]
+                found[name] = F.least(*counts) if counts else F.lit(0).cast("bigint")
+                wanted = wanted | ((F.col("field") == "title") & F.col("token").isin(parts))
+                continue
+            found[name] = figure(field_, F.lit(t.token))
+            wanted = wanted | ((F.col("field") == field_) & (F.col("token") == t.token))
+    for i, p in enumerate(phrases):
+        found[f"_tf_host_{i}_df"] = figure("host", _phrase(p.domain), like=True)
+        wanted = wanted | ((F.col("field") == "host") & F.col("token").contains(_phrase(p.domain)))
+    totals = [figure("total", F.lit(x)).alias(y) for x, y in (
+        ("stories", "_n"), ("title", "_sum_title"), ("tags", "_sum_tags"), ("host", "_sum_host"))]
+    rows = (stored.where(wanted).groupBy("shard").agg(*totals, *[c.alias(n) for n, c in found.items()])
+            .where(F.greatest(F.lit(0), F.lit(0), *found) > 0).orderBy(F.desc("shard")).collect())
+    rows = [r.asDict() for r in rows]
+    if any(runs.values()):
+        months = sorted({r["shard"] for r in rows if any(r[n] for n, parts in runs.items() if parts)})
+        titled = stories.where(F.col("shard").isin(months)).withColumn("_t_title", text.text_tokens(F.col("title")))
+        by_name = {n: t.token for i, t in enumerate(terms) for n in [f"_tf_title_{i}_df"] if runs.get(n)}
+        exact = {r["shard"]: r for r in titled.groupBy("shard").agg(*[
+            F.sum((_occurrences("title", token) > 0).cast("bigint")).alias(n) for n, token in by_name.items()]).collect()}
+        for r in rows:
+            for n in by_name:
+                r[n] = exact[r["shard"]][n] if r["shard"] in exact else 0
+        rows = [r for r in rows if any(r[n] for n in found)]
+    certain, out = 0, []
+    for r in rows:
+        if most is not None and certain >= most:
+            break
+        out.append(r)
+        certain += max(r[n] for n in found)
+    return out
+
+
+def _figures_of(rows: DataFrame, tf: dict[str, Column], hit: Column, most: int | None) -> DataFrame:
+    """The figures of rows that have none stored, a row per month."""
+    figures = rows.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(f"_len_{f}").alias(f"_sum_{f}") for f in ("title", "tags", "host")],
+        *[F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_df") for c in tf],
+        F.sum(hit.cast("bigint")).alias("_hits"))
+    if most is not None:
+        # One row per month, so the one-partition window is small.
+        newer = Window.orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+        figures = (figures.withColumn("_newer", F.coalesce(F.sum("_hits").over(newer), F.lit(0)))
+                   .where((F.col("_newer") < most) & (F.col("_hits") > 0)))
+    return figures
+
+
+def _as_table(stories: DataFrame, known: list[dict], tf: dict[str, Column]) -> DataFrame:
+    names = ["_n", "_sum_title", "_sum_tags", "_sum_host", *[f"{c}_df" for c in tf]]
+    return stories.sparkSession.createDataFrame(
+        [(r["shard"], *[r[n] for n in names]) for r in known], "shard INT, " + ", ".join(f"{n} BIGINT" for n in names))
+
+
 def relevance(stories: DataFrame, terms: list[Term], phrases: list[HostPhrase] = (),
-              most: int | None = None) -> DataFrame:
-    """Stories that match any term or phrase, with ``relevance``.
+              most: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Stories that match any term or phrase, with ``relevance``. ``stored`` are the figures
+    kept beside the table of ``stories``.
 
     ``most`` keeps only the newest months that together hold the first ``most`` hits of a
     month-major order. The months come from the figures, so the scoring scan of a
     partitioned table is pruned to them and every row of that order is still there.
     """
+    known = None
+    if stored is not None:
+        known = _month_rows(stories, stored, terms, list(phrases), most)
+        stories = stories.where(F.col("shard").isin([r["shard"] for r in known]))
     rows = stories.withColumns({
         "_t_title": text.text_tokens(F.col("title")), "_t_tags": _tag_tokens(),
         "_host": urls.host_phrase(F.col("host"))})
@@ -82,16 +164,7 @@ def relevance(stories: DataFrame, terms: list[Term], phrases: list[HostPhrase] =
         **tf, "_len_title": F.size("_t_title"), "_len_tags": F.size("_t_tags"),
         "_len_host": F.size(urls.host_tokens(F.col("host")))})
     hit = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in tf], F.lit(False))
-    figures = rows.groupBy("shard").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(f"_len_{f}").alias(f"_sum_{f}") for f in ("title", "tags", "host")],
-        *[F.sum((F.col(c) > 0).cast("bigint")).alias(f"{c}_df") for c in tf],
-        F.sum(hit.cast("bigint")).alias("_hits"))
-    if most is not None:
-        # One row per month, so the one-partition window is small.
-        newer = Window.orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
-        figures = (figures.withColumn("_newer", F.coalesce(F.sum("_hits").over(newer), F.lit(0)))
-                   .where((F.col("_newer") < most) & (F.col("_hits") > 0)))
+    figures = _figures_of(rows, tf, hit, most) if known is None else _as_table(stories, known, tf)
     matched = rows.where(hit)
     scored = matched.join(F.broadcast(figures), "shard")
 
@@ -131,10 +204,10 @@ def ranked(matched: DataFrame, now: Column, max_count: int | None = 300) -> Data
 
 
 def by_tag(stories: DataFrame, tag: str, alt: str | None = None,
-           most: int | None = None) -> DataFrame:
+           most: int | None = None, stored: DataFrame | None = None) -> DataFrame:
     tokens = list(dict.fromkeys(t.lower() for t in (tag, alt) if t))
     return relevance(stories, [Term(t.lower(), {"title": 1.0, "tags": 10.0}) for t in tokens],
-                     most=most)
+                     most=most, stored=stored)
 
 
 def split_tokens(phrase: str, distinct: bool = True) -> list[str]:
@@ -148,15 +221,15 @@ def split_tokens(phrase: str, distinct: bool = True) -> list[str]:
     return list(dict.fromkeys(out)) if distinct else out
 
 
-def by_text(stories: DataFrame, phrase: str, most: int | None = None) -> DataFrame:
+def by_text(stories: DataFrame, phrase: str, most: int | None = None, stored: DataFrame | None = None) -> DataFrame:
     neutral = phrase.replace("http:", "http ").replace("https:", "https ")
     return relevance(stories, [Term(t, {"title": 1.0, "tags": 3.0})
-                               for t in split_tokens(neutral)], most=most)
+                               for t in split_tokens(neutral)], most=most, stored=stored)
 
 
-def by_domain(stories: DataFrame, domain: str, most: int | None = None) -> DataFrame:
+def by_domain(stories: DataFrame, domain: str, most: int | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Host contains the domain's tokens as a run: ``co.uk`` finds ``x.y.co.uk``."""
-    return relevance(stories, [], [HostPhrase(domain)], most)
+    return relevance(stories, [], [HostPhrase(domain)], most, stored)
 
 
 def by_url(stories: DataFrame, url: str) -> DataFrame:
@@ -168,7 +241,7 @@ def by_url(stories: DataFrame, url: str) -> DataFrame:
 
 
 def related(stories: DataFrame, title: str, tags: list[str], own_url: str | None = None,
-            own_date=None, max_count: int = 30) -> DataFrame:
+            own_date=None, max_count: int = 30, stored: DataFrame | None = None) -> DataFrame:
     """Stories that share title words or tags, by relevance inside each month.
 
     Title words count double in titles; tags without a dot count 0.2 in tags; tags with a
@@ -188,7 +261,7 @@ def related(stories: DataFrame, title: str, tags: list[str], own_url: str | None
             entry = boosts.setdefault(tag, {})
             entry["tags"] = entry.get("tags", 0.0) + 0.2
     # One more than asked for: the story itself is among the hits.
-    out = relevance(stories, [Term(t, b) for t, b in boosts.items()], phrases, max_count + 1)
+    out = relevance(stories, [Term(t, b) for t, b in boosts.items()], phrases, max_count + 1, stored)
     if own_url is not None:
         out = out.where(~((F.col("url") == own_url) & (F.col("date") == own_date)))
     return (out.withColumn("rank_score", F.round("relevance", 9))
@@ -233,16 +306,16 @@ def classify(searches: DataFrame, cfg: TagConfig, column: str = "search",
 
 
 def run(stories: DataFrame, kind: str, query: str, alt: str | None, now: Column,
-        cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Execute one classified search."""
+        cfg: EngineConfig = EngineConfig(), stored: DataFrame | None = None) -> DataFrame:
+    """Execute one classified search; ``stored`` are the figures kept beside the stories."""
     if kind == "tag":
-        hits = by_tag(stories, query, alt, cfg.max_count)
+        hits = by_tag(stories, query, alt, cfg.max_count, stored)
     elif kind == "url":
         hits = by_url(stories, query)
     elif kind == "domain":
-        hits = by_domain(stories, query, cfg.max_count)
+        hits = by_domain(stories, query, cfg.max_count, stored)
     elif kind == "text":
-        hits = by_text(stories, query, cfg.max_count)
+        hits = by_text(stories, query, cfg.max_count, stored)
     else:
         raise ValueError("the front page is a job of its own")
     return ranked(hits, now, cfg.max_count)

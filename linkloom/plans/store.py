@@ -1,6 +1,7 @@
 """Stored tables on plain Parquet, partitioned by month.
 
-Three tables: ``scrapes``, ``stories`` and ``links`` (story to scrape). An ingest stages
+Four tables: ``scrapes``, ``stories``, ``links`` (story to scrape) and ``figures`` (what searches
+need to know of a month, kept up by signed changes). An ingest stages
 all its outputs in the shared folder first, records them in a commit note, and only then
 replaces the touched month partitions. A run that dies half-way leaves the note behind, and
 opening the store applies it again, so the tables never stay apart.
@@ -8,15 +9,17 @@ opening the store applies it again, so the tables never stay apart.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import ids
-from ..operators import counts, quality, upsert
+from ..operators import counts, figures, quality, search, upsert
 from ..schema import SCRAPES
 from ..session import configure
-from ..sources import backup
+from ..sources import backup, stored
 from . import front_page, merge
 from . import stories as st
 
@@ -24,7 +27,7 @@ _STORIES = """shard INT, story_id STRING, url STRING, host STRING, url_norm STRI
     title STRING, date TIMESTAMP, score DOUBLE, tags ARRAY<STRING>, n_scrapes BIGINT,
     sources MAP<STRING, STRING>, self_post BOOLEAN"""
 _LINKS = "shard INT, story_id STRING, scrape_shard INT, scrape_id STRING"
-SCHEMAS = {"scrapes": SCRAPES, "stories": _STORIES, "links": _LINKS}
+SCHEMAS = {"scrapes": SCRAPES, "stories": _STORIES, "links": _LINKS, "figures": figures.SCHEMA}
 
 
 class StoryStore:
@@ -65,13 +68,24 @@ class StoryStore:
     def links(self) -> DataFrame:
         return self.table("links")
 
+    @property
+    def figures(self) -> DataFrame:
+        """Kept since the table is; a store from before counts them anew."""
+        return self.table("figures") if self._exists("figures") else figures.month_figures(self.stories)
+
+    def _refigure(self, here, gone: DataFrame, changed: DataFrame, path: str) -> None:
+        """The figures of the months ``here`` after their stories ``gone`` made way for ``changed``."""
+        lost = self.stories.where(here).join(gone, ["shard", "story_id"], "left_semi")
+        self._write(figures.added(self.figures.where(here), figures.month_figures(lost, -1), figures.month_figures(changed)),
+                    "figures", path)
+
     def _columns(self, name: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[name]).columns
 
     def _write(self, df: DataFrame, name: str, path: str) -> None:
         """Rows of a month lie together and in date order inside a file."""
         order = {"scrapes": ["shard", "date", "scrape_id"], "stories": ["shard", "date"],
-                 "links": ["shard", "story_id", "scrape_id"]}[name]
+                 "links": ["shard", "story_id", "scrape_id"], "figures": figures.KEY}[name]
         (df.select(*self._columns(name)).repartitionByRange(*order)
          .sortWithinPartitions(*order)
          .write.mode("overwrite").partitionBy("shard").parquet(path))
@@ -122,9 +136,10 @@ class StoryStore:
         # An id is kept once, whatever months it was seen in; both other tables follow from that.
         self._write(upsert.unique_scrapes(rows.select(*self._columns("scrapes"), "seq"), self.cfg.merge_policy),
                     "scrapes", f"{folder}/scrapes")
-        stored = self.spark.read.schema(SCRAPES).parquet(f"{folder}/scrapes")
-        self._write(st.build_stories(stored, self.cfg), "stories", f"{folder}/stories")
-        self._write(st.story_links(stored, self.cfg), "links", f"{folder}/links")
+        written = self.spark.read.schema(SCRAPES).parquet(f"{folder}/scrapes")
+        self._write(st.build_stories(written, self.cfg), "stories", f"{folder}/stories")
+        self._write(st.story_links(written, self.cfg), "links", f"{folder}/links")
+        self._write(figures.month_figures(self.spark.read.schema(_STORIES).parquet(f"{folder}/stories")), "figures", f"{folder}/figures")
         self._commit(job, {name: self._months(self.spark.read.schema(SCHEMAS[name]).parquet(
             f"{folder}/{name}")) for name in SCHEMAS})
 
@@ -157,8 +172,9 @@ class StoryStore:
                     "stories", f"{folder}/stories")
         self._write(upsert.replace_rows(self.links.where(here), gone, new_links, ["shard", "story_id"]),
                     "links", f"{folder}/links")
+        self._refigure(here, gone, changed, f"{folder}/figures")
         summary = counts.insert_summary(out.results).collect()
-        self._commit(job, {"scrapes": months, "stories": touched, "links": touched})
+        self._commit(job, {"scrapes": months, "stories": touched, "links": touched, "figures": touched})
         return self.spark.createDataFrame(
             summary, "merged BIGINT, existing BIGINT, new BIGINT, not_found BIGINT")
 
@@ -180,8 +196,9 @@ class StoryStore:
                     "stories", f"{folder}/stories")
         self._write(upsert.replace_rows(self.links.where(here), gone, new_links, ["shard", "story_id"]),
                     "links", f"{folder}/links")
+        self._refigure(here, gone, changed, f"{folder}/figures")
         summary = counts.insert_summary(out.results).collect()
-        self._commit(job, {"stories": touched, "links": touched})
+        self._commit(job, {"stories": touched, "links": touched, "figures": touched})
         return self.spark.createDataFrame(
             summary, "merged BIGINT, existing BIGINT, new BIGINT, not_found BIGINT")
 
@@ -200,18 +217,55 @@ class StoryStore:
     def front_page(self, pinned_url: str | None = None) -> DataFrame:
         return front_page.front_page(self.stories, self.cfg, pinned_url, stored=True)
 
+    def search(self, kind: str, query: str, alt: str | None = None, now=None) -> DataFrame:
+        """One classified search; reads the months that hold its hits."""
+        now = counts.newest(self.stories).scalar() if now is None else now
+        return search.run(self.stories, kind, query, alt, now, self.cfg, self.figures)
+
     def refresh_hot_set(self, pinned_url: str | None = None) -> DataFrame:
-        """Write the hot set, a table bounded by its configured size."""
-        path = f"{self.root}/hot_set"
-        self.front_page(pinned_url).coalesce(1).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        """Write the hot set, a table bounded by its configured size, as a new version, and then
+        point to it. Readers of the version before are not disturbed; older ones go."""
+        before, version = self._hot_version(), uuid.uuid4().hex
+        self.front_page(pinned_url).coalesce(1).write.parquet(f"{self.root}/hot_set/{version}")
+        self._point("hot_set/current", version)
+        path, fs = self._path("hot_set")
+        for entry in fs.listStatus(path):
+            if entry.isDirectory() and entry.getPath().getName() not in (before, version):
+                fs.delete(entry.getPath(), True)
+        return self.hot_set
+
+    def _hot_version(self) -> str | None:
+        if not self._exists("hot_set", "current"):
+            return None
+        return self.spark.read.text(f"{self.root}/hot_set/current").first()[0]
+
+    @property
+    def hot_set(self) -> DataFrame:
+        """The newest complete version of the hot set; before the first, the front page itself."""
+        version = self._hot_version()
+        return self.front_page() if version is None else self.spark.read.parquet(f"{self.root}/hot_set/{version}")
+
+    def _point(self, name: str, value: str) -> None:
+        """Replace a small file at once: written beside it, then renamed over it."""
+        aside, fs = self._path(f"{name}-{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(value.encode())
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        place = self._path(name)[0]
+        uri = fs.makeQualified(place).toUri()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(aside), fs.makeQualified(place), how)
 
     def backup(self, folder: str) -> DataFrame:
         """Back up the months whose statistics changed; oldest first in the result."""
         manifest = None
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        columns = "shard INT, count BIGINT, earliest BIGINT, latest BIGINT"
+        columns = backup.MANIFEST
         if fs.exists(path):
             # One row per month: read now, because the folder is replaced below.
             manifest = self.spark.createDataFrame(
@@ -219,8 +273,24 @@ class StoryStore:
         result = self.spark.createDataFrame(
             backup.backup(self.scrapes, manifest, f"{folder}/data").collect(),
             f"{columns}, result STRING")
-        result.drop("result").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+        result.where("result <> 'empty'").drop("result").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
         return result.orderBy("shard")
 
     def validate(self) -> DataFrame:
         return quality.validate(self.stories, self.links, self.scrapes)
+
+    def broken(self) -> DataFrame:
+        """(table, file, id, message): files that cannot be read, and rows that cannot be used."""
+        out = self.spark.createDataFrame([], "table STRING, file STRING, id STRING, message STRING")
+        for name in SCHEMAS:
+            if not self._exists(name):
+                continue
+            path = f"{self.root}/{name}"
+            lost = stored.unreadable_files(self.spark, path, SCHEMAS[name]).select(
+                F.lit(name).alias("table"), "file", F.lit(None).cast("string").alias("id"), "message")
+            out = out.unionByName(lost)
+            key = {"scrapes": "scrape_id", "stories": "story_id"}.get(name)
+            if key:
+                rows = self.spark.read.schema(SCHEMAS[name]).option("ignoreCorruptFiles", "true").parquet(path)
+                out = out.unionByName(stored.scan_range(rows, key=key).errors.select(F.lit(name).alias("table"), "file", "id", "message"))
+        return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.months import month_of
-from ..operators.counts import store_stats
+from ..operators.counts import month_range, store_stats
 
 # Record name and payload fields per source, a fixed file format: field -> (column, type).
 RECORDS = {
@@ -109,18 +109,31 @@ def read_backup(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return from_records(pieces, "value", strict=False)
 
 
+MANIFEST = "shard INT, count BIGINT, earliest BIGINT, latest BIGINT, content STRING"
+
+
+def month_stats(scrapes: DataFrame) -> DataFrame:
+    """Rows, dates and content of each month. ``content`` adds up a hash of every row, so it
+    tells a changed row, whatever the order of rows."""
+    own = F.xxhash64(*[F.col(c) for c in sorted(scrapes.columns)]).cast("decimal(20,0)")
+    content = scrapes.groupBy("shard").agg(F.sum(own).cast("string").alias("content"))
+    return store_stats(scrapes).join(content, "shard").select("shard", "count", "earliest", "latest", "content")
+
+
 def changed_months(stats: DataFrame, manifest: DataFrame) -> DataFrame:
     """Months whose statistics differ from the last backup's manifest."""
-    return stats.join(manifest, ["shard", "count", "earliest", "latest"], "left_anti")
+    return stats.join(manifest, ["shard", "count", "earliest", "latest", "content"], "left_anti")
 
 
 def backup(scrapes: DataFrame, manifest: DataFrame | None, path: str) -> DataFrame:
-    """Write every changed month as ordered JSON lines; returns month, result, count.
+    """Write every changed month as ordered JSON lines; returns month, statistics and result:
+    ``success``, ``no_change``, or ``empty`` for a month without rows between the first and
+    the last, or in the manifest. What an emptied month had is left in the backup.
 
     Months are replaced one partition at a time and the caller stores the returned
     statistics as the next manifest only after this has succeeded.
     """
-    stats = store_stats(scrapes)
+    stats = month_stats(scrapes)
     changed = stats if manifest is None else changed_months(stats, manifest)
     rows = scrapes.join(F.broadcast(changed.select("shard")), "shard", "left_semi")
     (rows.select("shard", "date", "scrape_id", to_record().alias("value"))
@@ -129,6 +142,10 @@ def backup(scrapes: DataFrame, manifest: DataFrame | None, path: str) -> DataFra
      .select("shard", "value")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("shard").text(path))
-    flagged = stats.join(changed.select("shard", F.lit(1).alias("_c")), "shard", "left")
-    return flagged.select("shard", "count", "earliest", "latest", F.when(
-        F.col("_c") == 1, "success").otherwise("no_change").alias("result"))
+    months = stats.select("shard")
+    if manifest is not None:
+        months = months.unionByName(manifest.select("shard"))
+    flagged = (month_range(months).select(F.col("shard").cast("int").alias("shard")).join(stats, "shard", "left")
+               .join(changed.select("shard", F.lit(1).alias("_c")), "shard", "left"))
+    return flagged.select("shard", F.coalesce("count", F.lit(0)).alias("count"), "earliest", "latest", "content", F.when(
+        F.col("count").isNull(), "empty").when(F.col("_c") == 1, "success").otherwise("no_change").alias("result"))

@@ -21,10 +21,19 @@ from ..schema import RSS_CHANNEL
 from ..session import settled
 from . import html
 
-_LISTING = """STRUCT<data: STRUCT<children: ARRAY<STRUCT<kind: STRING, data: STRUCT<
-    id: STRING, subreddit: STRING, stickied: BOOLEAN, created_utc: DOUBLE, url: STRING,
-    title: STRING, num_comments: DOUBLE, score: DOUBLE, downs: DOUBLE, ups: DOUBLE,
-    upvote_ratio: DOUBLE, link_flair_text: STRING>>>>>"""
+# Field -> JSON type of a listing's post. Another type counts as missing: the text of a number
+# is no title, and a number in quotes is no counter.
+_TEXT, _NUMBER = "^STRING$", "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+_POST = {"id": (_TEXT, "string"), "subreddit": (_TEXT, "string"), "stickied": ("^BOOLEAN$", "boolean"),
+         "created_utc": (_NUMBER, "double"), "url": (_TEXT, "string"), "title": (_TEXT, "string"),
+         "num_comments": (_NUMBER, "double"), "score": (_NUMBER, "double"), "downs": (_NUMBER, "double"),
+         "ups": (_NUMBER, "double"), "upvote_ratio": (_NUMBER, "double"), "link_flair_text": (_TEXT, "string")}
+
+
+def _typed(doc: Column, path: str, shape: str, kind: str) -> Column:
+    """A JSON value if it has that type, else null."""
+    own = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    return F.when(own.rlike(shape), F.try_variant_get(doc, path, kind))
 
 
 @dataclass
@@ -73,11 +82,12 @@ def _missing(**checks: Column) -> Column:
 def parse_reddit(payloads: DataFrame) -> Parsed:
     """Listing JSON. The position counts accepted posts per subreddit of the payload, and
     a post that fails a later check still uses its position."""
-    parsed = payloads.withColumn("_doc", F.from_json("body", _LISTING))
-    kids = F.col("_doc.data.children")
+    parsed = payloads.withColumn("_kids", F.try_variant_get(F.try_parse_json("body"), "$.data.children", "array<variant>"))
+    kids, child = F.col("_kids"), F.col("_c")
     posts = (parsed.where(kids.isNotNull())
              .select("payload", F.posexplode(kids).alias("_pos", "_c"))
-             .select("payload", "_pos", "_c.kind", "_c.data.*"))
+             .select("payload", "_pos", _typed(child, "$.kind", _TEXT, "string").alias("kind"),
+                     *[_typed(child, f"$.data.{name}", *how).alias(name) for name, how in _POST.items()]))
     posts = posts.withColumn("subreddit", F.lower("subreddit"))
     early = F.coalesce(
         F.when(F.coalesce(F.col("kind") != "t3", F.lit(True)), "Unknown story type"),

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from helpers import hn, reddit, scrapes
 from linkloom.config import EngineConfig, RateLimit
-from linkloom.operators import counts, quality, rates
+from linkloom.operators import counts, figures, joins, quality, rates, search
 from linkloom.plans import feeds
 from linkloom.plans import stories as st
 from linkloom.plans import store as store_module
 from linkloom.plans.store import StoryStore
 from linkloom.sources import backup
 from linkloom.streaming import ingest as stream_ingest
+from linkloom.streaming import late
 from linkloom.streaming.rates import classify_stream
 from test_tagging import TAGS
 
@@ -81,7 +82,13 @@ def test_backup_of_changed_months(spark, tmp_path):
     assert [r.result for r in store.backup(out).collect()] == ["no_change", "no_change"]
     store.ingest(scrapes(spark, [hn("3", "http://g.com", "t", "2020-03-21")]))
     assert [r.result for r in store.backup(out).collect()] == ["no_change", "success"]
-    assert backup.read_backup(spark, out + "/data").count() == 3
+    # A changed title, with equal dates and as many rows.
+    store.ingest(scrapes(spark, [hn("1", "http://e.com", "another", "2020-02-20")]))
+    assert [r.result for r in store.backup(out).collect()] == ["success", "no_change"]
+    store.ingest(scrapes(spark, [hn("9", "http://h.com", "t", "2020-05-20")]))
+    assert [r.result for r in store.backup(out).collect()] == ["no_change", "no_change", "empty", "success"]
+    store.ingest(scrapes(spark, [hn("10", "http://i.com", "t", "2020-05-20")]))
+    assert backup.read_backup(spark, out + "/data").count() == 4
 
 
 def test_load_keeps_an_id_once(spark, tmp_path):
@@ -190,7 +197,7 @@ def test_payload_stream(spark, tmp_path):
     q.awaitTermination(180)
     assert store.stories.count() == 3 and store.scrapes.count() == 6
     assert {r.n_scrapes for r in store.stories.collect()} == {2}
-    assert spark.read.parquet(str(tmp_path / "s" / "hot_set")).count() == 3
+    assert store.hot_set.count() == 3
     assert {(r.payload, r.message) for r in store.warnings.collect()} == {(7, "No parser for source attic")}
 
 
@@ -249,15 +256,51 @@ def test_rates_match_the_slow_model(spark):
 
 def test_rate_stream_matches_the_batch(spark, tmp_path):
     events = random_events(600)
-    df = spark.createDataFrame(events, "key STRING, ts TIMESTAMP, event_id BIGINT")
-    df.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    kind = "key STRING, ts TIMESTAMP, event_id BIGINT"
+    df = spark.createDataFrame(events, kind)
+    # Two batches, the second out of order; a third moves the watermark past all counters.
+    early = df.where("ts < '2024-01-01 00:45:00'")
+    early.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df.subtract(early).orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for day in (2, 3):
+        spark.createDataFrame([("last", datetime(2024, 1, day), -1)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = (classify_stream(stream, LIMIT).writeStream.format("parquet")
          .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
          .trigger(availableNow=True).start())
     q.awaitTermination(180)
-    got = {r.event_id: r.level for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    seconds = spark.read.parquet(str(tmp_path / "out"))
+    got = {r.event_id: r.level for r in rates.levels_of(df, seconds).collect()}
     assert got == slow_levels(events, LIMIT)
+    # Keys whose buckets are over are gone from the state.
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 9 and kept[-1] <= 3
+
+
+def test_late_collections_wait_for_their_story(spark, tmp_path):
+    rnd, start = random.Random(6), datetime(2024, 1, 15)
+    new = [(f"n{i}", f"u{i % 40}", start + timedelta(days=rnd.randrange(60))) for i in range(200)]
+    old = [(f"s{i}", f"u{i % 50}", start + timedelta(days=rnd.randrange(60))) for i in range(150)]
+    news = spark.createDataFrame(new, "new_key STRING, url_norm STRING, date TIMESTAMP")
+    olds = (spark.createDataFrame(old, "story_id STRING, url_norm STRING, date TIMESTAMP")
+            .withColumn("shard", (F.year("date") * 12 + F.month("date") - 1).cast("int")).select("story_id", "shard", "url_norm", "date"))
+    far = datetime(2024, 9, 1)
+    for name, df, last in (("new", news, [("x", "x", far)]), ("old", olds, [("y", 1, "y", far)])):
+        path = str(tmp_path / name)
+        for turn in (1, 0):  # the later half arrives first
+            part = df.where(F.pmod(F.xxhash64("url_norm", "date"), F.lit(2)) == turn)
+            part.coalesce(1).write.mode("append").parquet(path)
+        for _ in range(2):
+            spark.createDataFrame(last, df.schema).coalesce(1).write.mode("append").parquet(path)
+    read = {n: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n, df in (("new", news), ("old", olds))}
+    q = (late.match_stream(read["new"], read["old"], 30, "90 days").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    got = {tuple(r) for r in late.best_matches(spark.read.parquet(str(tmp_path / "out"))).where("new_key <> 'x'").collect()}
+    assert got == {tuple(r) for r in joins.match_existing(news, olds).collect()}
+    assert any(r[3] is None for r in got) and any(r[3] for r in got)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 300 and kept[-1] <= 4
 
 
 def test_limits_in_one_minute(spark):
@@ -316,3 +359,60 @@ def test_bots_pass_both_limits(spark):
     want = {i: max(by_ip[i], by_bot.get(i, "none"), key=rank.get) for i in by_ip}
     got = {r.event_id: r.level for r in rates.classify_requests(df, LIMIT, bot_limit).collect()}
     assert got == want and any(by_bot[i] == "hard" for i in by_bot)
+
+
+def same_figures(spark, store):
+    kept, fresh = store.figures.select(*figures.KEY, "n"), figures.month_figures(store.stories)
+    assert spark.read.parquet(f"{store.root}/figures").count() == fresh.count()
+    assert kept.exceptAll(fresh).count() == 0 and fresh.exceptAll(kept).count() == 0
+
+
+def test_figures_follow_merges_and_searches_read_their_months(spark, tmp_path):
+    store = StoryStore(spark, str(tmp_path / "s"), CFG)
+    rows = [hn(str(i), f"http://e{i}.com/", f"rust on month{i} c++" if i % 2 else f"raspberry pi {i}", f"20{10 + i}-02-20") for i in range(8)]
+    store.load(scrapes(spark, rows))
+    same_figures(spark, store)
+    store.ingest(scrapes(spark, [hn("20", "http://e1.com/", "Rust again, renamed", "2011-02-10"), hn("21", "http://z.com", "new", "2012-02-21"),
+                                 reddit("5", "rust", "http://e3.com", "x", "2013-02-25")]))
+    same_figures(spark, store)
+    store.reindex(store.stories.select("story_id"))
+    same_figures(spark, store)
+    for kind, query, alt in (("text", "month3 again", None), ("text", "rust", None), ("tag", "c++", "cplusplus"), ("tag", "raspberry-pi", None),
+                             ("domain", "e3.com", None), ("domain", "com", None), ("text", "nowhere", None)):
+        now = F.lit("2020-01-01").cast("timestamp")
+        want = [tuple(r) for r in search.run(store.stories, kind, query, alt, now, CFG).select("story_id", "relevance", "rank_score").collect()]
+        assert [tuple(r) for r in store.search(kind, query, alt, now).select("story_id", "relevance", "rank_score").collect()] == want
+    found = store.search("text", "month3", None, now)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and plan.count("FileScan") == 1 and f"shard#" in plan and "PartitionFilters: [isnotnull(shard" in plan
+    few = EngineConfig(tags=TAGS, max_count=2)
+    limited = search.run(store.stories, "text", "rust", None, now, few, store.figures)
+    assert [r.story_id for r in limited.collect()] == [r.story_id for r in search.run(store.stories, "text", "rust", None, now, few).collect()]
+
+
+def test_the_hot_set_is_never_missing(spark, tmp_path, monkeypatch):
+    store = StoryStore(spark, str(tmp_path / "s"), CFG)
+    store.load(scrapes(spark, [hn("1", "http://e.com", "t", "2020-02-20")]))
+    assert store.hot_set.count() == 1  # before the first refresh
+    store.refresh_hot_set()
+    store.ingest(scrapes(spark, [hn("2", "http://f.com", "t", "2020-02-20")]))
+    before, point = store.hot_set, store._point
+    seen = []
+    monkeypatch.setattr(store, "_point", lambda *a: (seen.append(store.hot_set.count()), point(*a))[1])
+    assert store.refresh_hot_set().count() == 2 and seen == [1] and before.count() == 1
+    store.refresh_hot_set()
+    store.refresh_hot_set()
+    assert len([x for x in (tmp_path / "s" / "hot_set").iterdir() if x.is_dir()]) == 2
+
+
+def test_broken_files_and_rows_are_reported(spark, tmp_path):
+    store = StoryStore(spark, str(tmp_path / "s"), CFG)
+    store.load(scrapes(spark, [hn(str(i), f"http://e{i}.com", "t", f"2020-0{1 + i % 3}-20") for i in range(9)]))
+    assert store.broken().count() == 0
+    bad = scrapes(spark, [hn("99", "http://x.com", "t", "2020-01-21")]).select(*store.scrapes.columns).withColumn("date", F.lit(None).cast("timestamp"))
+    bad.write.mode("append").partitionBy("shard").parquet(f"{store.root}/scrapes")
+    month = next(x for x in sorted((tmp_path / "s" / "scrapes").iterdir()) if x.name.startswith("shard="))
+    (month / "part-broken.parquet").write_bytes(b"PAR1 no table PAR1")
+    got = [tuple(r) for r in store.broken().collect()]
+    assert {(t, i, m) for t, _, i, m in got} == {("scrapes", "hacker_news-99", "missing date"), ("scrapes", None, "unreadable file")} and len(got) == 2
+    assert all(f and "shard=" in f for _, f, _, _ in got)

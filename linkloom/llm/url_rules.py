@@ -105,10 +105,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
     swept = settle(events.repartitionByRange("key", F.asc_nulls_first("page"))
                    .sortWithinPartitions("key", F.asc_nulls_first("page")))
     first = (swept.select(F.spark_partition_id().alias("part"), "key").groupBy("part").agg(F.min("key").alias("key")))
-    prefixes = first.select("part", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.substring(c("key"), F.lit(1), n))).alias("key"))
+    # Only prefixes as long as some rule: a path may have a million characters.
+    sizes = sorted(r[0] for r in starts.select(F.length("key")).distinct().collect())  # of rules, not of urls
+    shorter = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n < F.length("key"))
+    prefixes = first.select("part", F.explode(F.transform(shorter, lambda n: F.substring(c("key"), F.lit(1), n))).alias("key"))
     carried: dict[int, list[tuple]] = defaultdict(list)
-    for r in prefixes.where(c("key") != "").join(starts, "key").collect():  # partitions x key length at most
+    for r in prefixes.join(starts, "key").collect():  # the rules open at a partition's first key
         carried[r.part].append((r["key"], r.rule))
     found = swept.mapInPandas(_sweep(dict(carried)), "page string, rule string")
     best = (found.select("page", F.from_json("rule", "size int, host_size int, rule string, verdict string").alias("r"))

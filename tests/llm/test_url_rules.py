@@ -64,11 +64,12 @@ def test_query(spark, sf):
 
 def test_odd_rows(spark):
     rules = spark.createDataFrame([("COM", None, "block"), ("com", "", "allow"), (None, "/", "block"), ("", "/", "block")], RULES)
-    pages = spark.createDataFrame([(1, "http://x.com/a"), (1, "http://x.com/a"), (None, "http://x.com/a"), (2, None), (3, "http://" + "l." * 300 + "com/" + "p" * 20_000)],
+    pages = spark.createDataFrame([(1, "http://x.com/a"), (1, "http://x.com/a"), (None, "http://x.com/a"), (2, None), (3, "http://" + "l." * 300 + "com/" + "p" * 20_000),
+                                   (4, "http://com/" + "p" * 1_000_000)],
                                   "page_id LONG, url STRING").withColumn("host", F.lit("old")).withColumn("key", F.lit(1)).withColumn("_h", F.lit(2))
     got = judge(pages, rules, default="block")
     assert got.columns == ["page_id", "url", "key", "_h", "host", "path", "rule", "verdict"]
     rows = got.collect()
-    assert len(rows) == 5 and all(r.rule == ("com" if r.url else None) and r.verdict == "block" for r in rows)
+    assert len(rows) == 6 and all(r.rule == ("com" if r.url else None) and r.verdict == "block" for r in rows)
     assert {r.verdict for r in judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert judge(pages.limit(0), rules).count() == 0

@@ -23,7 +23,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template.
@@ -85,22 +85,20 @@ def swapped_answers(conversations: DataFrame, conv_id: str = "conv_id", turn: st
     """Pairs from plain conversations: each one is chosen; its rejected twin has the last answer
     of the conversation whose id differs in the lowest bit in place of its own last answer.
 
-    A conversation's last answer is its assistant turn with the highest (turn, text); other
-    turns from that number on are in neither, turns without a number are common ones. Without
-    an own answer all turns are the prompt's; without a partner's answer the rejected side ends
-    with the common turns.
+    A conversation's last answer is its assistant turn with the highest (turn, text), a null
+    number being the lowest; of equal rows one. All its other turns, later ones too, are on
+    both sides. Without an own answer both sides are equal; without a partner's answer the
+    rejected side has the other turns only.
     """
     c = F.col
     rows = conversations.select(c(f"`{conv_id}`").alias("pair_id"), c(f"`{turn}`").alias("turn"), c(f"`{role}`").alias("role"),
                                 c(f"`{text}`").alias("text")).where(c("pair_id").isNotNull())
-    last = (rows.where(c("role") == LEARNED).groupBy("pair_id")
-            .agg(F.max(F.struct(c("turn"), F.coalesce("text", F.lit("")).alias("text"))).alias("_last")))
-    marked = rows.join(last, "pair_id", "left")
-    own = c("_last").isNull() | (c("turn") < c("_last.turn")) | c("turn").isNull()
-    shared = marked.where(own).select("pair_id", "turn", "role", "text", F.explode(F.array(*map(F.lit, SIDES))).alias("side"))
-    answer = last.select("pair_id", c("_last.turn").alias("turn"), F.lit(LEARNED).alias("role"), c("_last.text").alias("text"))
-    other = (last.select(c("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), c("_last.text").alias("text"))
-             .join(last.select("pair_id", c("_last.turn").alias("turn")), "pair_id")
-             .select("pair_id", "turn", F.lit(LEARNED).alias("role"), "text"))
-    return (shared.unionByName(answer.withColumn("side", F.lit("chosen")))
+    learned = F.coalesce(c("role") == LEARNED, F.lit(False))
+    order = Window.partitionBy("pair_id").orderBy(F.desc(learned), F.desc_nulls_last("turn"), F.desc(F.coalesce("text", F.lit(""))))
+    marked = rows.withColumn("_answer", learned & (F.row_number().over(order) == 1))
+    shared = marked.where(~c("_answer")).select("pair_id", "turn", "role", "text", F.explode(F.array(*map(F.lit, SIDES))).alias("side"))
+    last = marked.where("_answer").select("pair_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    other = (last.select(c("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "text")
+             .join(last.select("pair_id", "turn", "role"), "pair_id").select("pair_id", "turn", "role", "text"))
+    return (shared.unionByName(last.withColumn("side", F.lit("chosen")))
             .unionByName(other.withColumn("side", F.lit("rejected"))))

@@ -189,33 +189,35 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op5_chat_formatting", """
-WITH last AS (
-  SELECT conv_id, arg_max(turn, (turn, coalesce(text, ''))) AS turn, max((turn, coalesce(text, '')))[2] AS text
-  FROM conversations WHERE role = 'assistant' GROUP BY 1),
-common AS (
-  SELECT c.conv_id, list(struct_pack(role := coalesce(c.role, 'unknown'), text := coalesce(c.text, ''))
-                         ORDER BY c.turn, c.role, c.text) AS turns
-  FROM conversations c LEFT JOIN last l USING (conv_id)
-  WHERE l.conv_id IS NULL OR c.turn < l.turn OR c.turn IS NULL GROUP BY 1),
-ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
-answers AS (
-  SELECT i.conv_id AS pair_id, coalesce(c.turns, []) AS turns, a.text AS chosen, CASE WHEN a.text IS NOT NULL THEN b.text END AS rejected
-  FROM ids i LEFT JOIN common c USING (conv_id) LEFT JOIN last a USING (conv_id) LEFT JOIN last b ON b.conv_id = xor(i.conv_id, 1)),
-split AS (
-  SELECT pair_id, turns, chosen = rejected AS same, chosen, rejected FROM answers),
-body AS (
-  SELECT pair_id, len(turns) + (CASE WHEN same THEN 1 ELSE 0 END) AS prompt_turns,
-         coalesce(list_aggregate(list_transform(turns, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)),
-                                 'string_agg', ''), '')
-         || CASE WHEN same THEN '<|assistant|>' || chr(10) || chosen || '<|end|>' || chr(10) ELSE '' END AS prompt,
-         CASE WHEN same THEN NULL ELSE chosen END AS c, CASE WHEN same THEN NULL ELSE rejected END AS r FROM split)
-SELECT pair_id, prompt_turns::INTEGER AS prompt_turns, prompt,
-       (c IS NOT NULL)::INTEGER AS chosen_turns, coalesce('<|assistant|>' || chr(10) || c || '<|end|>' || chr(10), '') AS chosen,
-       CASE WHEN c IS NULL THEN '' ELSE '14:' || (14 + length(c) + 8) END AS chosen_mask,
-       (r IS NOT NULL)::INTEGER AS rejected_turns, coalesce('<|assistant|>' || chr(10) || r || '<|end|>' || chr(10), '') AS rejected,
-       CASE WHEN r IS NULL THEN '' ELSE '14:' || (14 + length(r) + 8) END AS rejected_mask,
-       (c IS NOT NULL OR r IS NOT NULL) AS differs
-FROM body
+WITH marked AS (
+  SELECT *, coalesce(role = 'assistant', false) AND row_number() OVER (
+           PARTITION BY conv_id ORDER BY coalesce(role = 'assistant', false) DESC, turn DESC NULLS LAST, coalesce(text, '') DESC) = 1 AS answer
+  FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM marked WHERE answer),
+sides AS (
+  SELECT conv_id AS pair_id, side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM marked, (VALUES ('chosen'), ('rejected')) v(side) WHERE NOT answer
+  UNION ALL SELECT conv_id, 'chosen', turn, 'assistant', text FROM last
+  UNION ALL SELECT a.conv_id, 'rejected', a.turn, 'assistant', b.text FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS LAST, role, text) AS p FROM sides),
+apart AS (
+  SELECT pair_id, coalesce(min(p) FILTER (role IS DISTINCT FROM role_1 OR text IS DISTINCT FROM text_1), max(p) + 1) - 1 AS n
+  FROM (SELECT pair_id, p, role, text FROM placed WHERE side = 'chosen') c
+  FULL JOIN (SELECT pair_id, p, role AS role_1, text AS text_1 FROM placed WHERE side = 'rejected') r USING (pair_id, p) GROUP BY pair_id),
+shown AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS t FROM placed JOIN apart USING (pair_id)),
+after AS (
+  SELECT *, sum(length(t)) OVER (PARTITION BY pair_id, side ORDER BY p) - length(t) AS at FROM shown WHERE p > n),
+rest AS (
+  SELECT pair_id, side, count(*) AS turns, string_agg(t, '' ORDER BY p) AS body,
+         string_agg((at + length(role) + 5)::BIGINT || ':' || (at + length(t))::BIGINT, ',' ORDER BY p) FILTER (role = 'assistant') AS mask
+  FROM after GROUP BY pair_id, side),
+prompts AS (SELECT pair_id, count(*) AS turns, string_agg(t, '' ORDER BY p) AS body FROM shown WHERE side = 'chosen' AND p <= n GROUP BY 1)
+SELECT a.pair_id, coalesce(p.turns, 0)::INTEGER AS prompt_turns, coalesce(p.body, '') AS prompt,
+       coalesce(c.turns, 0)::INTEGER AS chosen_turns, coalesce(c.body, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+       coalesce(r.turns, 0)::INTEGER AS rejected_turns, coalesce(r.body, '') AS rejected, coalesce(r.mask, '') AS rejected_mask,
+       (c.turns IS NOT NULL OR r.turns IS NOT NULL) AS differs
+FROM apart a LEFT JOIN prompts p USING (pair_id) LEFT JOIN rest c ON c.pair_id = a.pair_id AND c.side = 'chosen'
+LEFT JOIN rest r ON r.pair_id = a.pair_id AND r.side = 'rejected'
 """)
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = preference.swapped_answers(table(spark, sf_dir, "conversations"))

@@ -1,6 +1,7 @@
 """Rendered pairs against plain Python."""
 import random
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -54,11 +55,17 @@ def test_query_covers_every_conversation(spark, sf):
     got = queries.QUERIES["op5_chat_formatting"](spark, sf).toPandas()
     turns = pd.read_parquet(f"{sf}/conversations.parquet")
     assert sorted(got.pair_id) == sorted(turns.conv_id.unique())
+    several = 0
     for r in got.itertuples():
         mine = turns[turns.conv_id == r.pair_id].sort_values("turn")
-        upto = mine[mine.role == "assistant"].turn.max()
-        mine = mine[mine.turn <= upto] if upto == upto else mine
         assert r.prompt + r.chosen == show(zip(mine.role, mine.text))
+        several += r.chosen_turns > 1
+    assert several >= 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = con.sql(queries.TWINS["op5_chat_formatting"]).df()
+    order = sorted(got.columns)
+    assert sorted(map(tuple, got[order].values)) == sorted(map(tuple, want[order].values))
 
 
 def test_odd_rows(spark):
@@ -76,6 +83,8 @@ def test_odd_rows(spark):
     convs = spark.createDataFrame([(0, None, "user", "a"), (0, 1, "assistant", None), (1, 0, "assistant", "b"), (1, 0, "assistant", "b"),
                                    (7, 0, None, "c"), (None, 0, "user", "d")], "conv_id LONG, turn LONG, role STRING, text STRING")
     got = {r.pair_id: r for r in format_preferences(swapped_answers(convs)).collect()}
+    # Of two equal last answers one is swapped.
+    assert got[1].rejected_turns == 2 and got[1].chosen_turns == 2 and got[1].prompt_turns == 0
     assert set(got) == {0, 1, 7} and got[0].rejected.startswith("<|assistant|>\nb<|end|>\n") and got[7].prompt_turns == 1
     assert swapped_answers(convs.limit(0)).count() == 0
 

@@ -11,11 +11,13 @@ with n the context's occurrences and d its distinct successors; an unseen contex
 escape, and the empty context escapes to 1/256. A text belongs to the language that codes
 its bytes, letter case folded, most briefly.
 
-The context trees are cut so that the model stays bounded: nodes of the deepest level that
-occur less than ``least`` times go, and each language keeps ``nodes`` / languages of its most
-frequent ones. That is a model size, not a sample: all training texts are counted. The code
-lengths of all kept nodes under all languages form one table; a byte is one hash lookup in it,
-and only contexts outside the table take the escapes step by step.
+All counted nodes are the model; none is cut, so it grows with what the corpus holds. It is a
+written table. While it has few nodes (counted first) it is broadcast: the code lengths of
+all deepest nodes under all languages form one table, a byte is one hash lookup in it, and only
+contexts outside the table take the escapes step by step. A larger model is dealt by the two
+bytes before the coded one, which contexts of three and of two bytes share; texts' windows,
+counted per text first, come to its parts, and their code lengths are added up per text. Both
+ways give the same lengths.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; null
 languages are not learned; without any training text everything is ``und``; repeated rows
@@ -25,6 +27,7 @@ are learned as often as they occur and predicted alike; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from linkloom.llm.common import settle, small_batches
+from linkloom.llm.common import partitions, small_batches, stored
 
 ORDER = 3
-NODES = 600_000
-LEAST = 2
+#: A model of this many (node, language) pairs at most is broadcast (some 150 MB in a task).
+BROADCAST_NODES = 12_000_000
+#: Nodes of a part of a larger model.
+PART_NODES = 1_000_000
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
@@ -101,43 +106,44 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from rows()
 
 
-def statistics(training: DataFrame, lang: str = "lang", text: str = "text", nodes: int = NODES,
-               least: int = LEAST) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Per language and order (3 to 0) the context-and-byte keys and their counts."""
+@dataclass
+class Statistics:
+    """Frozen counts: (lang, o, gram, n) for the orders 3 and 2, a written table, and the orders 1 and 0
+    of each language (65,792 nodes at most) as sorted keys and counts."""
+    langs: list[str]
+    nodes: DataFrame
+    low: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
+    deepest: int
+    size: int
+
+    @property
+    def small(self) -> bool:
+        return max(self.size, self.deepest * len(self.langs)) <= BROADCAST_NODES
+
+
+def _levels(got: pd.DataFrame, name: str, orders: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for o in orders:
+        part = got[(got["lang"] == name) & (got["o"] == o)].sort_values("gram")
+        out[o] = part["gram"].to_numpy(dtype=np.int64), part["n"].to_numpy(dtype=np.float64)
+    return out
+
+
+def statistics(training: DataFrame, lang: str = "lang", text: str = "text") -> Statistics:
     small_batches(training.sparkSession)
     c = F.col
     rows = training.select(c(f"`{lang}`").alias("lang"), c(f"`{text}`").cast("string").alias("text")).dropna()
-    counted = (rows.mapInPandas(_count, "lang string, gram long, n long")
-               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    deep = settle(counted)
-    # How frequent a node must be for its language to keep its share: from counts per
-    # half-octave of frequency, some 120 rows a language.
-    step = F.floor(2 * F.log2("n")).cast("int")
-    shape = deep.where(c("n") >= least).groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()
-    langs = sorted({r["lang"] for r in deep.select("lang").distinct().collect()})
-    floor: dict[str, int] = {}
-    for name in langs:
-        room, floor[name] = nodes // len(langs), 0
-        for r in sorted((r for r in shape if r["lang"] == name), key=lambda r: -r.step):
-            room -= r.k
-            if room < 0:
-                floor[name] = r.step + 1
-                break
-    limit = F.coalesce(*[F.when(c("lang") == k, F.lit(v)) for k, v in floor.items()]) if floor else F.lit(0)
-    shallow = deep.select("lang", "n", F.explode(F.array(*[
-        F.struct(F.lit(o).alias("o"), c("gram").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1)).alias("gram"))
-        for o in (2, 1, 0)])).alias("x")).groupBy("lang", "x.o", "x.gram").agg(F.sum("n").alias("n"))
-    # Lower orders are cut like the deepest one: by the same frequency.
-    kept = (deep.select("lang", F.lit(3).alias("o"), "gram", "n").where((c("n") >= least) & (step >= limit))
-            .union(shallow.where((c("o") < 2) | ((c("n") >= least) & (step >= limit)))))
-    got = kept.toPandas()  # the model: bounded by ``nodes``
-    out: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for name in langs:
-        out[name] = {}
-        for o in range(ORDER + 1):
-            part = got[(got["lang"] == name) & (got["o"] == o)].sort_values("gram")
-            out[name][o] = part["gram"].to_numpy(dtype=np.int64), part["n"].to_numpy(dtype=np.float64)
-    return out
+    deep = stored(rows.mapInPandas(_count, "lang string, gram long, n long")
+                  .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    shorter = lambda o: F.struct(F.lit(o).alias("o"), c("gram").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1)).alias("gram"))
+    shallow = stored(deep.select("lang", "n", F.explode(F.array(*map(shorter, (2, 1, 0)))).alias("x"))
+                     .groupBy("lang", "x.o", "x.gram").agg(F.sum("n").alias("n")), "short-grams")
+    low = shallow.where("o < 2").toPandas()  # 65,792 nodes a language at most
+    langs = sorted(low["lang"].unique())
+    second = shallow.where("o = 2")
+    nodes = deep.select("lang", F.lit(3).alias("o"), "gram", "n").unionByName(second)
+    return Statistics(langs, nodes, {x: _levels(low, x, (1, 0)) for x in langs}, deep.select("gram").distinct().count(),
+                      deep.count() + second.count())
 
 
 class ContextTree:
@@ -257,15 +263,23 @@ class Model:
         return out
 
 
-def learn(training: DataFrame, lang: str = "lang", text: str = "text", nodes: int = NODES, least: int = LEAST) -> Model:
-    return Model(statistics(training, lang, text, nodes, least))
+def learn(training: DataFrame, lang: str = "lang", text: str = "text") -> Statistics:
+    return statistics(training, lang, text)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def whole_model(stats: Statistics) -> Model:
+    """All code lengths in one place; for models that are ``small``."""
+    got = stats.nodes.toPandas()
+    return Model({x: stats.low[x] | _levels(got, x, (3, 2)) for x in stats.langs})
+
+
+def identify(docs: DataFrame, stats: Statistics, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns with lang_pred and score; only the text is looked at."""
+    if not stats.small:
+        return _identify_in_parts(docs, stats, keep, text)
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the model's ``nodes``
+    shared = spark.sparkContext.broadcast(whole_model(stats))  # its size was counted
 
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score"])
@@ -274,3 +288,75 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     rows = docs.select(*[F.col(f"`{x}`") for x in keep],
                        guess.asNondeterministic()(F.col(f"`{text}`").cast("string")).alias("_g"))
     return rows.select(*[F.col(f"`{x}`") for x in keep], "_g.lang_pred", "_g.score")
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(row, gram, times) of every text with a letter; a long text piece by piece."""
+    for batch in batches:
+        out, size = [], 0
+        for row, text in zip(batch["row"].tolist(), batch["text"]):
+            if not text or not _LETTER.search(text):
+                continue
+            data = np.frombuffer(_PAD + encoded(text), dtype=np.uint8)
+            for at in range(0, len(data) - ORDER, 1 << 20):
+                keys, n = np.unique(grams(data[at:at + (1 << 20) + ORDER]), return_counts=True)
+                out.append(pd.DataFrame({"row": row, "gram": keys.astype(np.int64), "times": n}))
+                size += len(keys)
+                if size > 200_000:
+                    yield pd.concat(out, ignore_index=True)
+                    out, size = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _identify_in_parts(docs: DataFrame, stats: Statistics, keep: list[str], text: str) -> DataFrame:
+    spark, c = docs.sparkSession, F.col
+    small_batches(spark)
+    # The texts are numbered in a table of their own, so that a number stays with its row.
+    rows = stored(docs.select(*[c(f"`{x}`").alias(f"keep{i}") for i, x in enumerate(keep)], c(f"`{text}`").cast("string").alias("text"))
+                  .withColumn("row", F.monotonically_increasing_id()), "texts")
+    parts = max(1, -(-stats.size // PART_NODES))
+    part = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts)).cast("int").alias("part")
+    place = {x: i for i, x in enumerate(stats.langs)}
+    number = F.coalesce(*[F.when(c("lang") == x, F.lit(i)) for x, i in place.items()])
+    none = lambda x, t: F.lit(None).cast(t).alias(x)
+    model = stats.nodes.select(part, F.lit(0).alias("kind"), number.alias("lang"), "o", "gram", "n", none("row", "bigint"))
+    asked = rows.select("row", "text").mapInPandas(_windows, "row bigint, gram bigint, times bigint").select(
+        part, none("lang", "int"), none("o", "int"), "gram", c("times").alias("n"), "row")
+    # A frequent pair of bytes has many windows; each part's windows are cut over several tasks,
+    # which all read the part's nodes.
+    cuts = max(1, partitions(spark) // parts)
+    cut = F.pmod(F.xxhash64("row"), F.lit(cuts)).cast("int").alias("cut")
+    model = model.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    asked = asked.withColumn("kind", F.lit(1)).withColumn("cut", cut)
+    both = (model.unionByName(asked).withColumn("task", c("part") * cuts + c("cut"))
+            .repartitionById(parts * cuts, c("task")).sortWithinPartitions("kind"))
+    low = spark.sparkContext.broadcast([stats.low[x] for x in stats.langs])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes: list[pd.DataFrame] = []
+        trees: list[ContextTree] = []
+        for batch in batches:
+            mine = batch[batch["kind"] == 0]
+            if len(mine):
+                nodes.append(mine[["lang", "o", "gram", "n"]])
+            here = batch[batch["kind"] == 1]
+            if not len(here):
+                continue
+            if not trees:
+                got = pd.concat(nodes) if nodes else mine
+                trees, nodes = [ContextTree(x | _levels(got, k, (3, 2))) for k, x in enumerate(low.value)], []
+            keys, at = np.unique(here["gram"].to_numpy(dtype=np.int64), return_inverse=True)
+            names, text_of = np.unique(here["row"].to_numpy(dtype=np.int64), return_inverse=True)
+            for k, tree in enumerate(trees):
+                bits = np.bincount(text_of, weights=tree.bits(keys)[at] * here["n"].to_numpy(dtype=np.float64))
+                yield pd.DataFrame({"row": names, "lang": k, "bits": bits})
+
+    sums = both.mapInPandas(run, "row bigint, lang int, bits double").groupBy("row", "lang").agg(F.sum("bits").alias("bits"))
+    best = sums.groupBy("row").agg(F.min(F.struct("bits", "lang")).alias("best"), F.collect_list("bits").alias("all"))
+    share = F.aggregate("all", F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.greatest(c("best.bits") - b, F.lit(-1000.0))))
+    names = F.array(*[F.lit(x) for x in stats.langs])
+    told = best.select(c("row").alias("_row"), names[c("best.lang")].alias("lang_pred"), (1 / share).alias("score"))
+    return (rows.join(told, c("row") == c("_row"), "left")
+            .select(*[c(f"keep{i}").alias(x) for i, x in enumerate(keep)],
+                    F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score")))

@@ -1,5 +1,6 @@
 """Code lengths against a byte-by-byte model; held-out accuracy."""
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -13,18 +14,13 @@ from linkloom.llm import langid, queries
 class Plain:
     """PPM with method C, one byte at a time."""
 
-    def __init__(self, texts, least):
+    def __init__(self, texts):
         self.counts = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
         for t in texts:
             d = b"\n\n\n" + (t or "").lower().encode()
             for k in range(3, len(d)):
                 for o in range(4):
                     self.counts[o][d[k - o:k]][d[k]] += 1
-        for o in (2, 3):
-            for c in list(self.counts[o]):
-                self.counts[o][c] = {b: n for b, n in self.counts[o][c].items() if n >= least}
-                if not self.counts[o][c]:
-                    del self.counts[o][c]
 
     def bits(self, order, context, byte):
         if order < 0:
@@ -44,12 +40,12 @@ class Plain:
 
 def test_exact_code_lengths(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
-    model = langid.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = langid.whole_model(langid.learn(spark.read.parquet(f"{sf}/documents.parquet")))
     assert model.langs == sorted(docs.lang.unique())
     texts = [*docs.text[:6], "äöü ßÿ \x00 日本語 zzzqqq", "a", "never seen: ÞÆØ"]
     got = model.lengths([langid.encoded(t) for t in texts], chunk=700)  # chunks end inside texts
     for k, name in enumerate(model.langs):
-        plain = Plain(docs.text[docs.lang == name], 2)
+        plain = Plain(docs.text[docs.lang == name])
         for i, t in enumerate(texts):
             assert got[i, k] == pytest.approx(plain.length(t), rel=1e-6)
 
@@ -66,14 +62,33 @@ def test_held_out_accuracy(spark, sf):
 
 def test_only_the_training_fold_is_learned(make_docs):
     rows = make_docs([(i, "abc abc" if i % 2 else "xyz xyz", "aa" if i % 2 else "xx", "s") for i in range(8)])
-    model = langid.learn(rows.where("lang = 'aa'"))
+    model = langid.whole_model(langid.learn(rows.where("lang = 'aa'")))
     assert model.langs == ["aa"] and model.predict(["xyz"])[0][0] == "aa"
 
 
-def test_a_small_model_keeps_the_frequent_nodes(make_docs):
-    docs = make_docs([(1, "abcd " * 400 + "".join(chr(97 + i * j % 26) for i in range(40) for j in range(9)), "aa", "s")])
-    model = langid.learn(docs, nodes=12)
-    assert 0 < len(model.keys) <= 12 and model.lengths([b"abcd abcd"])[0, 0] < model.lengths([b"qxzj qxzj"])[0, 0]
+def test_forty_languages_in_parts(make_docs, odd, monkeypatch):
+    """A model dealt over parts, against one of all counts; no language is cut."""
+    rng = random.Random(3)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklm nopqrstuvwxyzé") for _ in range(6)) for _ in range(30)] for k in range(40)}
+    rows = [(40 * i + k, " ".join(rng.choice(words[x]) for _ in range(40)), x, "s") for i in range(3) for k, x in enumerate(words)]
+    docs = make_docs(rows)
+    stats = langid.learn(docs)
+    asked = make_docs([(1000 + k, " ".join(rng.choice(w) for _ in range(12)), None, "s") for k, w in enumerate(words.values())])
+    asked = asked.unionByName(odd)
+    whole = {tuple(r)[:2]: r.score for r in langid.identify(asked, stats, ["doc_id"]).collect()}
+    assert stats.small
+    monkeypatch.setattr(langid, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(langid, "PART_NODES", 5000)
+    got = langid.identify(asked.withColumn("row", F.lit(1)).withColumn("score", F.lit(2)), stats, ["doc_id"]).collect()
+    assert not stats.small and len(got) == asked.count()
+    assert {tuple(r)[:2] for r in got} == set(whole) and all(abs(whole[tuple(r)[:2]] - r.score) < 1e-3 for r in got if r.doc_id and r.doc_id >= 1000)
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id or 0) if r.doc_id and r.doc_id >= 1000] == list(words)
+    plain = {x: Plain([t for _, t, y, _ in rows if y == x]) for x in words}
+    text = asked.where("doc_id = 1005").first().text
+    bits = {x: p.length(text) for x, p in plain.items()}
+    want = 1 / sum(2 ** max(-1000, min(bits.values()) - b) for b in bits.values())
+    assert [r.score for r in got if r.doc_id == 1005][0] == pytest.approx(want, rel=1e-6) and min(bits, key=bits.get) == "l05"
+    assert langid.identify(asked.limit(0), stats, ["doc_id"]).count() == 0
 
 
 def test_odd_rows(odd, none):
@@ -83,7 +98,7 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count()
     assert {(r.lang_pred, r.score) for r in got if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
     assert {r.lang_pred for r in got if r.doc_id == 8} == {"de"}
-    assert model.predict(["123 ?!"]) == [("und", 0.0)]
+    assert langid.whole_model(model).predict(["123 ?!"]) == [("und", 0.0)]
     empty = langid.learn(none)
     assert {r.lang_pred for r in langid.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
     assert langid.identify(none, model, ["doc_id"]).count() == 0

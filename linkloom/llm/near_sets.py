@@ -13,8 +13,8 @@ more, by prefix filtering and an exact check.
    key shares none of its keys beyond those counted, so both together share at most the
    counted keys and what follows the keys of one. First, each key links only neighbours by size, which are checked; what is then in one component
    needs no more links. Second, all candidates of a key that lie in different components are
-   checked. Large groups of near copies so need few pairs. A key that still has more than
-   ``CROWD`` nodes is split, exactly: similar sets share at least l of their first
+   checked. Large groups of near copies so need few pairs. A key whose nodes would still meet more than
+   ``CROWD`` nodes of other components each is split, exactly: similar sets share at least l of their first
    n - ceil(p * n) + l shingles, so its nodes are dealt again by their next shingle in the order,
    up to ``DEPTH`` shingles together. No key makes all pairs of a crowd that shares one passage.
 
@@ -38,7 +38,8 @@ from linkloom.llm.common import settle, sized, small_batches, stored
 SEED = 42
 #: Cells that shingles are counted in, and the cells of a row when counts are added up.
 CELLS, ROW = 1 << 20, 4096
-#: A key of more nodes, of several components, is split by further shingles, up to so many together.
+#: A key whose nodes meet more nodes of other components is split by further shingles, up to so
+#: many together.
 CROWD, DEPTH = 100, 4
 #: Nodes a task remembers, so that it gives out copies once; others are merged later.
 REMEMBERED = 200_000
@@ -192,10 +193,12 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     found = found.select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.array("key").alias("path"))
 
     def apart(rows: DataFrame) -> DataFrame:
-        """Only keys of several components, with their numbers of nodes."""
-        return (rows.withColumns({"_low": F.min("root").over(by_key), "_high": F.max("root").over(by_key),
-                                  "_all": F.count(F.lit(1)).over(by_key)})
-                .where("_low <> _high").drop("_low", "_high"))
+        """Only keys of several components, with how many nodes of other components a node of
+        the key meets there on average. A large group that is linked already meets few."""
+        rows = rows.withColumns({"_all": F.count(F.lit(1)).over(by_key),
+                                 "_own": F.count(F.lit(1)).over(Window.partitionBy("key", "root"))})
+        rows = rows.withColumn("_met", F.avg(c("_all") - c("_own")).over(by_key))
+        return rows.where("_met > 0").drop("_all", "_own")
 
     def split(rows: DataFrame, depth: int) -> DataFrame:
         """Crowded keys again, each by one more shingle that comes later in the order."""
@@ -233,8 +236,8 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
 
     found, pairs = settle(apart(found)), []
     for depth in range(2, DEPTH + 2):
-        crowded = found.where(c("_all") > CROWD) if depth <= DEPTH else found.limit(0)
-        few = found.where(c("_all") <= CROWD) if depth <= DEPTH else found
+        crowded = found.where(c("_met") > CROWD) if depth <= DEPTH else found.limit(0)
+        few = found.where(c("_met") <= CROWD) if depth <= DEPTH else found
         left, right = few.alias("l"), few.alias("r")
         pairs.append(left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
                                & fits(c("l.n"), c("r.n")))

@@ -11,8 +11,8 @@ more, by prefix filtering and an exact check.
    candidates there are, never which pairs are found.
 3. Candidates fit in size and share enough keys: whichever of two sets has the smaller last
    key shares none of its keys beyond those counted, so both together share at most the
-   counted keys and what follows the keys of one. First, each key links only neighbours by size, which are checked; what is then in one component
-   needs no more links. Second, all candidates of a key that lie in different components are
+   counted keys and what follows the keys of one. First, each key links only neighbours by size,
+   which are checked; what is then in one component needs no more links. Second, all candidates of a key that lie in different components are
    checked. Large groups of near copies so need few pairs. A key whose nodes would still meet more than
    ``CROWD`` nodes of other components each is split, exactly: similar sets share at least l of their first
    n - ceil(p * n) + l shingles, so its nodes are dealt again by their next shingle in the order,
@@ -117,7 +117,7 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
                     seen.add(name)
                 held.append(shingles(text, shingle) & (CELLS - 1))
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 250_000:
                     total += np.bincount(np.concatenate(held), minlength=CELLS)
                     held, size = [], 0
         if held:
@@ -139,7 +139,7 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
     out = np.zeros((CELLS // ROW, ROW), dtype=np.int64)
     for r in parts.collect():  # the cells, whatever the number of texts
         out[r["at"]] = r["n"]
-    return out.reshape(-1)
+    return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool = True) -> DataFrame:

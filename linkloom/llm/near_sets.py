@@ -40,7 +40,9 @@ SEED = 42
 CELLS, ROW = 1 << 20, 4096
 #: A key whose nodes meet more nodes of other components is split by further shingles, up to so
 #: many together.
-CROWD, DEPTH = 100, 4
+CROWD, DEPTH = 1000, 4
+#: Splitting a key gives its nodes a row per further shingle; it pays beyond so many pairs for each.
+SPLIT_COST = 10
 #: Nodes a task remembers, so that it gives out copies once; others are merged later.
 REMEMBERED = 200_000
 
@@ -197,7 +199,8 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
         the key meets there on average. A large group that is linked already meets few."""
         rows = rows.withColumns({"_all": F.count(F.lit(1)).over(by_key),
                                  "_own": F.count(F.lit(1)).over(Window.partitionBy("key", "root"))})
-        rows = rows.withColumn("_met", F.avg(c("_all") - c("_own")).over(by_key))
+        further = F.avg(c("n") * ((100 - percent) / 100) + 1).over(by_key)
+        rows = rows.withColumns({"_met": F.avg(c("_all") - c("_own")).over(by_key), "_more": further})
         return rows.where("_met > 0").drop("_all", "_own")
 
     def split(rows: DataFrame, depth: int) -> DataFrame:
@@ -236,8 +239,8 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
 
     found, pairs = settle(apart(found)), []
     for depth in range(2, DEPTH + 2):
-        crowded = found.where(c("_met") > CROWD) if depth <= DEPTH else found.limit(0)
-        few = found.where(c("_met") <= CROWD) if depth <= DEPTH else found
+        large = (c("_met") > CROWD) & (c("_met") > SPLIT_COST * c("_more")) if depth <= DEPTH else F.lit(False)
+        crowded, few = found.where(large), found.where(~large)
         left, right = few.alias("l"), few.alias("r")
         pairs.append(left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
                                & fits(c("l.n"), c("r.n")))

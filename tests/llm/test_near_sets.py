@@ -73,6 +73,7 @@ def test_neither_order_nor_crowds_decide_what_is_found(make_docs, monkeypatch):
     want = linked(near_sets.links(docs, "text", 5, 80).collect())
     assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
     monkeypatch.setattr(near_sets, "CROWD", 2)
+    monkeypatch.setattr(near_sets, "SPLIT_COST", 0)
     assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
 
 

@@ -12,11 +12,13 @@ more, by prefix filtering and an exact check.
 3. Candidates fit in size and share enough keys: whichever of two sets has the smaller last
    key shares none of its keys beyond those counted, so both together share at most the
    counted keys and what follows the keys of one. First, each key links only neighbours by size,
-   which are checked; what is then in one component needs no more links. Second, all candidates of a key that lie in different components are
-   checked. Large groups of near copies so need few pairs. A key whose nodes would still meet more than
+   which are checked; what is then in one component needs no more links. Second, all candidates of a key that lie in different components are paired where the key can be the first that they share: sets of n and m must share s = ceil(p * (n + m) / (1 + p)),
+   so it has at least s - 1 shingles behind it in both. Pairs are checked. Large groups of near copies so
+   need few pairs. A key whose nodes would still meet more than
    ``CROWD`` nodes of other components each is split, exactly: similar sets share at least l of their first
    n - ceil(p * n) + l shingles, so its nodes are dealt again by their next shingle in the order,
-   up to ``DEPTH`` shingles together. No key makes all pairs of a crowd that shares one passage.
+   up to ``DEPTH`` shingles together; the last of them has s - l shingles behind it. No key makes all pairs
+   of a crowd that shares one passage.
 
 Shingles are compared by their 64-bit hashes. A text with fewer words than a shingle is one
 shingle, and blank or null texts are one node.
@@ -155,9 +157,10 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     sent = docs.sparkSession.sparkContext.broadcast(_counts(texts, shingle) if counted else None)
 
     def emit(name: int, own: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"key": ordered(own, sent.value)[:prefix(len(own), percent)], "node": name, "n": len(own)})
+        keys = ordered(own, sent.value)[:prefix(len(own), percent)]
+        return pd.DataFrame({"key": keys, "node": name, "n": len(own), "at": np.arange(len(keys))})
 
-    cells = texts.mapInPandas(_once(shingle, emit), "key bigint, node bigint, n int")
+    cells = texts.mapInPandas(_once(shingle, emit), "key bigint, node bigint, n int, at int")
     by_key = Window.partitionBy("key")
     cells = cells.repartition("key").dropDuplicates(["key", "node"])
     # Keys of one node make no pair; the others are kept with their neighbour by size.
@@ -169,13 +172,12 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     def fits(n, m):
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    def checked(shared: DataFrame, crowded: bool = False) -> DataFrame:
-        """From one row (a, na, b, nb) per shared key. Where crowded keys were split, a pair's
-        shared keys are not all there to be counted."""
+    def checked(shared: DataFrame, least: bool = True) -> DataFrame:
+        """From one row (a, na, b, nb) per shared key; with ``least``, of pairs that have enough such rows."""
         behind = F.greatest(*[F.ceil(c(n) * percent / 100) - 1 for n in ("na", "nb")])
         enough = (c("k") + behind) * (100 + percent) >= (c("na") + c("nb")) * percent
         pairs = settle(shared.where(fits(c("na"), c("nb"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-                       .where(F.lit(crowded) | enough).select("a", "b"))
+                       .where(enough if least else F.lit(True)).select("a", "b"))
         wanted = settle(pairs.select(c("a").alias("_w")).union(pairs.select("b")).distinct())
         full = (texts.join(sized(wanted), c("node") == c("_w"), "left_semi")
                 .mapInPandas(_once(shingle, lambda name, own: pd.DataFrame({"node": [name], "own": [own]})),
@@ -186,64 +188,72 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
         common = F.size(F.array_intersect("x", "y"))
         return settle(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"))
 
-    # Neighbours by size are few per key, and need not be all; only the second step counts all keys.
+    # Neighbours by size are few per key, and need not be all; the second step finds the others.
     chain = checked(cells.where(c("_node").isNotNull())
                     .select(c("_node").alias("a"), c("_n").alias("na"), c("node").alias("b"), c("n").alias("nb")))
     roots = settle(components(chain))
-    found = cells.select("key", "node", "n").join(
+    found = cells.select("key", "node", "n", "at").join(
         sized(roots.select(c("fp").alias("_fp"), "root")), c("node") == c("_fp"), "left")
-    found = found.select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.array("key").alias("path"))
+    found = found.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
 
-    def apart(rows: DataFrame) -> DataFrame:
+    def apart(rows: DataFrame, depth: int) -> DataFrame:
         """Only keys of several components, with how many nodes of other components a node of
-        the key meets there on average. A large group that is linked already meets few."""
+        the key meets there on average, and how many rows it would have after a split. A large
+        group that is linked already meets few."""
         rows = rows.withColumns({"_all": F.count(F.lit(1)).over(by_key),
                                  "_own": F.count(F.lit(1)).over(Window.partitionBy("key", "root"))})
-        further = F.avg(c("n") * ((100 - percent) / 100) + 1).over(by_key)
+        further = F.avg(c("n") - F.ceil(c("n") * percent / 100) + depth - c("at")).over(by_key)
         rows = rows.withColumns({"_met": F.avg(c("_all") - c("_own")).over(by_key), "_more": further})
         return rows.where("_met > 0").drop("_all", "_own")
 
     def split(rows: DataFrame, depth: int) -> DataFrame:
         """Crowded keys again, each by one more shingle that comes later in the order."""
         # A node's crowded keys are some of its own first shingles.
-        asked = rows.groupBy("node", "root").agg(F.collect_list("path").alias("paths"))
-        asked = asked.select(c("node").alias("_w"), "root", "paths")
-        wanted = texts.join(sized(settle(asked)), c("node") == c("_w")).select("node", "text", "root", "paths")
+        asked = rows.groupBy("node", "root").agg(F.collect_list(F.struct("key", "at")).alias("keys"))
+        asked = asked.select(c("node").alias("_w"), "root", c("keys.key").alias("keys"), c("keys.at").alias("places"))
+        wanted = texts.join(sized(settle(asked)), c("node") == c("_w")).select("node", "text", "root", "keys", "places")
+        names = ["key", "node", "n", "at", "root"]
 
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[int] = set()
             for batch in batches:
                 out = []
-                for name, text, root, paths in zip(batch["node"].tolist(), batch["text"], batch["root"].tolist(), batch["paths"]):
+                for name, text, root, keys, places in zip(batch["node"].tolist(), batch["text"], batch["root"].tolist(),
+                                                          batch["keys"], batch["places"]):
                     if name in seen:
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(name)
                     own = ordered(shingles(text, shingle), sent.value)
-                    first = own[:prefix(len(own), percent, depth)].tolist()
-                    place = {x: i for i, x in enumerate(first)}
-                    for path in paths:
-                        path = list(path)
-                        for x in first[place[path[-1]] + 1:]:
-                            longer = [*path, x]
-                            key = xxhash.xxh64_intdigest(np.array(longer, dtype="<i8").tobytes(), SEED)
-                            out.append((key - (1 << 64) if key >> 63 else key, name, len(own), root, longer))
+                    first = own[:prefix(len(own), percent, depth)].astype("<i8")
+                    marks = [x.tobytes() for x in first]
+                    if len(own) < depth:  # similar sets this small are equal: they end alike
+                        marks.append(b"end")
+                    for key, at in zip(keys.tolist(), places.tolist()):
+                        head = key.to_bytes(8, "little", signed=True)
+                        for place in range(at + 1, len(marks)):
+                            longer = xxhash.xxh64_intdigest(head + marks[place], SEED)
+                            out.append((longer - (1 << 64) if longer >> 63 else longer, name, len(own), place, root))
                     if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=["key", "node", "n", "root", "path"])
+                        yield pd.DataFrame(out, columns=names)
                         out = []
                 if out:
-                    yield pd.DataFrame(out, columns=["key", "node", "n", "root", "path"])
+                    yield pd.DataFrame(out, columns=names)
 
-        dealt = wanted.mapInPandas(deal, "key bigint, node bigint, n int, root bigint, path array<bigint>")
-        return settle(apart(dealt.dropDuplicates(["key", "node"])))
+        dealt = wanted.mapInPandas(deal, "key bigint, node bigint, n int, at int, root bigint")
+        return stored(apart(dealt.dropDuplicates(["key", "node"]), depth), "near-sets-split")
 
-    found, pairs = settle(apart(found)), []
+    def early(side: str, depth: int):
+        """Whether enough shingles follow the last of the ``depth`` that the key stands for."""
+        return (c("l.n") + c("r.n")) * percent <= (c(f"{side}.n") + depth - 1 - c(f"{side}.at")) * (100 + percent)
+
+    found, pairs = stored(apart(found, 1), "near-sets-split"), []
     for depth in range(2, DEPTH + 2):
         large = (c("_met") > CROWD) & (c("_met") > SPLIT_COST * c("_more")) if depth <= DEPTH else F.lit(False)
         crowded, few = found.where(large), found.where(~large)
         left, right = few.alias("l"), few.alias("r")
         pairs.append(left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
-                               & fits(c("l.n"), c("r.n")))
+                               & fits(c("l.n"), c("r.n")) & early("l", depth - 1) & early("r", depth - 1))
                      .select(c("l.node").alias("a"), c("l.n").alias("na"), c("r.node").alias("b"), c("r.n").alias("nb")))
         if depth > DEPTH or crowded.isEmpty():
             break
@@ -251,4 +261,4 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     shared = pairs[0]
     for p in pairs[1:]:
         shared = shared.unionByName(p)
-    return chain.unionByName(checked(shared, len(pairs) > 1))
+    return chain.unionByName(checked(shared, least=False))

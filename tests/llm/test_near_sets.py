@@ -77,6 +77,22 @@ def test_neither_order_nor_crowds_decide_what_is_found(make_docs, monkeypatch):
     assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
 
 
+def test_small_equal_sets_outlast_the_splits(make_docs, monkeypatch):
+    """Two or three shingles in all, fewer than a split key stands for, in a crowd."""
+    texts = []
+    for p in range(6):
+        for period in (2, 3):
+            words = [f"p{p}q{period}r{k % period}" for k in range(12)]
+            texts += [words[:4 + period + k] for k in range(5)]
+            texts += [[*words[i:i + 5], f"own{p}x{period}x{i}x{k}"] for i in range(period) for k in range(8)]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
+    monkeypatch.setattr(near_sets, "CROWD", 0)
+    monkeypatch.setattr(near_sets, "SPLIT_COST", 0)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
+    assert got == components(texts)
+
+
 def test_a_phrase_of_all_texts_makes_no_pairs(spark, make_docs, monkeypatch):
     docs = make_docs([(i, " ".join([f"u{i}x{k}" for k in range(4)] + [f"common{k}" for k in range(5)] + [f"v{i}x{k}" for k in range(4)]), "en", "s")
                       for i in range(1500)])

@@ -12,9 +12,13 @@ more, by prefix filtering and an exact check.
 3. Candidates fit in size and share enough keys: whichever of two sets has the smaller last
    key shares none of its keys beyond those counted, so both together share at most the
    counted keys and what follows the keys of one. First, each key links only neighbours by size,
-   which are checked; what is then in one component needs no more links. Second, all candidates of a key that lie in different components are paired where the key can be the first that they share: sets of n and m must share s = ceil(p * (n + m) / (1 + p)),
-   so it has at least s - 1 shingles behind it in both. Pairs are checked. Large groups of near copies so
-   need few pairs. A key whose nodes would still meet more than
+   which are checked; what is then in one component needs no more links. Second, while that
+   still finds links, nodes of keys that meet many of other components are checked against the next few of
+   their key in a random order that changes from round to round, so that a large group of near copies becomes one component by a
+   few links a node. Third, all candidates of a key that lie in different components are paired where the key can be the first that they share: sets of n and m must share s = ceil(p * (n + m) / (1 + p)),
+   so it has at least s - 1 shingles behind it in both. Their bitmaps must allow it, too: a bitmap has the parity of a set's
+   members in each of 256 cells, so two of them differ in no more places than the sets have members of their own,
+   which are n + m - 2 s at most. Pairs are checked. A key whose nodes would still meet more than
    ``CROWD`` nodes of other components each is split, exactly: similar sets share at least l of their first
    n - ceil(p * n) + l shingles, so its nodes are dealt again by their next shingle in the order,
    up to ``DEPTH`` shingles together; the last of them has s - l shingles behind it. No key makes all pairs
@@ -45,6 +49,11 @@ CELLS, ROW = 1 << 20, 4096
 CROWD, DEPTH = 1000, 4
 #: Splitting a key gives its nodes a row per further shingle; it pays beyond so many pairs for each.
 SPLIT_COST = 10
+#: Rounds that link nodes with the next so many of a key, where a node meets more than so many.
+ROUNDS, NEXT, FEW = 2, 4, 8
+#: Cells of a bitmap, kept as words of 64 bits.
+BITS = 256
+BITMAP = [f"w{i}" for i in range(BITS // 64)]
 #: Nodes a task remembers, so that it gives out copies once; others are merged later.
 REMEMBERED = 200_000
 
@@ -88,6 +97,12 @@ def prefix(n: int, percent: int, shared: int = 1) -> int:
     return min(n, n - -(-percent * n // 100) + shared) if n else 0
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The parity of a set's members in each cell of their hashes' upper bits."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(40)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _once(shingle: int, emit: Callable[[int, np.ndarray], pd.DataFrame]):
     """For mapInPandas over (node, text): ``emit`` for the nodes a task has not seen yet."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,19 +256,65 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
                     yield pd.DataFrame(out, columns=names)
 
         dealt = wanted.mapInPandas(deal, "key bigint, node bigint, n int, at int, root bigint")
-        return stored(apart(dealt.dropDuplicates(["key", "node"]), depth), "near-sets-split")
+        return marked(stored(apart(dealt.dropDuplicates(["key", "node"]), depth), "near-sets-split"))
 
     def early(side: str, depth: int):
         """Whether enough shingles follow the last of the ``depth`` that the key stands for."""
         return (c("l.n") + c("r.n")) * percent <= (c(f"{side}.n") + depth - 1 - c(f"{side}.at")) * (100 + percent)
 
-    found, pairs = stored(apart(found, 1), "near-sets-split"), []
+    def alike(left: dict, right: dict):
+        """What bitmaps allow: no more differing places than members of one set alone."""
+        apart_ = sum((F.bit_count(left[w].bitwiseXOR(right[w])) for w in BITMAP), F.lit(0))
+        n = left["n"] + right["n"]
+        return apart_ <= n - 2 * F.ceil(n * percent / (100 + percent))
+
+    def bitmaps(rows: DataFrame) -> DataFrame:
+        wanted = sized(settle(rows.select(c("node").alias("_w")).distinct()))
+
+        def one(name: int, own: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"_b": [name], **dict(zip(BITMAP, bitmap(own).reshape(-1, 1)))})
+
+        got = texts.join(wanted, c("node") == c("_w"), "left_semi").mapInPandas(
+            _once(shingle, one), ", ".join(f"{x} bigint" for x in ["_b", *BITMAP]))
+        return sized(stored(got.dropDuplicates(["_b"]), "near-sets-bits"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.join(bits, c("node") == c("_b")).drop("_b")
+
+    found = stored(apart(found, 1), "near-sets-apart")
+    bits, more = bitmaps(found), []
+    found = marked(found)
+    for turn in range(ROUNDS):
+        mixed = by_key.orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        side = F.struct("node", "n", "at", "root", *BITMAP)
+        near = found.where(c("_met") > FEW).select(
+            side.alias("l"), F.array(*[F.lead(side, i).over(mixed) for i in range(1, NEXT + 1)]).alias("r"))
+        near = near.select("l", F.explode("r").alias("r"))
+        near = near.where(c("r").isNotNull() & (c("l.root") != c("r.root")) & fits(c("l.n"), c("r.n")) & early("l", 1) & early("r", 1)
+                          & alike(*[{x: c(f"{e}.{x}") for x in ["n", *BITMAP]} for e in "lr"]))
+        first = c("l.node") < c("r.node")
+        near = near.select(*[F.when(first, c(f"l.{x}")).otherwise(c(f"r.{x}")).alias(y) for x, y in (("node", "a"), ("n", "na"))],
+                           *[F.when(first, c(f"r.{x}")).otherwise(c(f"l.{x}")).alias(y) for x, y in (("node", "b"), ("n", "nb"))])
+        new = checked(near, least=False)
+        if new.isEmpty():
+            break
+        more.append(new)
+        # Links between components, named by their roots, join these to larger ones.
+        at = found.select("node", "root").distinct()
+        ends = [at.select(c("node").alias(x), c("root").alias(f"root_{x}")) for x in "ab"]
+        joined = components(new.join(ends[0], "a").join(ends[1], "b").select(c("root_a").alias("a"), c("root_b").alias("b")))
+        found = found.join(sized(joined.select(c("fp").alias("_fp"), c("root").alias("_to"))), c("root") == c("_fp"), "left")
+        found = found.withColumn("root", F.coalesce("_to", "root")).select("key", "node", "n", "at", "root", *BITMAP)
+        found = stored(apart(found, 1), "near-sets-apart")
+
+    pairs = []
     for depth in range(2, DEPTH + 2):
         large = (c("_met") > CROWD) & (c("_met") > SPLIT_COST * c("_more")) if depth <= DEPTH else F.lit(False)
         crowded, few = found.where(large), found.where(~large)
         left, right = few.alias("l"), few.alias("r")
         pairs.append(left.join(right, (c("l.key") == c("r.key")) & (c("l.node") < c("r.node")) & (c("l.root") != c("r.root"))
-                               & fits(c("l.n"), c("r.n")) & early("l", depth - 1) & early("r", depth - 1))
+                               & fits(c("l.n"), c("r.n")) & early("l", depth - 1) & early("r", depth - 1)
+                               & alike(*[{x: c(f"{e}.{x}") for x in ["n", *BITMAP]} for e in "lr"]))
                      .select(c("l.node").alias("a"), c("l.n").alias("na"), c("r.node").alias("b"), c("r.n").alias("nb")))
         if depth > DEPTH or crowded.isEmpty():
             break
@@ -261,4 +322,7 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     shared = pairs[0]
     for p in pairs[1:]:
         shared = shared.unionByName(p)
-    return chain.unionByName(checked(shared, least=False))
+    out = chain
+    for links_ in [*more, checked(shared, least=False)]:
+        out = out.unionByName(links_)
+    return out

@@ -1,6 +1,8 @@
 """Links by Jaccard similarity against all pairs."""
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from linkloom.llm import near_sets, simhash
 
@@ -77,6 +79,28 @@ def test_neither_order_nor_crowds_decide_what_is_found(make_docs, monkeypatch):
     assert linked(near_sets.links(docs, "text", 5, 80, counted=False).collect()) == want
 
 
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = random.Random(4)
+    for size in (1, 2, 7, 60, 700, 5000):
+        own = near_sets.shingles(" ".join(f"w{rng.random()}" for _ in range(size)), 1)
+        for gone in (0, 1, size // 10, size // 2):
+            other = near_sets.shingles(" ".join(f"x{rng.random()}" for _ in range(gone + 1)), 1)
+            other = np.unique(np.concatenate([own[gone:], other]))
+            apart = np.bitwise_count(near_sets.bitmap(own) ^ near_sets.bitmap(other)).sum()
+            assert apart <= len(np.setxor1d(own, other))
+
+
+def test_a_large_group_of_near_copies_needs_few_pairs(make_docs, monkeypatch):
+    """Every text with edits of its own: neighbours by size share too few keys to be linked."""
+    rng, base = random.Random(5), [f"g{k}" for k in range(120)]
+    texts = {i: " ".join(edited(rng, base, rng.randint(1, 3))) for i in range(500)}
+    docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
+    rows, write = [], near_sets.settle
+    monkeypatch.setattr(near_sets, "settle", lambda df: [out := write(df), rows.append(out.count())][0])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
+    assert max(rows) < 30 * 500 and got == components(texts)
+
+
 def test_small_equal_sets_outlast_the_splits(make_docs, monkeypatch):
     """Two or three shingles in all, fewer than a split key stands for, in a crowd."""
     texts = []

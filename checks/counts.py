@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from linkloom.operators import counts, ranking, search
 from linkloom.plans import front_page as fp
 from linkloom.plans import stories as st
+from linkloom.session import staged
 
 from .registry import CFG, query, r6, scrapes
 from .sqlbase import assemble, cte, month_label
-from .stories import SHOWN, stories_of
+from .stories import SHOWN, staged_stories, stories_of
 
 
 def big(*names):
@@ -151,8 +152,8 @@ def source_counts(spark, d):
         FROM best_ids WHERE story_id IN (SELECT story_id FROM hot) GROUP BY source, subsource""",
     "best_ids", "hot"))
 def metrics(spark, d):
-    stories = stories_of(spark, d)
-    hot = fp.front_page(stories, CFG)
+    stories = staged_stories(spark, d)
+    hot = staged(fp.front_page(stories, CFG), "hot")
     return counts.metrics(stories, hot, ranking.top_tags(hot, CFG.tags))
 
 

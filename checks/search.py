@@ -13,7 +13,7 @@ from linkloom.sources.derived import table
 
 from .registry import CFG, query, r6, scrapes
 from .sqlbase import assemble, cte, norm, story_id  # noqa: F401
-from .stories import stories_of
+from .stories import staged_stories, stories_of
 
 _TOK = (r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'),"
         r" lambda t: t <> '')")
@@ -73,7 +73,7 @@ def show(rows):
 
 
 def run(spark, d, kind, text, alt=None):
-    stories = stories_of(spark, d)
+    stories = staged_stories(spark, d)
     return show(search.run(stories, kind, text, alt, stories.agg(F.max("date")).scalar(), CFG))
 
 
@@ -141,7 +141,7 @@ cte("top_story", "SELECT * FROM stories ORDER BY score DESC, story_id LIMIT 1",
 @query("search_by_id", assemble(
     "SELECT story_id, title, host FROM top_story", "top_story"))
 def search_by_id(spark, d):
-    stories = stories_of(spark, d)
+    stories = staged_stories(spark, d)
     top = stories.orderBy(F.desc("score"), "story_id").select("story_id").first().story_id
     return joins.find_story(stories, top).select("story_id", "title", "host").limit(1)
 
@@ -162,7 +162,7 @@ bm25("rel_related", [], terms_sql=rf"""
        ORDER BY shard DESC, round(relevance, 9) DESC, date DESC, story_id LIMIT 30""",
     "rel_related", "stories"))
 def related(spark, d):
-    stories = stories_of(spark, d)
+    stories = staged_stories(spark, d)
     top = stories.orderBy(F.desc("score"), "story_id").limit(1).collect()[0]
     out = search.related(stories, top.title, [top.host, *top.tags], top.url, top.date)
     return show(out).drop("rank_score")
@@ -176,7 +176,7 @@ def related(spark, d):
 def story_page(spark, d):
     first = table(spark, d, "pages").where("page_id = 1").select("url").first()
     rows = scrapes(spark, d)
-    parts = page_of(st.build_stories(rows, CFG), st.story_links(rows, CFG), rows,
+    parts = page_of(staged_stories(spark, d), st.story_links(rows, CFG), rows,
                     first.url, "example.net", CFG)
     return (parts["stories"].select(F.lit("story").alias("part"), F.col("story_id").alias("id"))
             .unionByName(parts["scrapes"].select(

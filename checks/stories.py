@@ -12,6 +12,7 @@ from linkloom.plans import front_page as fp
 from linkloom.plans import rescore
 from linkloom.plans import stories as st
 
+from linkloom.session import staged
 from linkloom.sources.derived import table
 
 from .registry import CFG, joined, query, r6, scrapes, secs
@@ -22,6 +23,11 @@ def stories_of(spark, d):
     return st.build_stories(scrapes(spark, d), CFG)
 
 
+def staged_stories(spark, d):
+    """For queries that read the stories more than once."""
+    return staged(stories_of(spark, d), "stories")
+
+
 @query("front_page", assemble(
     """SELECT position, story_id, url, title, epoch(date)::BIGINT AS date_s,
               round(score, 6) AS score, round(aged_score, 6) AS aged_score,
@@ -333,7 +339,7 @@ def paged(spark, d):
                           ("title", "title"), ("order", "position"))), "hot"))
 def sorted_by(spark, d):
     """Every sort key; the place is the row's place in the sorted result."""
-    hot = fp.front_page(stories_of(spark, d), CFG)
+    hot = staged(fp.front_page(stories_of(spark, d), CFG), "hot")
     out = None
     for key in ranking.SORT_KEYS:
         # The hot set is one sorted partition here, so the id is the place.

@@ -68,7 +68,8 @@ def remove_edge_tags(title: Column) -> Column:
     t = F.trim(title)
     head = F.regexp_replace(t, r"^\[[A-Za-z]{1,9}\]", "")
     tail = F.regexp_replace(head, r"\[[A-Za-z]{1,9}\]$", "")
-    return F.when(F.trim(head) == "", t).when(F.trim(tail) == "", t).otherwise(F.trim(tail))
+    return (F.when(~t.contains("["), t).when(F.trim(head) == "", t).when(F.trim(tail) == "", t)
+            .otherwise(F.trim(tail)))
 
 
 def _before_last(text: Column, sep: str) -> tuple[Column, Column]:

@@ -4,7 +4,8 @@ Relevance is BM25 per field and month. A search names only a handful of terms, s
 hits is kept: the collection figures of just these terms, a row per month (65 536 at most), are
 broadcast, and one scan scores the rows against them. Over a stored table the figures come from
 its table of figures (``figures.py``), and the scan reads the months that can hold hits; for any
-other rows one aggregate over all of them finds the figures.
+other rows one aggregate over all of them finds the figures, so rows that are costly to compute
+should be staged first.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig, TagConfig
 from ..functions import text, urls
+from ..session import settled
 from . import tagging
 from .figures import figure
 
@@ -164,8 +166,11 @@ def relevance(stories: DataFrame, terms: list[Term], phrases: list[HostPhrase] =
         **tf, "_len_title": F.size("_t_title"), "_len_tags": F.size("_t_tags"),
         "_len_host": F.size(urls.host_tokens(F.col("host")))})
     hit = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in tf], F.lit(False))
-    figures = _figures_of(rows, tf, hit, most) if known is None else _as_table(stories, known, tf)
-    matched = rows.where(hit)
+    # One settled column decides: a filter over a column per term is pushed down to the title and the
+    # tags, which are taken apart again for each, and the optimizer's work doubles with every term.
+    rows = settled(rows.withColumn("_hit", hit).drop("_t_title", "_t_tags", "_host"))
+    figures = _figures_of(rows, tf, F.col("_hit"), most) if known is None else _as_table(stories, known, tf)
+    matched = rows.where("_hit")
     scored = matched.join(F.broadcast(figures), "shard")
 
     def part(name: str, column: str) -> Column:

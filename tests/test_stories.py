@@ -219,3 +219,18 @@ def test_pin(spark):
     assert hot[0].url == "http://e0.com" and hot[0].pinned and len(hot) == 5
     plain = ranking.hot_set(front, CFG).orderBy("position").collect()
     assert plain[0].url == "http://e4.com"
+
+
+def test_a_search_takes_titles_apart_once_however_many_terms(spark):
+    """The filter on hits must not repeat the work on titles and tags for each term."""
+    stories = spark.createDataFrame(
+        [(24000, "s1", "http://a.org/x", "a.org", "one two three four", datetime(2000, 1, 2), 1.0, ["web", "Go"]),
+         (24000, "s2", "http://b.org/x", "b.org", "unrelated", datetime(2000, 1, 3), 1.0, ["java"])],
+        "shard INT, story_id STRING, url STRING, host STRING, title STRING, date TIMESTAMP, score DOUBLE, tags ARRAY<STRING>")
+
+    def plan(words):
+        found = search.related(stories, " ".join(words), ["web"], max_count=5)
+        return found, found._jdf.queryExecution().optimizedPlan().toString()
+    few, many = plan(["one", "two"]), plan(["one", "two", *[f"w{i}" for i in range(20)]])
+    assert few[1].count("split(lower(title") == many[1].count("split(lower(title")
+    assert [r.story_id for r in many[0].collect()] == ["s1"]

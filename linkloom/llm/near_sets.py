@@ -161,8 +161,12 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
-def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool = True) -> DataFrame:
-    """(a, b): nodes with similar sets, enough of them to connect all that are connected."""
+def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool = True,
+          given: DataFrame | None = None) -> DataFrame:
+    """(a, b): nodes with similar sets, enough of them to connect all that are connected.
+
+    ``given`` are candidates (a, na, b, nb) found in another way, na and nb the sizes of their sets;
+    they are checked first, and what they connect needs no more links."""
     from linkloom.llm.simhash import components
 
     c = F.col
@@ -206,6 +210,8 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
     # Neighbours by size are few per key, and need not be all; the second step finds the others.
     chain = checked(cells.where(c("_node").isNotNull())
                     .select(c("_node").alias("a"), c("_n").alias("na"), c("node").alias("b"), c("n").alias("nb")))
+    if given is not None:
+        chain = chain.unionByName(checked(given, least=False))
     roots = settle(components(chain))
     found = cells.select("key", "node", "n", "at").join(
         sized(roots.select(c("fp").alias("_fp"), "root")), c("node") == c("_fp"), "left")

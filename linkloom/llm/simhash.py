@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from linkloom.llm import near_sets
-from linkloom.llm.common import partitions, settle, small_batches, whole_row, with_row
+from linkloom.llm.common import partitions, settle, sized, small_batches, stored, whole_row, with_row
 
 RADIUS = 3
 SHINGLE = 3
@@ -52,7 +52,11 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *(ends[:len(words) - k] + 1).tolist()]
     stops = ends[k - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
     half, sums = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at:at + 4096].view(np.uint8).reshape(-1, 8)
@@ -231,6 +235,31 @@ def components(edges: DataFrame) -> DataFrame:
         state = after.select("fp", "root")
 
 
+def candidates(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(a, na, b, nb): nodes of ``near_sets`` and the sizes of their sets, whose fingerprints lie
+    within the radius, enough of them to connect all that are connected. The fingerprint is that
+    of the set of shingles; nodes with one fingerprint hang at its smallest node."""
+    def emit(name: int, own: np.ndarray) -> pd.DataFrame:
+        fp = np.array([majority(own.astype("<i8").view("<u8"))], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": [name], "n": [len(own)], "fp": fp})
+
+    plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    prints = stored(plain.select(near_sets.nodes(F.col("text")).alias("node"), "text")
+                    .mapInPandas(near_sets._once(shingle, emit), "node bigint, n int, fp bigint")
+                    .dropDuplicates(["node"]), "prints")
+    firsts = settle(prints.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
+    few = sized(firsts.select(F.col("fp").alias("_fp"), "first"))
+    alike = (prints.join(few, (F.col("fp") == F.col("_fp")) & (F.col("node") != F.col("first.node")))
+             .select(F.col("first.node").alias("a"), F.col("first.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
+    found = settle(links(firsts.select("fp")))
+    for end in "ab":
+        found = found.join(few.select(F.col("_fp").alias(f"_{end}"), F.col("first").alias(f"_first_{end}")), F.col(end) == F.col(f"_{end}"))
+    near = found.select(*[F.col(f"_first_{x}.{y}").alias(z) for x, y, z in (("a", "node", "a"), ("a", "n", "na"), ("b", "node", "b"), ("b", "n", "nb"))])
+    out = settle(alike.unionByName(near))
+    small_batches(docs.sparkSession)
+    return out
+
+
 def _named(percent: int | None, shingle: int):
     """What names a node: the fingerprint, or the hash of the words."""
     if percent is None and shingle != SHINGLE:
@@ -244,8 +273,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and its smallest doc_id.
 
     With ``percent``, texts are linked if their sets of ``shingle`` words have that Jaccard
-    similarity (``near_sets``); ``fp`` is then the hash of the text's words. At such a distance
-    fingerprints lie up to a dozen bits and more apart, where no shard keys reach all pairs.
+    similarity; ``fp`` is then the hash of the text's words. Fingerprints of the sets are searched by
+    the BK-trees, and what they link is checked exactly. At such a distance fingerprints may also lie up to
+    a dozen bits and more apart, where no shard keys reach all pairs; between the components that
+    the trees found, ``near_sets`` finds all the others.
     Without it, texts are linked if their fingerprints of three-word shingles lie three bits
     apart at most.
     """
@@ -254,7 +285,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), named(F.col(f"`{text}`").cast("string")).alias("fp")))
     firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     share = firsts.agg(F.sum("n")).first()[0] or 0
-    found = links(firsts.select("fp")) if percent is None else near_sets.links(docs, text, shingle, percent)
+    found = (links(firsts.select("fp")) if percent is None
+             else near_sets.links(docs, text, shingle, percent, given=candidates(docs, text, shingle)))
     roots = components(found)
     grown = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(grown, "root").select(F.col("fp").alias("_fp"), "root", "smallest")

@@ -141,3 +141,18 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert simhash.deduplicate(odd, shingle=5, percent=80).count() == 7
     assert simhash.deduplicate(none, shingle=5, percent=80).count() == 0
+
+
+def test_fingerprints_and_trees_find_links_that_are_checked(spark, make_docs, monkeypatch):
+    texts = corpus()
+    docs = make_docs([(i, t, "en", "s") for i, t in texts.items()])
+    prints = {near_sets.node(t) - (1 << 64 if near_sets.node(t) >> 63 else 0): simhash.majority(near_sets.shingles(t, 5).view(np.uint64))
+              for t in texts.values()}
+    found = [(r.a, r.b) for r in simhash.candidates(docs, "text", 5).collect()]
+    assert found and all((prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS for a, b in found)
+    near = linked([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS])
+    assert linked(found) == near
+    searched, search = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes: [searched.append(nodes.count()), search(nodes)][1])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
+    assert searched == [len(set(prints.values()))] and got == components(texts)

@@ -161,18 +161,26 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
+def named_texts(docs: DataFrame, text: str) -> DataFrame:
+    """(node, text) of every row, stored: each step that needs the texts reads them again, in a task
+    of its own Python worker only, without the one that names nodes beside it."""
+    small_batches(docs.sparkSession)
+    plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    return stored(plain.select(nodes(F.col("text")).alias("node"), "text"), "near-sets-texts")
+
+
 def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool = True,
-          given: DataFrame | None = None) -> DataFrame:
+          given: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(a, b): nodes with similar sets, enough of them to connect all that are connected.
 
     ``given`` are candidates (a, na, b, nb) found in another way, na and nb the sizes of their sets;
-    they are checked first, and what they connect needs no more links."""
+    they are checked first, and what they connect needs no more links. ``texts`` are the
+    ``named_texts`` of ``docs``, if they are there already."""
     from linkloom.llm.simhash import components
 
     c = F.col
     small_batches(docs.sparkSession)
-    plain = docs.select(c(f"`{text}`").cast("string").alias("text"))
-    texts = plain.select(nodes(c("text")).alias("node"), "text")
+    texts = named_texts(docs, text) if texts is None else texts
     sent = docs.sparkSession.sparkContext.broadcast(_counts(texts, shingle) if counted else None)
 
     def emit(name: int, own: np.ndarray) -> pd.DataFrame:

@@ -235,17 +235,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = after.select("fp", "root")
 
 
-def candidates(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+def candidates(docs: DataFrame, text: str, shingle: int, texts: DataFrame | None = None) -> DataFrame:
     """(a, na, b, nb): nodes of ``near_sets`` and the sizes of their sets, whose fingerprints lie
     within the radius, enough of them to connect all that are connected. The fingerprint is that
-    of the set of shingles; nodes with one fingerprint hang at its smallest node."""
+    of the set of shingles; nodes with one fingerprint hang at its smallest node.
+    ``texts`` are the ``near_sets.named_texts`` of ``docs``, if they are there already."""
+    texts = near_sets.named_texts(docs, text) if texts is None else texts
+
     def emit(name: int, own: np.ndarray) -> pd.DataFrame:
         fp = np.array([majority(own.astype("<i8").view("<u8"))], dtype=np.uint64).view(np.int64)
         return pd.DataFrame({"node": [name], "n": [len(own)], "fp": fp})
 
-    plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    prints = stored(plain.select(near_sets.nodes(F.col("text")).alias("node"), "text")
-                    .mapInPandas(near_sets._once(shingle, emit), "node bigint, n int, fp bigint")
+    prints = stored(texts.mapInPandas(near_sets._once(shingle, emit), "node bigint, n int, fp bigint")
                     .dropDuplicates(["node"]), "prints")
     firsts = settle(prints.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
     few = sized(firsts.select(F.col("fp").alias("_fp"), "first"))
@@ -285,8 +286,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = settle(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), named(F.col(f"`{text}`").cast("string")).alias("fp")))
     firsts = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     share = firsts.agg(F.sum("n")).first()[0] or 0
-    found = (links(firsts.select("fp")) if percent is None
-             else near_sets.links(docs, text, shingle, percent, given=candidates(docs, text, shingle)))
+    if percent is None:
+        found = links(firsts.select("fp"))
+    else:
+        texts = near_sets.named_texts(docs, text)
+        found = near_sets.links(docs, text, shingle, percent, given=candidates(docs, text, shingle, texts), texts=texts)
     roots = components(found)
     grown = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(grown, "root").select(F.col("fp").alias("_fp"), "root", "smallest")

@@ -156,3 +156,17 @@ def test_fingerprints_and_trees_find_links_that_are_checked(spark, make_docs, mo
     monkeypatch.setattr(simhash, "links", lambda nodes: [searched.append(nodes.count()), search(nodes)][1])
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, percent=80).collect()}
     assert searched == [len(set(prints.values()))] and got == components(texts)
+
+
+def test_texts_are_named_once(spark, monkeypatch):
+    """Steps that need the texts read them with their names, without naming them again beside it."""
+    texts = ["a b c d e f g", "A  b c d e f g", None, "x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    named = near_sets.named_texts(docs, "text")
+    assert "Python" not in named._jdf.queryExecution().executedPlan().toString()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert sorted(r.node for r in named.collect()) == sorted(signed(near_sets.node(t)) for t in texts)
+    calls, plain = [], near_sets.named_texts
+    monkeypatch.setattr(near_sets, "named_texts", lambda *a: calls.append(a) or plain(*a))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2, 3]
+    assert len(calls) == 1

@@ -3,13 +3,14 @@
 Four tables: ``scrapes``, ``stories``, ``links`` (story to scrape) and ``figures`` (what searches
 need to know of a month, kept up by signed changes). An ingest stages
 all its outputs in the shared folder first, records them in a commit note, and only then
-replaces the touched month partitions. A run that dies half-way leaves the note behind, and
-opening the store applies it again, so the tables never stay apart.
+replaces the touched month partitions, by moving the staged ones to their place. A run that dies
+half-way leaves the note behind, and opening the store applies it again, so the tables never stay apart.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ _STORIES = """shard INT, story_id STRING, url STRING, host STRING, url_norm STRI
     sources MAP<STRING, STRING>, self_post BOOLEAN"""
 _LINKS = "shard INT, story_id STRING, scrape_shard INT, scrape_id STRING"
 SCHEMAS = {"scrapes": SCRAPES, "stories": _STORIES, "links": _LINKS, "figures": figures.SCHEMA}
+_NULL = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a month
 
 
 class StoryStore:
@@ -82,13 +84,18 @@ class StoryStore:
     def _columns(self, name: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[name]).columns
 
-    def _write(self, df: DataFrame, name: str, path: str) -> None:
-        """Rows of a month lie together and in date order inside a file."""
+    def _write(self, df: DataFrame, name: str, path: str) -> DataFrame:
+        """Rows of a month lie together and in date order inside a file. Returns the rows as they
+        are written first, plain: dealing them by range reads them twice."""
         order = {"scrapes": ["shard", "date", "scrape_id"], "stories": ["shard", "date"],
                  "links": ["shard", "story_id", "scrape_id"], "figures": figures.KEY}[name]
-        (df.select(*self._columns(name)).repartitionByRange(*order)
+        df = df.select(*self._columns(name))
+        df.write.mode("overwrite").parquet(f"{path}-plain")
+        rows = self.spark.read.schema(df.schema).parquet(f"{path}-plain")
+        (rows.repartitionByRange(*order)
          .sortWithinPartitions(*order)
          .write.mode("overwrite").partitionBy("shard").parquet(path))
+        return rows
 
     def _stage(self, job: str):
         def stage(df: DataFrame, name: str) -> DataFrame:
@@ -98,31 +105,40 @@ class StoryStore:
         return stage
 
     # -- commit -----------------------------------------------------------------------
-    def _commit(self, job: str, touched: dict[str, list[int]]) -> None:
-        rows = [(name, shard) for name, shards in touched.items() for shard in shards]
-        note = self.spark.createDataFrame(rows, "name STRING, shard INT").withColumn(
+    def _commit(self, job: str, touched: dict[str, Iterable[int | None]]) -> None:
+        staged = {name: self._staged_months(job, name) for name in touched}
+        rows = [(name, shard, shard in staged[name]) for name, shards in touched.items() for shard in shards]
+        note = self.spark.createDataFrame(rows, "name STRING, shard INT, staged BOOLEAN").withColumn(
             "job", F.lit(job))
         note.coalesce(1).write.mode("overwrite").json(f"{self.root}/_commit")
         self._apply()
 
+    def _staged_months(self, job: str, name: str) -> set[int | None]:
+        """The months a job has staged rows of; every one has a folder with files."""
+        path, fs = self._path("_staging", job, name)
+        found = [s.getPath().getName().partition("shard=")[2] for s in fs.listStatus(path) if s.isDirectory()]
+        return {None if x == _NULL else int(x) for x in found if x}
+
     def _apply(self) -> None:
-        note = self.spark.read.schema("name STRING, shard INT, job STRING").json(
+        note = self.spark.read.schema("name STRING, shard INT, staged BOOLEAN, job STRING").json(
             f"{self.root}/_commit").collect()
-        for name in SCHEMAS:
-            shards = {r.shard for r in note if r.name == name}
-            if not shards:
-                continue
-            job = note[0].job
-            rows = self.spark.read.schema(SCHEMAS[name]).parquet(
-                f"{self.root}/_staging/{job}/{name}")
-            kept = {r.shard for r in rows.select("shard").distinct().collect()}
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("shard").parquet(f"{self.root}/{name}"))
-            for shard in shards - kept:
-                self._delete(name, f"shard={shard}")
+        for r in note:
+            month = f"shard={_NULL if r.shard is None else r.shard}"
+            source = ("_staging", r.job, r.name, month)
+            if self._exists(*source):
+                self._delete(r.name, month)
+                self._move(source, (r.name, month))
+            elif not r.staged:  # else an earlier try has moved it
+                self._delete(r.name, month)
         self._delete("_commit")
         self._delete("_staging")
 
+    def _move(self, source: tuple[str, ...], target: tuple[str, ...]) -> None:
+        (old, fs), (new, _) = self._path(*source), self._path(*target)
+        fs.mkdirs(new.getParent())
+        if not fs.rename(old, new):
+            raise OSError(f"cannot move {old} to {new}")
+
     def _recover(self) -> None:
         if self._exists("_commit", "_SUCCESS"):
             self._apply()
@@ -134,14 +150,12 @@ class StoryStore:
         folder = f"{self.root}/_staging/{job}"
         rows = scrapes if "seq" in scrapes.columns else scrapes.withColumn("seq", F.lit(0))
         # An id is kept once, whatever months it was seen in; both other tables follow from that.
-        self._write(upsert.unique_scrapes(rows.select(*self._columns("scrapes"), "seq"), self.cfg.merge_policy),
-                    "scrapes", f"{folder}/scrapes")
-        written = self.spark.read.schema(SCRAPES).parquet(f"{folder}/scrapes")
-        self._write(st.build_stories(written, self.cfg), "stories", f"{folder}/stories")
+        written = self._write(upsert.unique_scrapes(rows.select(*self._columns("scrapes"), "seq"), self.cfg.merge_policy),
+                              "scrapes", f"{folder}/scrapes")
+        built = self._write(st.build_stories(written, self.cfg), "stories", f"{folder}/stories")
         self._write(st.story_links(written, self.cfg), "links", f"{folder}/links")
-        self._write(figures.month_figures(self.spark.read.schema(_STORIES).parquet(f"{folder}/stories")), "figures", f"{folder}/figures")
-        self._commit(job, {name: self._months(self.spark.read.schema(SCHEMAS[name]).parquet(
-            f"{folder}/{name}")) for name in SCHEMAS})
+        self._write(figures.month_figures(built), "figures", f"{folder}/figures")
+        self._commit(job, {name: self._staged_months(job, name) for name in SCHEMAS})
 
     def _months(self, df: DataFrame) -> list[int]:
         """Distinct months; at most 65 536 of them."""

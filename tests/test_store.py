@@ -416,3 +416,34 @@ def test_broken_files_and_rows_are_reported(spark, tmp_path):
     got = [tuple(r) for r in store.broken().collect()]
     assert {(t, i, m) for t, _, i, m in got} == {("scrapes", "hacker_news-99", "missing date"), ("scrapes", None, "unreadable file")} and len(got) == 2
     assert all(f and "shard=" in f for _, f, _, _ in got)
+
+
+def test_commit_moves_staged_files(spark, tmp_path, monkeypatch):
+    """Staged files are not written again; a commit that ends between two moves is finished later."""
+    def files(root):
+        return {p.name for p in root.glob("*/shard=*/*.parquet")}
+
+    rows = scrapes(spark, [hn(str(i), f"http://e{i}.com", "t", f"20{10 + i}-03-05") for i in range(3)])
+    store, staged, apply = StoryStore(spark, str(tmp_path / "s"), CFG), set(), StoryStore._apply
+    monkeypatch.setattr(StoryStore, "_apply", lambda self: (staged.update(files(tmp_path / "s/_staging/load")), apply(self)))
+    store.load(rows)
+    assert staged and files(tmp_path / "s") == staged
+    moves, move = [], StoryStore._move
+
+    def stop(self, *where):
+        if len(moves) == 2:
+            raise RuntimeError("lost")
+        moves.append(where)
+        move(self, *where)
+
+    monkeypatch.setattr(StoryStore, "_move", stop)
+    try:
+        store.ingest(scrapes(spark, [hn("9", "http://e1.com", "u", "2011-03-09")]))
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert len(moves) == 2
+    again = StoryStore(spark, str(tmp_path / "s"), CFG)
+    assert again.stories.count() == 3 and again.scrapes.count() == 4 and again.links.count() == 4
+    assert not (tmp_path / "s/_staging").exists()
+    links_agree(again)

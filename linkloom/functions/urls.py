@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref)(=.*)?$"
+_LINE_ENDS = ("\n", "\r", "\u0085", "\u2028", "\u2029")  # "$" also matches before the last of these
 
 
 def strip_host_prefix(host: Column) -> Column:
@@ -30,13 +31,16 @@ def _host_of(authority: Column) -> Column:
 
 def _norm_of(authority: Column, path: Column, query: Column) -> Column:
     bare = F.regexp_replace(authority, r":(80|443)?$", "")
+    short = F.regexp_replace(path, r"(/index\.html)?/*$", "")
+    return F.when(_host_of(authority).isNotNull(), F.concat(bare, short, _shown(query)))
+
+
+def _shown(query: Column) -> Column:
     args = F.array_join(F.sort_array(F.filter(
         F.split(F.substring(query, 2, 1 << 30), "&"),
         lambda a: (a != "") & ~a.rlike(_TRACKING))), "&")
-    short = F.regexp_replace(path, r"(/index\.html)?/*$", "")
-    shown = F.when(query == "", F.lit("")).otherwise(
+    return F.when(query == "", F.lit("")).otherwise(
         F.regexp_replace(F.concat(F.lit("?"), args), r"^\?$", ""))
-    return F.when(_host_of(authority).isNotNull(), F.concat(bare, short, shown))
 
 
 def has_host(url: Column) -> Column:
@@ -61,15 +65,35 @@ def url_norm(url: Column) -> Column:
 
 
 def with_url_keys(df: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``host`` and ``url_norm``, taking the URL apart once per row."""
+    """Add ``host`` and ``url_norm``, taking the URL apart once per row.
+
+    The same rule as ``host`` and ``url_norm``, in steps. Where a pattern can only match in a text
+    with a certain part, a plain test comes first: few hosts and paths have one, and a
+    pattern costs many times the test.
+    """
+    c = F.col
+
+    def only(test: Column, text: str, pattern: str, new: str = "") -> Column:
+        return F.when(test, F.regexp_replace(text, pattern, new)).otherwise(c(text))
+
+    a = c("_authority")
     parts = df.withColumns({
-        "_authority": _authority(F.col(url)),
+        "_authority": F.lower(F.regexp_extract(url, _URL, 2)),
         "_path": F.regexp_extract(url, _URL, 3),
         "_query": F.regexp_extract(url, _URL, 4)})
+    parts = parts.withColumn("_authority", only(a.contains("@"), "_authority", r"^.*@"))
+    parts = parts.withColumn("_authority", F.when(
+        a.startswith("www") | a.startswith("m."), strip_host_prefix(a)).otherwise(a))
+    ported = a.contains(":")
+    parts = parts.withColumns({
+        "_host": only(ported, "_authority", r":[0-9]*$"),
+        "_bare": only(ported, "_authority", r":(80|443)?$"),
+        # What is cut ends in a slash or in "index.html", or a line end follows it.
+        "_short": only(F.right("_path", F.lit(1)).isin("/", "l", *_LINE_ENDS), "_path", r"(/index\.html)?/*$")})
     return parts.withColumns({
-        "host": _host_of(F.col("_authority")),
-        "url_norm": _norm_of(F.col("_authority"), F.col("_path"), F.col("_query")),
-    }).drop("_authority", "_path", "_query")
+        "host": F.when(c("_host") != "", c("_host")),
+        "url_norm": F.when(c("_host") != "", F.concat("_bare", "_short", _shown(c("_query")))),
+    }).drop("_authority", "_path", "_query", "_host", "_bare", "_short")
 
 
 def host_tokens(host_col: Column) -> Column:

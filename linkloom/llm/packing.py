@@ -16,10 +16,12 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,18 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The one tokenizer of a Python process, without threads of its own (tasks run side by side).
+
+    Each further tokenizer leaves some 20 MB behind for good, most of it in its threads, and a
+    Python worker runs many tasks.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Little-endian token ids of texts, by parts that the tokenizer treats alone.
 
@@ -68,8 +82,7 @@ class WordIds:
                        r"|[!-&(-/:-@\[-`{-~]++(?=[A-Za-z0-9 \n]|\Z)|[^ \n]+")
 
     def __init__(self, path: str, most: int = 600_000, longest: int = 64):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.tokenizer, self.most, self.longest = _tokenizer(path), most, longest
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.met: set[bytes] = set()
@@ -175,7 +188,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)  # one per task: a kept one would hold its memory for good
+        words = WordIds(tokenizer)  # one store per task: a kept one would hold its memory for good
         for batch in batches:
             rows = []
             for key, ids in zip(batch["doc_id"], words.of(batch["text"])):

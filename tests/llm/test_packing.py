@@ -1,6 +1,9 @@
 """Pieces by the plain tokenizer; bins against a document-by-document best-two-fit."""
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkloom.llm import queries
+from linkloom.llm import packing, queries
 from linkloom.llm.packing import WordIds, pack, patterns, sequences, tokenize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+ROOT = Path(packing.__file__).parents[2]
 
 
 def one_by_one(lengths, capacity):
@@ -90,6 +94,23 @@ def test_the_store_stays_bounded():
         assert len(words.known) <= 500
 
 
+def test_a_worker_keeps_one_tokenizer_without_threads():
+    """Every new tokenizer, and every thread of one, would hold memory for as long as the worker lives."""
+    code = f"""
+import os
+from linkloom.llm.packing import WordIds
+first = WordIds({VOCABULARY!r})
+before = len(os.listdir("/proc/self/task"))
+for k in range(3):
+    words = WordIds({VOCABULARY!r})
+    assert words.tokenizer is first.tokenizer and not words.known
+    list(words.of([f"{{i}}-{{k}} \u65e5\u672c{{i}}, x{{i}}'s" for i in range(500)]))
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def check(rows, capacity=4096):
     rows = rows.sort_values(["sequence_id", "offset"])
     for _, g in rows.groupby("sequence_id"):

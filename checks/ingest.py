@@ -199,9 +199,8 @@ def scrape_payloads(spark, d):
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.unionByName(reddit_payloads(spark, d).withColumn("source", F.lit("elsewhere")))
     parsed = payloads.scrape_payloads(rows)
-    noted = parsed.warnings.select(F.regexp_extract("message", "^(HTTP|No parser)", 1).alias("part"), "source")
-    return (parsed.scrapes.select(F.lit("scrape").alias("part"), "source")
-            .unionByName(noted.where("part <> ''"))
+    part = F.when(F.col("accepted"), "scrape").otherwise(F.regexp_extract("message", "^(HTTP|No parser)", 1))
+    return (parsed.rows.select(part.alias("part"), "source").where("part <> ''")
             .groupBy("part", "source").agg(F.count(F.lit(1)).alias("n")))
 
 

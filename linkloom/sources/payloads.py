@@ -38,39 +38,59 @@ def _typed(doc: Column, path: str, shape: str, kind: str) -> Column:
 
 @dataclass
 class Parsed:
-    scrapes: DataFrame
-    warnings: DataFrame  # payload, source, message
+    """``rows`` holds both outputs, for who needs both of one pass: scrapes are the ``accepted``
+    rows, the others are warnings, which have no scrape columns but the source."""
 
+    rows: DataFrame  # payload, accepted, message, then the scrape columns
 
-def _row(source: str, **values: Column) -> list[Column]:
-    """Scrape columns in table order; what a source lacks is null."""
+    @property
+    def scrapes(self) -> DataFrame:
+        return self.rows.where("accepted").drop("accepted", "message")
+
+    @property
+    def warnings(self) -> DataFrame:
+        return self.rows.where(~F.col("accepted")).select("payload", "source", "message")
+
+
+def _row(source: str, message: Column, **values: Column) -> list[Column]:
+    """Scrape columns in table order, of rows without a message; what a source lacks is null."""
     kinds = {"position": "bigint", "points": "bigint", "comments": "bigint", "score": "bigint",
              "upvotes": "bigint", "downvotes": "bigint", "upvote_ratio": "float",
              "flair": "string", "tags": "array<string>", "subsource": "string"}
     values.setdefault("subsource", F.lit(None))
-    out = [month_of(values["date"]).alias("shard"),
-           ids.scrape_id(F.lit(source), values["subsource"].cast("string"), values["id"])
+    fine = message.isNull()
+    out = [F.when(fine, month_of(values["date"])).alias("shard"),
+           F.when(fine, ids.scrape_id(F.lit(source), values["subsource"].cast("string"), values["id"]))
            .alias("scrape_id"), F.lit(source).alias("source")]
     for name in ("subsource", "id", "url", "raw_title", "date", *list(kinds)[:-1]):
         v = values.get(name, F.lit(None))
-        out.append((v.cast(kinds[name]) if name in kinds else v).alias(name))
-    return [F.col("payload"), *out]
+        out.append(F.when(fine, v.cast(kinds[name]) if name in kinds else v).alias(name))
+    return [F.col("payload"), fine.alias("accepted"), message.alias("message"), *out]
 
 
-def _split(rows: DataFrame, source: str, message: Column, columns: list[Column]) -> Parsed:
+def _marked(rows: DataFrame, source: str, message: Column, **values: Column) -> DataFrame:
     """Rows without a message are scrapes, the others warnings."""
     marked = settled(rows.withColumn("_message", message))
-    return Parsed(
-        marked.where(F.col("_message").isNull()).select(*columns),
-        marked.where(F.col("_message").isNotNull()).select(
-            "payload", F.lit(source).alias("source"), F.col("_message").alias("message")))
+    return marked.select(*_row(source, F.col("_message"), **values))
+
+
+def _read_once(payloads: DataFrame, doc: Column, name: str) -> DataFrame:
+    """As ``settled``, for a body's document; the payload stays a plain column, so that rows which
+    lie together by it are not shuffled again."""
+    return payloads.select("payload", F.explode(F.array(doc)).alias(name))
+
+
+def _items(items: Column, broken: Column) -> Column:
+    """Each item and its place; a broken body is one item that is null, for its warning."""
+    return F.posexplode(F.when(broken, F.array(F.lit(None))).otherwise(items)).alias("_pos", "_c")
+
+
+def _only_warnings(payloads: DataFrame, source: Column, message: Column) -> DataFrame:
+    return payloads.select("payload", F.lit(False).alias("accepted"), message.alias("message"), source.alias("source"))
 
 
-def _with_bad_bodies(parsed: Parsed, payloads: DataFrame, source: str, bad: Column,
-                     message: str) -> Parsed:
-    broken = payloads.where(bad).select(
-        "payload", F.lit(source).alias("source"), F.lit(message).alias("message"))
-    return Parsed(parsed.scrapes, parsed.warnings.unionByName(broken))
+def _with_warnings(rows: DataFrame, warnings: DataFrame) -> DataFrame:
+    return rows.unionByName(warnings, allowMissingColumns=True)
 
 
 def _missing(**checks: Column) -> Column:
@@ -82,14 +102,15 @@ def _missing(**checks: Column) -> Column:
 def parse_reddit(payloads: DataFrame) -> Parsed:
     """Listing JSON. The position counts accepted posts per subreddit of the payload, and
     a post that fails a later check still uses its position."""
-    parsed = payloads.withColumn("_kids", F.try_variant_get(F.try_parse_json("body"), "$.data.children", "array<variant>"))
+    listed = F.try_variant_get(F.try_parse_json("body"), "$.data.children", "array<variant>")
+    parsed = _read_once(payloads, listed, "_kids")
     kids, child = F.col("_kids"), F.col("_c")
-    posts = (parsed.where(kids.isNotNull())
-             .select("payload", F.posexplode(kids).alias("_pos", "_c"))
-             .select("payload", "_pos", _typed(child, "$.kind", _TEXT, "string").alias("kind"),
+    posts = (parsed.select("payload", kids.isNull().alias("_broken"), _items(kids, kids.isNull()))
+             .select("payload", "_broken", "_pos", _typed(child, "$.kind", _TEXT, "string").alias("kind"),
                      *[_typed(child, f"$.data.{name}", *how).alias(name) for name, how in _POST.items()]))
     posts = posts.withColumn("subreddit", F.lower("subreddit"))
     early = F.coalesce(
+        F.when(F.col("_broken"), "Missing children element"),
         F.when(F.coalesce(F.col("kind") != "t3", F.lit(True)), "Unknown story type"),
         F.when(F.col("id").isNull(), "Missing field id"),
         F.when(F.col("subreddit").isNull(), "Missing field subreddit"),
@@ -111,34 +132,31 @@ def parse_reddit(payloads: DataFrame) -> Parsed:
         Bad_integer_num_comments=u32("num_comments"), Bad_integer_score=u32("score"),
         Bad_integer_downs=u32("downs"), Bad_integer_ups=u32("ups"),
         Bad_number_upvote_ratio=F.col("upvote_ratio").isNotNull()))
-    out = _split(posts, "reddit", message, _row(
-        "reddit", id=F.col("id"), subsource=F.col("subreddit"), url=F.col("_url"),
+    return Parsed(_marked(
+        posts, "reddit", message, id=F.col("id"), subsource=F.col("subreddit"), url=F.col("_url"),
         raw_title=text.unescape_entities(F.col("title")),
         date=F.timestamp_seconds(F.col("created_utc").cast("bigint")),
         position=F.col("position"), comments=F.col("num_comments"), score=F.col("score"),
         upvotes=F.col("ups"), downvotes=F.col("downs"), upvote_ratio=F.col("upvote_ratio"),
         flair=text.unescape_entities(F.coalesce("link_flair_text", F.lit("")))))
-    return _with_bad_bodies(out, parsed, "reddit", kids.isNull(), "Missing children element")
 
 
 def parse_lobsters(payloads: DataFrame) -> Parsed:
     """RSS channel; the position is the item's place in the channel."""
-    parsed = payloads.withColumn("_doc", F.from_xml("body", RSS_CHANNEL))
-    items = F.col("_doc.channel.item")
-    rows = (parsed.where(items.isNotNull())
-            .select("payload", F.posexplode(items).alias("_pos", "_i"))
-            .select("payload", "_pos", "_i.*"))
+    parsed = _read_once(payloads, F.from_xml("body", RSS_CHANNEL), "_doc")
+    broken = F.col("_doc.channel").isNull()
+    rows = (parsed.select("payload", broken.alias("_broken"), _items(F.col("_doc.channel.item"), broken))
+            .select("payload", "_broken", "_pos", "_c.*"))
     rows = (rows.withColumn("_id", F.regexp_replace("guid._VALUE", "^(https://lobste.rs/s/)+", ""))
             .withColumn("_date", dates.parse_rfc2822(F.col("pubDate"))))
     complete = (F.col("title").isNotNull() & F.col("_id").isNotNull()
                 & urls.host(F.col("link")).isNotNull() & F.col("_date").isNotNull())
-    out = _split(rows, "lobsters",
-                 _missing(Story_did_not_contain_all_required_fields=complete), _row(
-        "lobsters", id=F.col("_id"), url=F.col("link"), raw_title=F.col("title"),
+    message = F.coalesce(F.when(F.col("_broken"), "Missing channel element"),
+                         _missing(Story_did_not_contain_all_required_fields=complete))
+    return Parsed(_marked(
+        rows, "lobsters", message, id=F.col("_id"), url=F.col("link"), raw_title=F.col("title"),
         date=F.col("_date"), comments=F.lit(0), score=F.lit(0), position=F.col("_pos") + 1,
         tags=F.coalesce("category", F.array().cast("array<string>"))))
-    return _with_bad_bodies(out, parsed, "lobsters", F.col("_doc.channel").isNull(),
-                            "Missing channel element")
 
 
 def _hacker_news_lines(payloads: DataFrame) -> DataFrame:
@@ -202,25 +220,23 @@ def parse_hacker_news(payloads: DataFrame) -> Parsed:
             Missing_comment_count=F.col("comments").isNotNull()))
         .otherwise("Unknown node type"))
     lines = settled(lines.withColumn("_message", message))
-    bad = lines.where(F.col("_message").isNotNull())
-    good = lines.where(F.col("_message").isNull())
     # The inner join of story and info lines by id, as one grouping: of two lines with one
-    # id the later stands, and a story without an info line is unmatched.
-    pairs = good.groupBy("payload", "id").agg(
+    # id the later stands, and a story without an info line is unmatched. Lines with a
+    # message go along, counted, so that one pass over the lines makes scrapes and warnings.
+    bad = F.col("_message").isNotNull()
+    pairs = lines.groupBy("payload", "id", "_message").agg(
         F.max(F.when(F.col("kind") == "story", F.struct(
             "_pos", "url", "raw_title", "position"))).alias("s"),
         F.max(F.when(F.col("kind") == "info", F.struct(
-            "_pos", "date", "points", "comments"))).alias("i")).where(F.col("s").isNotNull())
-    both = pairs.where(F.col("i").isNotNull()).select(
-        "payload", "id", "s.url", "s.raw_title", "s.position", "i.date", "i.points", "i.comments")
-    lost = pairs.where(F.col("i").isNull())
-    warnings = bad.select("payload", F.col("_message").alias("message")).unionByName(
-        lost.select("payload", F.concat(F.lit("Unmatched story/info for id "), "id")
-                    .alias("message")))
-    return Parsed(
-        both.select(*_row("hacker_news", **{c: F.col(c) for c in (
-            "id", "url", "raw_title", "date", "position", "points", "comments")})),
-        warnings.select("payload", F.lit("hacker_news").alias("source"), "message"))
+            "_pos", "date", "points", "comments"))).alias("i"),
+        F.count("_message").alias("n")).where(bad | F.col("s").isNotNull())
+    pairs = pairs.select(
+        "payload", "id", "s.url", "s.raw_title", "s.position", "i.date", "i.points", "i.comments",
+        F.when(bad, F.col("_message")).when(F.col("i").isNull(), F.concat(
+            F.lit("Unmatched story/info for id "), "id")).alias("_message"),
+        F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))))
+    return Parsed(pairs.select(*_row("hacker_news", F.col("_message"), **{c: F.col(c) for c in (
+        "id", "url", "raw_title", "date", "position", "points", "comments")})))
 
 
 def slashdot_topic(href: Column) -> Column:
@@ -277,8 +293,8 @@ def parse_slashdot(payloads: DataFrame, cfg: SourceConfig = SourceConfig()) -> P
         "Failed to parse number of comments": ~F.col("_talked") | F.col("_count").isNotNull(),
         "Missing topics": F.col("_topical"),
         "Failed to parse date": F.col("date").isNotNull()})
-    return _split(rows, "slashdot", message, _row(
-        "slashdot", id=F.col("id"), url=F.col("url"), raw_title=F.col("raw_title"),
+    return Parsed(_marked(
+        rows, "slashdot", message, id=F.col("id"), url=F.col("url"), raw_title=F.col("raw_title"),
         date=F.col("date"), comments=F.coalesce("_count", F.lit(0)), tags=F.col("tags")))
 
 
@@ -298,13 +314,13 @@ def scrape_payloads(payloads: DataFrame, cfg: EngineConfig = EngineConfig(),
     parsers = PARSERS if parsers is None else parsers
     ok = payloads.where(F.col("status") == 200)
     parts = [parse(ok.where(F.col("source") == name), cfg) for name, parse in parsers.items()]
-    strange = ok.where(~F.coalesce(F.col("source").isin(*parsers), F.lit(False))).select(
-        "payload", "source", F.concat(F.lit("No parser for source "), F.coalesce("source", F.lit("null")))
-        .alias("message"))
-    failed = payloads.where(F.coalesce(F.col("status") != 200, F.lit(True))).select(
-        "payload", "source", F.concat(F.lit("HTTP "), F.coalesce(
-            F.col("status").cast("string"), F.lit("error")), F.lit(" for "), "url").alias("message"))
-    scrapes, warnings = parts[0].scrapes, parts[0].warnings
+    strange = _only_warnings(
+        ok.where(~F.coalesce(F.col("source").isin(*parsers), F.lit(False))), F.col("source"),
+        F.concat(F.lit("No parser for source "), F.coalesce("source", F.lit("null"))))
+    failed = _only_warnings(
+        payloads.where(F.coalesce(F.col("status") != 200, F.lit(True))), F.col("source"),
+        F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("error")), F.lit(" for "), "url"))
+    rows = parts[0].rows
     for p in parts[1:]:
-        scrapes, warnings = scrapes.unionByName(p.scrapes), warnings.unionByName(p.warnings)
-    return Parsed(scrapes, warnings.unionByName(failed).unionByName(strange))
+        rows = rows.unionByName(p.rows)
+    return Parsed(_with_warnings(_with_warnings(rows, failed), strange))

@@ -130,6 +130,31 @@ def test_failed_fetch_is_a_warning(spark):
     assert all(r.message.startswith("HTTP 503") for r in out.warnings.collect())
 
 
+def test_one_pass_has_scrapes_and_warnings(spark):
+    """Both outputs are the rows of one pass, with copies of a payload and of its broken lines."""
+    hn = "<table>" + hn_story("1") + hn_info("1") + 2 * '<tr class="spacer"></tr>' + hn_story("2", votes="") + hn_story("3") + "</table>"
+    good = [(7, "hacker_news", "u", 200, hn, None)] * 2 + [(8, "slashdot", "u", 200, article() + article(title="Tiny"), None)]
+    rest = [(9, "reddit", None, 503, "x", None), (10, "attic", "u", 200, "", None), (11, "lobsters", "u", 200, "no", None),
+            (12, "reddit", "u", 200, json.dumps({"data": {"children": [child("a"), child("b", num_comments=-1), child("c", score=1e12)]}}), None)]
+    out = payloads.scrape_payloads(spark.createDataFrame(good + rest, PAYLOADS))
+    rows = out.rows.collect()
+    assert Counter((r.payload, r.id) for r in rows if r.accepted) == {(7, "1"): 1, (8, "23/01/09/2025"): 1, (12, "a"): 1}
+    assert Counter((r.payload, r.message) for r in rows if not r.accepted) == {
+        (7, "Unknown node type"): 4, (7, "Missing votelinks"): 2, (7, "Unmatched story/info for id 3"): 1,
+        (8, "Title was too short"): 1, (9, None): 1, (10, "No parser for source attic"): 1,
+        (11, "Missing channel element"): 1, (12, "Bad integer num comments"): 1, (12, "Bad integer score"): 1}
+    assert all(r.message is None if r.accepted else r.id is None and r.shard is None for r in rows)
+    assert out.scrapes.columns == ["payload", *[c for c in out.rows.columns if c not in ("payload", "accepted", "message")]]
+    assert out.scrapes.count() == 3 and out.warnings.columns == ["payload", "source", "message"]
+    assert Counter(out.warnings.collect()) == Counter((r.payload, r.source, r.message) for r in rows if not r.accepted)
+
+
+def test_query_parses_each_payload_once(spark, sf):
+    import checks
+    plan = checks.QUERIES["scrape_payloads"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1 and plan.count("posexplode(split(body") == 2  # one feed, two kinds of pages
+
+
 def test_posts(spark, tmp_path):
     (tmp_path / "2024-06-06.md").write_text("---\ntags: rust, perf\ntitle: Fast & \"Small\": It_works\n---\nbody\n")
     (tmp_path / "2024-07-01.md").write_text("no front matter")

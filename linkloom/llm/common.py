@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +60,43 @@ def sized(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else small
 
 
+#: Bytes that a Python worker gets at once, but for a single longer row.
+BATCH_BYTES = "4m"
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
 
+def let_go() -> None:
+    """Give freed memory back to the system, from Arrow's pool and from the C library's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """``run`` for mapInPandas, after which the Python worker lets go of what the task held: workers
+    outlive their tasks, and those that wait count as their executor's memory, too."""
+    def leaner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+    return leaner
+
+
+def local_table(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows of the driver as a table. Made from Arrow, it is a plain local relation; from a list
+    it would need Python workers on the executors, and a Python daemon besides that of the functions."""
+    table = pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(columns.items())})
+    return spark.createDataFrame(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

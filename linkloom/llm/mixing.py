@@ -31,13 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import re
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from linkloom.llm.common import settle, sized, small_batches, whole_row, with_row
+from linkloom.llm.common import local_table, settle, sized, small_batches, whole_row, with_row
 
 #: A word's pattern over bytes, and the same white space for Spark's functions.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -161,8 +162,8 @@ def quotas(shards: list[tuple[str | None, int, int]], s: MixSettings = MixSettin
     return out
 
 
-QUOTA = ("_q_source string, _q_shard long, _tokens long, _source_size long, _target double, _n long, "
-         "_passes long, _extra long, _step long, _first long")
+QUOTA = {"_q_source": pa.string(), "_q_shard": pa.int64(), "_tokens": pa.int64(), "_source_size": pa.int64(),
+         "_target": pa.float64(), **dict.fromkeys(["_n", "_passes", "_extra", "_step", "_first"], pa.int64())}
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size",
@@ -179,14 +180,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     counts = narrow.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("t")).collect()
     everything = max(1, sum(r.n for r in counts))
     cuts = [(r["_source"], cut_of(r.n, r.t, everything, s)) for r in counts]
-    cut = sized(spark.createDataFrame(cuts, "_c_source string, _cut long"), len(cuts))
+    cut = sized(local_table(spark, cuts, {"_c_source": pa.string(), "_cut": pa.int64()}), len(cuts))
 
     def dealt(rows: DataFrame) -> DataFrame:
         return (rows.join(cut, c("_source").eqNullSafe(c("_c_source")), "left")
                 .withColumn("_shard", F.pmod(c("_h"), c("_cut"))))
 
     found = dealt(narrow).groupBy("_source", "_shard").agg(F.sum("_size").alias("t")).collect()
-    quota = spark.createDataFrame(quotas([(r["_source"], r["_shard"], r.t) for r in found], s), QUOTA)
+    quota = local_table(spark, quotas([(r["_source"], r["_shard"], r.t) for r in found], s), QUOTA)
     rows = docs.select(whole_row(docs).alias("_row"), c(f"`{doc_id}`").alias("_id"), *key)
     order = Window.partitionBy("_source", "_shard").orderBy("_h", "_id", "_size", F.xxhash64("_row"))
     rows = dealt(rows).withColumn("_end", F.sum("_size").over(

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from linkloom.llm.common import settle, sized, small_batches, stored
+from linkloom.llm.common import lean, settle, sized, small_batches, stored
 
 SEED = 42
 #: Cells that shingles are counted in, and the cells of a row when counts are added up.
@@ -121,11 +121,14 @@ def _once(shingle: int, emit: Callable[[int, np.ndarray], pd.DataFrame]):
                     out, rows = [], 0
             if out:
                 yield pd.concat(out, ignore_index=True)
-    return run
+    return lean(run)
 
 
 def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many texts have a shingle of each cell; one row of sums per ``ROW`` cells and task."""
+    """How many texts have a shingle of each cell; a row per ``ROW`` cells and task, with the counts that
+    are not zero. Tasks with few texts are many, and most of their counts are."""
+    most = np.iinfo(np.int32).max
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, held, size, seen = np.zeros(CELLS, dtype=np.int64), [], 0, set()
         for batch in batches:
@@ -141,24 +144,27 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=CELLS)
-        rows = total.reshape(-1, ROW)
-        some = np.flatnonzero(rows.any(axis=1))
+        some = np.flatnonzero(total)
         if len(some):
-            yield pd.DataFrame({"at": some, "n": list(rows[some])})
+            at = some // ROW
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            yield pd.DataFrame({"at": at[np.r_[0, cuts]], "cell": np.split((some % ROW).astype(np.int32), cuts),
+                                "n": np.split(np.minimum(total[some], most).astype(np.int32), cuts)})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, n in zip(batch["at"], batch["n"]):
-                sums[at] = sums[at] + n if at in sums else np.array(n)
+            for at, cell, n in zip(batch["at"], batch["cell"], batch["n"]):
+                sums.setdefault(at, np.zeros(ROW, dtype=np.int64))[cell] += n
         if sums:
             yield pd.DataFrame({"at": list(sums), "n": list(sums.values())})
 
-    parts = texts.mapInPandas(count, "at int, n array<bigint>").repartition("at").mapInPandas(add, "at int, n array<bigint>")
+    parts = texts.mapInPandas(lean(count), "at int, cell array<int>, n array<int>").repartition("at")
+    parts = parts.mapInPandas(lean(add), "at int, n array<bigint>")
     out = np.zeros((CELLS // ROW, ROW), dtype=np.int64)
     for r in parts.collect():  # the cells, whatever the number of texts
         out[r["at"]] = r["n"]
-    return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+    return np.minimum(out.reshape(-1), most).astype(np.int32)
 
 
 def named_texts(docs: DataFrame, text: str) -> DataFrame:
@@ -263,13 +269,13 @@ def links(docs: DataFrame, text: str, shingle: int, percent: int, counted: bool
                         for place in range(at + 1, len(marks)):
                             longer = xxhash.xxh64_intdigest(head + marks[place], SEED)
                             out.append((longer - (1 << 64) if longer >> 63 else longer, name, len(own), place, root))
-                    if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
+                        if len(out) > 20_000:  # a long text may have thousands of keys
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
                 if out:
                     yield pd.DataFrame(out, columns=names)
 
-        dealt = wanted.mapInPandas(deal, "key bigint, node bigint, n int, at int, root bigint")
+        dealt = wanted.mapInPandas(lean(deal), "key bigint, node bigint, n int, at int, root bigint")
         return marked(stored(apart(dealt.dropDuplicates(["key", "node"]), depth), "near-sets-split"))
 
     def early(side: str, depth: int):

@@ -25,11 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from linkloom.llm.common import partitions, salts, small_batches, stored
+from linkloom.llm.common import lean, local_table, partitions, salts, small_batches, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -202,7 +203,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInPandas(run, StructType([rows.schema["doc_id"], *PIECE.fields]))
+    return rows.mapInPandas(lean(run), StructType([rows.schema["doc_id"], *PIECE.fields]))
 
 
 # ---------------------------------------------------------------- bins
@@ -295,7 +296,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     plan = spark.sparkContext.broadcast(places(patterns(counts)))  # bounded by ``capacity`` too
 
     total = int(counts.sum())
-    cut = (spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts) if n], "size long, n long")
+    cut = (local_table(spark, [(i, int(n)) for i, n in enumerate(counts) if n], {"size": pa.int64(), "n": pa.int64()})
            .select("size", salts(c("n"), F.lit(total), partitions(spark)).alias("cut")))
     # Both tables that are broadcast here are bounded: ``capacity`` rows, and four more per partition.
     salted = (plain.join(F.broadcast(cut), c(length) == c("size"))
@@ -318,7 +319,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
             yield batch
 
     out = [StructField(names[f.name], f.dataType) for f in fields]
-    placed = ranked.mapInPandas(place, StructType([*out, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    placed = ranked.mapInPandas(lean(place), StructType([*out, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
     return placed.toDF(*[f.name for f in fields], "sequence_id", "offset")
 
 

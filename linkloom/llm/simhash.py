@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from linkloom.llm import near_sets
-from linkloom.llm.common import partitions, settle, sized, small_batches, stored, whole_row, with_row
+from linkloom.llm.common import lean, partitions, settle, sized, small_batches, stored, whole_row, with_row
 
 RADIUS = 3
 SHINGLE = 3
@@ -207,7 +207,7 @@ def links(nodes: DataFrame, max_tree: int = MAX_TREE) -> DataFrame:
     rows = rows.select("fp", "shard", "chunk", F.least("chunk", "other").alias("left"),
                        F.greatest("chunk", "other").alias("right"))
     cells = rows.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right")
-    return cells.mapInPandas(_links, "a bigint, b bigint").distinct()
+    return cells.mapInPandas(lean(_links), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
